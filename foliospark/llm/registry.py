@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, url_filter
+from . import decontaminate, mixing, simhash, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_benchmark_decontamination": decontaminate.op3_benchmark_decontamination,
+        "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
         "op5_url_filter": url_filter.op5_url_filter,
         "op8_mix_sources": mixing.op8_mix_sources,
     }
