@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, simhash, url_filter
+from . import decontaminate, mixing, simhash, topk, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
         "op5_url_filter": url_filter.op5_url_filter,
         "op8_mix_sources": mixing.op8_mix_sources,
+        "op10_exact_top_k": topk.op10_exact_top_k,
     }
 
 
@@ -23,4 +24,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_benchmark_decontamination": decontaminate.OP3_SQL,
         "op5_url_filter": url_filter.OP5_SQL,
         "op8_mix_sources": mixing.OP8_SQL,
+        "op10_exact_top_k": topk.OP10_SQL,
     }
