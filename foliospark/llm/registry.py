@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, quality, repeats, simhash, topk, url_filter
+from . import decontaminate, extract, mixing, quality, repeats, simhash, topk, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_benchmark_decontamination": decontaminate.op3_benchmark_decontamination,
         "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
         "op5_url_filter": url_filter.op5_url_filter,
+        "op7_main_text": extract.op7_main_text,
         "op8_mix_sources": mixing.op8_mix_sources,
         "op9_quality_votes": quality.op9_quality_votes,
         "op10_exact_top_k": topk.op10_exact_top_k,
