@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, extract, mixing, quality, repeats, simhash, topk, url_filter
+from . import decontaminate, extract, mixing, quality, repeats, simhash, token_counts, topk, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_token_counts": token_counts.op1_token_counts,
         "op2_repeated_substrings": repeats.op2_repeated_substrings,
         "op3_benchmark_decontamination": decontaminate.op3_benchmark_decontamination,
         "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
