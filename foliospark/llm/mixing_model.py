@@ -2,8 +2,8 @@
 
 A text is a row of bytes (A-Z lower-cased) and an end mark, and a byte is eight binary decisions down a tree.  For each
 of the ORDERS, the bytes before and the decision's place in the tree choose a slot that counts zeros and ones.  The
-slots' log odds are summed with weights of a set that is chosen by how many orders have seen the context and by the
-bit's number, and the sum is corrected by a table of what such sums turned out to mean.
+slots' log odds are summed with weights of a set that is chosen by how many orders have seen the context, how often the
+longest of these has, and the bit's number, and the sum is corrected by a table of what such sums turned out to mean.
 
 Everything about a byte depends on it and the five before it, so figures are computed once for each distinct string of
 six (a gram) and kept in a cache.
@@ -21,7 +21,7 @@ ORDERS = (1, 2, 3, 4, 5)
 SPAN = max(ORDERS) + 1
 TABLE_BITS, REGION_BITS = 24, 6
 LOW_BITS = TABLE_BITS - REGION_BITS
-GATES = 8 * (len(ORDERS) + 1)
+GATES = 8 * 4 * (len(ORDERS) + 1)
 BUCKETS = 33
 _STEP, _SPREAD = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93)
 
@@ -70,8 +70,10 @@ _N = np.arange(1 << 16)
 LOG_ODDS = _log_odds(_N >> 8, _N & 255)
 #: The same without one zero, or one, of what was counted: how a slot looks to text that it hasn't learnt from.
 WITHOUT = np.stack([_log_odds((_N >> 8) - 1, _N & 255), _log_odds(_N >> 8, (_N & 255) - 1)])
-SEEN = (_N > 0).astype(np.int8)
-SEEN_WITHOUT = np.stack([((_N >> 8) + (_N & 255) > 1) * 1, ((_N >> 8) + (_N & 255) > 1) * 1]).astype(np.int8)
+#: How much a slot has seen, in four steps from nothing, and the same without one.
+_TOTAL = (_N >> 8) + (_N & 255)
+SEEN = np.digitize(_TOTAL, [1, 3, 12, 60]).astype(np.int8)
+SEEN_WITHOUT = np.digitize(_TOTAL - 1, [1, 3, 12, 60]).astype(np.int8)
 
 
 @dataclass
@@ -89,13 +91,15 @@ class Model:
             node = (1 << j) | (byte >> (8 - j))
             bit = (byte >> (7 - j)) & 1
             x = np.empty((len(key), len(ORDERS) + 1), np.float32)
-            seen = np.zeros(len(key), np.int64)
+            depth, step = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
             for k, h in enumerate(hashes):
                 counts = self.table[slots(h, node)]
                 x[:, k] = WITHOUT[bit, counts] if without else LOG_ODDS[counts]
-                seen += SEEN_WITHOUT[bit, counts] if without else SEEN[counts]
+                seen = SEEN_WITHOUT[counts] if without else SEEN[counts]
+                depth += seen > 0
+                step = np.where(seen > 0, seen - 1, step)
             x[:, -1] = 0.3
-            yield x, seen * 8 + j, bit
+            yield x, (depth * 4 + step) * 8 + j, bit
 
     def mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
         return np.clip((x * self.weights[gate]).sum(axis=1), -13, 13)

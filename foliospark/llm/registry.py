@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, extract, mixing, quality, repeats, simhash, token_counts, topk, url_filter
+from . import decontaminate, extract, lm_score, mixing, quality, repeats, simhash, token_counts, topk, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_benchmark_decontamination": decontaminate.op3_benchmark_decontamination,
         "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
         "op5_url_filter": url_filter.op5_url_filter,
+        "op6_lm_score": lm_score.op6_lm_score,
         "op7_main_text": extract.op7_main_text,
         "op8_mix_sources": mixing.op8_mix_sources,
         "op9_quality_votes": quality.op9_quality_votes,
