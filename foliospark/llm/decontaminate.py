@@ -254,6 +254,17 @@ def _merged(parts: DataFrame, spark: SparkSession) -> DataFrame:
     return united.select("doc_id", "n_words", hit.alias("n_hit"), "item_ids", "spans")
 
 
+def clean(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
+    """The rows of docs that no window of any item occurs in.
+
+    Each block of items is looked up in an index of its own, and only rows that are hit are told apart: by id and a
+    hash of the text, so that rows sharing an id are judged by their own text.
+    """
+    key = F.xxhash64(F.col("doc_id").cast("string"), "text")
+    found = materialize(contamination(docs.select(key.alias("doc_id"), "text"), items, n).where("n_hit > 0").select(F.col("doc_id").alias("_key")).distinct(), "hit")
+    return docs.withColumn("_key", key).join(found, "_key", "left_anti").drop("_key")
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=10)
     names = F.array_sort(F.transform("item_ids", lambda x: x.cast("string")))

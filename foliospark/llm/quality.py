@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import U64, Fingerprints, chunks, flat, table, word_spans
 
@@ -142,40 +143,24 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 800, folds: int = 4,
 
 
 def score(docs: DataFrame, voters: Voters) -> DataFrame:
-    """docs with score, between 0 and 1."""
+    """docs with score, between 0 and 1; a column of that name is replaced."""
+    docs = docs.drop("score")
     shared = docs.sparkSession.sparkContext.broadcast(voters)
-    names = list(docs.columns)
-    inner = ", ".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in docs.schema.fields)
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voters = shared.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                rows = batch.slice(at, 512)
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(voters.score(features(rows.column(1))), pa.float64())], names=["_row", "score"])
+            for first in range(0, batch.num_rows, 512):
+                rows = batch.slice(first, 512)
+                values = voters.score(features(rows.column(at)))
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(values, pa.float64())], names=[*rows.schema.names, "score"])
 
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col("text").cast("string").alias("_text"))
-    return packed.mapInArrow(run, f"_row struct<{inner}>, score double").select("_row.*", "score")
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("score", DoubleType())]))
 
 
 def op9_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     voters = train(docs, labels)
-    light = docs.select("doc_id", F.col("text"))
-    scored = score_only(light, voters)
+    scored = score(docs.select("doc_id", "text"), voters)
     return scored.select("doc_id", F.coalesce(fold_of(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
-
-
-def score_only(docs: DataFrame, voters: Voters) -> DataFrame:
-    """(doc_id, score), without carrying the texts on."""
-    shared = docs.sparkSession.sparkContext.broadcast(voters)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voters = shared.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                rows = batch.slice(at, 512)
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(voters.score(features(rows.column(1))), pa.float64())], names=["doc_id", "score"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, score double")

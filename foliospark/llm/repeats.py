@@ -20,9 +20,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import anchors
@@ -243,6 +244,16 @@ def cut_repeats(docs: DataFrame, window: int = 400) -> DataFrame:
     return joined.mapInArrow(run, schema).select("_row.*", "kept", "n_bytes", "spans")
 
 
+def readable(column: str) -> Column:
+    """Bytes as text, without the rests of characters that were cut."""
+
+    @F.pandas_udf("string")
+    def decoded(values: pd.Series) -> pd.Series:
+        return values.map(lambda x: bytes(x).decode("utf-8", "ignore"))
+
+    return decoded(column)
+
+
 def op2_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = cut_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
