@@ -11,7 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 U64 = np.uint64
 #: Texts are handled in chunks of about this many bytes, so a worker's arrays stay small.
-CHUNK_BYTES = 3 << 20
+CHUNK_BYTES = 1 << 20
+#: Rows in an Arrow batch at most, where the session has no value of its own: texts of a few kB make batches of some MB.
+BATCH_ROWS = 4096
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,6 +35,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     The table goes when the driver's JVM ends.
     """
     spark = df.sparkSession
+    bounded_batches(spark)
     path = f"{shared_dir(spark)}/foliospark/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     jvm = spark.sparkContext._jvm
@@ -40,7 +44,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Sets BATCH_ROWS unless the session was given a value."""
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
