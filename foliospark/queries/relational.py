@@ -99,12 +99,12 @@ def threshold_with_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with t(term) as (values ('blush'), ('al_an'), ('5x')), p as (select p_partkey, lower(p_name) as n from part)
+with t(term) as (values ('small'), ('small_ring'), ('hot')), p as (select p_partkey, lower(p_name) as n from part)
 select term, p_partkey from t, p where contains(n, lower(term)) or contains(n, replace(lower(term), '_', ' ')) or contains(n, replace(lower(term), ' ', '_'))
 """)
 def doc_filter_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P-06, P-17: filter terms resolved against titles in three spellings."""
-    terms = spark.createDataFrame([("blush",), ("al_an",), ("5x",)], "term string")
+    terms = spark.createDataFrame([("small",), ("small_ring",), ("hot",)], "term string")
     spelled = terms.select("term", F.explode(F.array_distinct(F.array(F.lower("term"), F.translate(F.lower("term"), "_", " "), F.translate(F.lower("term"), " ", "_")))).alias("spelling"))
     return R.theta_contains(table(spark, sf_dir, "part").select("p_partkey", "p_name"), F.col("p_name"), spelled, "spelling").select("term", "p_partkey").distinct()
 
@@ -150,12 +150,12 @@ def event_log_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 select p_partkey, p_size, case when p_size < 10 and p_retailprice < 1000 then 'blank' when p_size < 10 then 'text' when p_retailprice > 1500 then 'text' else 'candidate' end as page_class,
-  case when p_size > 20 and length(p_name) < 20 then 'scan_page' when contains(p_name, 'a') and length(p_name) < 30 then 'image_table' when contains(p_type, 'STEEL') then 'native_table' else 'text' end as page_type from part
+  case when p_size > 20 and length(p_name) < 20 then 'scan_page' when contains(p_name, 'a') and length(p_name) < 30 then 'image_table' when contains(p_type, 'LARGE') then 'native_table' else 'text' end as page_type from part
 """)
 def page_class_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S-03, P-19: page classes by rules on sizes and marks."""
     first = F.when((F.col("p_size") < 10) & (F.col("p_retailprice") < 1000), "blank").when(F.col("p_size") < 10, "text").when(F.col("p_retailprice") > 1500, "text").otherwise("candidate")
-    kind = F.when((F.col("p_size") > 20) & (F.length("p_name") < 20), "scan_page").when(F.contains("p_name", F.lit("a")) & (F.length("p_name") < 30), "image_table").when(F.contains("p_type", F.lit("STEEL")), "native_table").otherwise("text")
+    kind = F.when((F.col("p_size") > 20) & (F.length("p_name") < 20), "scan_page").when(F.contains("p_name", F.lit("a")) & (F.length("p_name") < 30), "image_table").when(F.contains("p_type", F.lit("LARGE")), "native_table").otherwise("text")
     return table(spark, sf_dir, "part").select("p_partkey", "p_size", first.alias("page_class"), kind.alias("page_type"))
 
 
@@ -253,12 +253,12 @@ def fill_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with k(kw) as (values ('red'), ('almond'), ('steel'), ('zzz')), h as (select kw, p_partkey, p_brand from k, part where contains(lower(p_name || ' ' || p_type), kw)), d as (select kw, count(distinct p_brand) as df from h group by kw)
+with k(kw) as (values ('red'), ('ring'), ('economy'), ('zzz')), h as (select kw, p_partkey, p_brand from k, part where contains(lower(p_name || ' ' || p_type), kw)), d as (select kw, count(distinct p_brand) as df from h group by kw)
 select h.kw, p_brand, df, round(sum(1.0::double / (1 + df)), 6) as weight from h join d using (kw) group by h.kw, p_brand, df
 """)
 def df_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J-09, A-11: keywords against sections, and inverse document-frequency weights."""
-    words = spark.createDataFrame([("red",), ("almond",), ("steel",), ("zzz",)], "kw string")
+    words = spark.createDataFrame([("red",), ("ring",), ("economy",), ("zzz",)], "kw string")
     hits = R.theta_contains(table(spark, sf_dir, "part"), F.concat_ws(" ", "p_name", "p_type"), words, "kw").select("kw", "p_partkey", "p_brand")
     return R.df_weights(hits, "kw", "p_brand").groupBy("kw", "p_brand", "df").agg(F.round(F.sum("weight"), 6).alias("weight"))
 
@@ -497,11 +497,11 @@ def next_free_number(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-select p_partkey, p_type, p_size from part order by (case when contains(p_type, 'STEEL') then 2 when contains(p_type, 'TIN') then 1 else 0 end + greatest(0, 4 - p_size % 5)) desc, p_size desc, p_partkey limit 30
+select p_partkey, p_type, p_size from part order by (case when contains(p_type, 'ECONOMY') then 2 when contains(p_type, 'PROMO') then 1 else 0 end + greatest(0, 4 - p_size % 5)) desc, p_size desc, p_partkey limit 30
 """)
 def multi_key_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T-02, T-05, T-06, T-07: sorts by flags, bonuses and counts, with a last unique key."""
-    hits = F.when(F.contains("p_type", F.lit("STEEL")), 2).when(F.contains("p_type", F.lit("TIN")), 1).otherwise(0)
+    hits = F.when(F.contains("p_type", F.lit("ECONOMY")), 2).when(F.contains("p_type", F.lit("PROMO")), 1).otherwise(0)
     return table(spark, sf_dir, "part").orderBy((hits + F.greatest(F.lit(0), 4 - F.col("p_size") % 5)).desc(), F.col("p_size").desc(), "p_partkey").limit(30).select("p_partkey", "p_type", "p_size")
 
 

@@ -153,7 +153,7 @@ def vector_group_max(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CATALOGUE = "select p_partkey as section, p_name as title, p_brand as keywords, p_type as summary from part"
-_W = "(values (1, 'steel'), (1, 'brand#1'), (2, 'tin'), (2, 'al'), (3, 'zzz')) w(query_id, term)"
+_W = "(values (1, 'ring'), (1, 'brand#1'), (2, 'gear'), (2, 'al'), (3, 'zzz')) w(query_id, term)"
 
 
 def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,7 +167,7 @@ select query_id, section, max(priority)::int as priority, round(sum(priority / (
 """)
 def section_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R-06, R-14, T-08, A-11: sections by where a question's words stand, weighted against common words."""
-    asked = spark.createDataFrame([(1, "steel"), (1, "brand#1"), (2, "tin"), (2, "al"), (3, "zzz")], "query_id int, term string")
+    asked = spark.createDataFrame([(1, "ring"), (1, "brand#1"), (2, "gear"), (2, "al"), (3, "zzz")], "query_id int, term string")
     return R.section_priority(catalogue(spark, sf_dir), asked).select("query_id", "section", "priority", F.round("weighted", 6).alias("weighted"))
 
 
@@ -182,12 +182,12 @@ def rare_token_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.rare_tokens(table(spark, sf_dir, "documents"), "doc_id", "text", asked).select("query_id", "doc_id", "tokens", F.round("weight", 6).alias("weight"), "score")
 
 
-RULES = (("steel", ["steel", "metal"], ["polished"], 1.5, []), ("tin", ["tin"], ["steel"], -1.0, ["plated"]), ("any", ["a"], ["brushed"], 0.25, []))
+RULES = (("small", ["tin", "metal"], ["small", "medium"], 1.5, []), ("promo", ["tin"], ["promo"], -1.0, ["plated"]), ("unless", ["tin"], ["large"], -9.0, ["steel"]), ("any", ["a"], ["economy"], 0.25, []))
 
 
 @query("""
 with s as (select p_partkey, 'tin or steel parts' as query, lower(p_type) as t from part)
-select p_partkey, ((case when contains(t, 'polished') then 1.5 else 0 end) + (case when contains(t, 'steel') then -1.0 else 0 end) + (case when contains(t, 'brushed') then 0.25 else 0 end))::double as score from s
+select p_partkey, ((case when contains(t, 'small') or contains(t, 'medium') then 1.5 else 0 end) + (case when contains(t, 'promo') then -1.0 else 0 end) + (case when contains(t, 'economy') then 0.25 else 0 end))::double as score from s
 """)
 def boost_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F-56, PL-02: boosts and penalties by the question and the section's title."""
@@ -211,7 +211,7 @@ def retrieve_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def chapter_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R-14, U-06, J-06: chapters by how many words of a question they have."""
-    asked = spark.createDataFrame([(1, "polished steel"), (2, "STANDARD tin"), (3, "nothing9 here")], "query_id int, query string")
+    asked = spark.createDataFrame([(1, "red ring"), (2, "STANDARD gear"), (3, "nothing9 here")], "query_id int, query string")
     return R.chapter_pages(catalogue(spark, sf_dir), asked)
 
 
