@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +27,7 @@ from .mixing_model import LOW_BITS, ORDERS, REGION_BITS, TABLE_BITS, Cache, Mode
 #: The key of the end of a text among words.
 END_KEY = U64(1)
 #: A task's sums are handed on when they reach this many rows.
-HELD = 4_000_000
+HELD = 3_000_000
 
 
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:
@@ -71,7 +71,7 @@ def gather(docs: DataFrame) -> DataFrame:
                         held.append((key << U64(factor), n.astype(np.int64)))
                         size += len(key)
                 held.append((np.array([END_KEY]), np.array([j - i], np.int64)))
-                if size > 2_000_000:
+                if size > 1_000_000:
                     held[:] = summed(held)
                     size = len(held[0][0])
                     if size > HELD:
@@ -131,11 +131,11 @@ def counters(grams_: DataFrame) -> np.ndarray:
     return table_
 
 
-def train(grams_: DataFrame) -> Model:
-    """The model of (gram, n): counters, then weights learnt online in shares and averaged, then the refinement of their outcomes."""
+def train(grams_: DataFrame) -> tuple[Model, Broadcast]:
+    """The model of (gram, n), without its table, and the table as a broadcast: counters, then weights learnt online in shares and averaged, then the refinement of their outcomes."""
     spark = grams_.sparkSession
-    model = Model(counters(grams_))
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast(counters(grams_))
+    model = Model(np.zeros(0, np.uint16))
 
     def pairs(batches):
         for batch in batches:
@@ -144,7 +144,7 @@ def train(grams_: DataFrame) -> Model:
                 yield key, n
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model(shared.value.table)
+        own = Model(shared.value)
         total = sum(own.learn(key, n) for key, n in pairs(batches))
         if total:
             yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([own.weights.tobytes()], pa.binary())], names=["total", "weights"])
@@ -154,22 +154,22 @@ def train(grams_: DataFrame) -> Model:
         total += row["total"]
         weights += row["total"] * np.frombuffer(row["weights"], np.float32).reshape(weights.shape)
     if not total:
-        return model
+        return model, shared
     model.weights = (weights / total).astype(np.float32)
     shared_weights = model.weights
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model(shared.value.table, shared_weights)
+        own = Model(shared.value, shared_weights)
         seen = sum((own.outcomes(key, n) for key, n in pairs(batches)), np.zeros(1))
         if seen.size > 1:
             yield pa.RecordBatch.from_arrays([pa.array([seen.tobytes()], pa.binary())], names=["outcomes"])
 
     seen = sum((np.frombuffer(row[0], np.float64) for row in grams_.mapInArrow(judge, "outcomes binary").toLocalIterator()), np.zeros(1))
     model.refine(seen)
-    return model
+    return model, shared
 
 
-def scores(docs: DataFrame, folds: int = 7, fold: int = 2, frequent: int = 1 << 20) -> DataFrame:
+def scores(docs: DataFrame, folds: int = 7, fold: int = 2, frequent: int = 1 << 18) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of docs (doc_id, text)."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out(F.col("doc_id"), folds, fold).alias("held_out"))
@@ -177,14 +177,15 @@ def scores(docs: DataFrame, folds: int = 7, fold: int = 2, frequent: int = 1 <<
     is_word = F.col("key").bitwiseAND(F.lit(1).cast("long")) == 1
     counts = gathered.where(is_word)
     n_tokens, n_types = (int(x or 0) for x in counts.agg(F.sum("n"), F.count("*")).first())
-    model = train(gathered.where(~is_word).select(F.shiftrightunsigned("key", 1).alias("gram"), "n"))
+    model, counters_ = train(gathered.where(~is_word).select(F.shiftrightunsigned("key", 1).alias("gram"), "n"))
     least = _frequent_from(counts, frequent)
     known = counts.where(F.col("n") >= least).toPandas()  # at most `frequent` rows
     known = known.sort_values("key", key=lambda s: s.to_numpy().view(np.uint64))
-    shared = spark.sparkContext.broadcast((model, known["key"].to_numpy().view(U64), known["n"].to_numpy()))
+    shared = spark.sparkContext.broadcast((model.weights, model.refined, known["key"].to_numpy().view(U64), known["n"].to_numpy()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, keys, amounts = shared.value
+        weights, refined, keys, amounts = shared.value
+        model = Model(counters_.value, weights, refined)
         cache, made = Cache(model), TaskContext.get().partitionId() << 40
         logs = np.log10(amounts + 1.0)
         end = np.searchsorted(keys, END_KEY)
