@@ -20,6 +20,8 @@ from .common import materialize, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 BITS, LEVELS = 12, 3
+#: Tables with a row a source travel to the documents up to this many rows (some MB); larger ones are joined by shuffle.
+TRAVELS = 100_000
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -55,12 +57,18 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: fl
     return leveled.select("source", "source_size", target.alias("target"))
 
 
+def _travelling(small: DataFrame) -> DataFrame:
+    """A written table with a row a source, with a broadcast hint if its rows, which are counted, are few enough."""
+    return F.broadcast(small) if small.count() <= TRAVELS else small
+
+
 def thresholds(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """For each source (key) with a need, the first hash that is not taken, so that the taken tokens come as near as documents allow."""
+    wanted = materialize(wanted, "mix-needs")
     state = wanted.select("key", F.col("need"), F.lit(0).cast("long").alias("prefix"), F.lit(0.0).alias("below"))
     for level in range(1, LEVELS + 1):
         shift = BITS * (LEVELS - level)
-        rows = docs if level == 1 else docs.join(state.select("key", F.col("prefix").alias("at")), "key").where(F.shiftright("h", shift + BITS) == F.col("at"))
+        rows = docs if level == 1 else docs.join(_travelling(state.select("key", F.col("prefix").alias("at"))), "key").where(F.shiftright("h", shift + BITS) == F.col("at"))
         sums = rows.groupBy("key", F.shiftright("h", shift).alias("bucket")).agg(F.sum("size").cast("double").alias("tokens"))
         running = F.sum("tokens").over(Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow))
         ahead = sums.withColumn("running", running).join(state.select("key", "need", "below"), "key").withColumn("sum", F.col("below") + F.col("running"))
@@ -86,7 +94,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     limits = thresholds(light.select("key", "h", "size"), goal.select("key", "need"))
     plan = goal.join(limits, "key", "left").select(F.col("key").alias("_key"), "source_size", "target", F.col("whole").alias("_whole"), F.coalesce("limit", F.lit(0)).alias("_limit"))
     extra = F.when(F.col("_h") < F.col("_limit"), 1).otherwise(0)
-    mixed = measured.join(plan, "_key")
+    mixed = measured.join(_travelling(materialize(plan, "mix-plan")), "_key")
     return mixed.withColumn("taken", (F.col("size") * F.least(F.col("_whole") + extra, F.lit(int(most)))).cast("long")).drop("_h", "_key", "_whole", "_limit")
 
 
