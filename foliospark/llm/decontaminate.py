@@ -24,7 +24,7 @@ from .common import Fingerprints, chunks, flat, materialize, per_row, table, wor
 GAP = 1 << 12
 #: Test texts are searched in blocks of about this many bytes, so what is broadcast stays bounded.
 BLOCK_BYTES = 16 << 20
-INDEX = "doc_ids binary, n_words binary, first binary, terms binary, ends binary, positions binary"
+INDEX = "doc_ids binary, no_id binary, n_words binary, first binary, terms binary, ends binary, positions binary"
 RESULT = "doc_id long, n_words long, n_hit long, item_ids array<long>, spans array<struct<start:long,end:long>>"
 
 
@@ -80,7 +80,7 @@ def build_index(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            ids, no_id = batch.column(0).fill_null(0).to_numpy(), batch.column(0).is_null().to_numpy(zero_copy_only=False)
             texts = batch.column(1)
             _, offs = flat(texts)
             for a, b in chunks(offs):
@@ -94,7 +94,7 @@ def build_index(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
                 term, at = term[hit].astype(np.int32), at[hit]
                 order = np.argsort(term, kind="stable")
                 terms, ends = np.unique(term, return_counts=True)
-                row = [ids[a:b].astype(np.int64), counts.astype(np.int64), first.astype(np.int64), terms, np.cumsum(ends), at[order].astype(np.int32 if first[-1] + counts[-1] < 1 << 31 else np.int64)]
+                row = [ids[a:b].astype(np.int64), no_id[a:b], counts.astype(np.int64), first.astype(np.int64), terms, np.cumsum(ends), at[order].astype(np.int32 if first[-1] + counts[-1] < 1 << 31 else np.int64)]
                 yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in row], names=[x.split()[0] for x in INDEX.split(", ")])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -107,6 +107,7 @@ class Shard:
     def __init__(self, row: dict, n_terms: int):
         of = lambda name, kind: np.frombuffer(row[name], kind)
         self.doc_ids, self.n_words, self.first = of("doc_ids", np.int64), of("n_words", np.int64), of("first", np.int64)
+        self.no_id = of("no_id", bool)
         terms, ends = of("terms", np.int32), of("ends", np.int64)
         total = int(ends[-1]) if len(ends) else 0
         self.positions = of("positions", np.int32 if len(row["positions"]) == 4 * total else np.int64).astype(np.int64)
@@ -182,7 +183,7 @@ def find_phrases(index: DataFrame, phrases: Phrases) -> DataFrame:
                     for d, a, b in zip(doc.tolist(), (start - shard.first[doc]).tolist(), (end - shard.first[doc]).tolist(), strict=True):
                         runs[d].append({"start": a, "end": b})
                 spans = pa.array(runs, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
-                yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids), pa.array(shard.n_words), pa.array(hit), pa.array(found, pa.list_(pa.int64())), spans], names=["doc_id", "n_words", "n_hit", "item_ids", "spans"])
+                yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids, mask=shard.no_id), pa.array(shard.n_words), pa.array(hit), pa.array(found, pa.list_(pa.int64())), spans], names=["doc_id", "n_words", "n_hit", "item_ids", "spans"])
 
     return index.mapInArrow(search, RESULT)
 
@@ -213,9 +214,10 @@ def find_near(index: DataFrame, vocabulary: np.ndarray, pairs: list[tuple[str, s
                         near = at[shard.has(np.full(len(at), other), at + gap)]
                         first, second = (near, near + gap) if lead == a else (near + gap, near)
                         doc = np.searchsorted(shard.first, near, side="right") - 1
-                        out.append((shard.doc_ids[doc], np.full(len(near), k), first - shard.first[doc], second - shard.first[doc]))
+                        out.append((shard.doc_ids[doc], np.full(len(near), k), first - shard.first[doc], second - shard.first[doc], shard.no_id[doc]))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out, strict=True)], names=["doc_id", "pair", "first", "second"])
+                    doc_id, pair, first, second, no_id = (np.concatenate(x) for x in zip(*out, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(doc_id, mask=no_id), *[pa.array(x.astype(np.int64)) for x in (pair, first, second)]], names=["doc_id", "pair", "first", "second"])
 
     return index.mapInArrow(search, "doc_id long, pair long, first long, second long")
 
