@@ -316,7 +316,7 @@ def category_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 with k(kw) as (values ('the'), ('license'), ('of'), ('public'))
-select kw, count(distinct source) as spread from k left join documents on contains(lower(text), kw) group by kw
+select kw, count(distinct source) as spread from k join documents on contains(lower(text), kw) group by kw
 """)
 def keyword_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A-08: how many distinct attributes a keyword touches."""
