@@ -67,7 +67,7 @@ def named_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes with a name of their own on a page."""
     x, y, q = F.col("l_partkey") % 500, F.col("l_suppkey") % 700, F.col("l_quantity")
     made = {"x1": x, "y1": y, "x2": x + 40 + q, "y2": y + 30 + q}
-    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), (F.col("l_partkey") * 1000000 + F.col("l_suppkey") * 10 + F.col("l_linenumber")).alias("box"), *[v.cast("double").alias(k) for k, v in made.items()]).distinct()
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), (F.col("l_partkey") * 1000000 + F.col("l_suppkey") * 10 + F.col("l_linenumber")).alias("box"), *[v.cast("double").alias(k) for k, v in made.items()]).distinct().distinct()
 
 
 @query(r"""
