@@ -52,7 +52,7 @@ def column_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-with b as (select distinct {_BOX.replace("l_linenumber as box", "l_partkey * 1000000 + l_suppkey * 10 + l_linenumber as box")} from lineitem), o as (select page, box, row_number() over (partition by page order by least(floor((x1 + x2) / 2 / 250), 1), y1, x1, box) as ord, row_number() over (partition by page order by (x2 - x1) * (y2 - y1) desc, box) as size_rank from b)
+with b as (select distinct {_BOX.replace("l_linenumber as box", "l_partkey * 100000000 + l_suppkey * 1000 + l_linenumber * 100 + l_quantity::bigint as box")} from lineitem), o as (select page, box, row_number() over (partition by page order by least(floor((x1 + x2) / 2 / 250), 1), y1, x1, box) as ord, row_number() over (partition by page order by (x2 - x1) * (y2 - y1) desc, box) as size_rank from b)
 select page, box, ord::int as ord, size_rank <= 4 as large from o
 """)
 def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +67,7 @@ def named_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes with a name of their own on a page."""
     x, y, q = F.col("l_partkey") % 500, F.col("l_suppkey") % 700, F.col("l_quantity")
     made = {"x1": x, "y1": y, "x2": x + 40 + q, "y2": y + 30 + q}
-    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), (F.col("l_partkey") * 1000000 + F.col("l_suppkey") * 10 + F.col("l_linenumber")).alias("box"), *[v.cast("double").alias(k) for k, v in made.items()]).distinct().distinct()
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), (F.col("l_partkey") * 100000000 + F.col("l_suppkey") * 1000 + F.col("l_linenumber") * 100 + F.col("l_quantity").cast("long")).alias("box"), *[v.cast("double").alias(k) for k, v in made.items()]).distinct()
 
 
 @query(r"""
