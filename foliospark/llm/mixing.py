@@ -1,7 +1,7 @@
 """Mixing sources to target weights by hash-threshold histograms, with DataFrame functions only.
 
 Every document has a 48-bit hash of its id.  A source that must yield need tokens takes all documents whose hash lies
-under a threshold.  Three histograms of 4096 buckets each find it: tokens are summed by source and leading 12 bits, the
+under a threshold.  Four histograms of 4096 buckets each find it: tokens are summed by source and leading 12 bits, the
 bucket in which the running sum passes the need is cut into 4096 again, and so on.  Only (source, bucket) sums are ever
 shuffled or ordered; documents are filtered where they lie and never sorted.
 
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import materialize, table
 
 WORD = r"[^\x20\x09-\x0D]+"
-BITS, LEVELS = 12, 3
+BITS, LEVELS = 12, 4
 #: Tables with a row a source travel to the documents up to this many rows (some MB); larger ones are joined by shuffle.
 TRAVELS = 100_000
 
