@@ -24,6 +24,11 @@ def clean_query(text: Column) -> Column:
     return F.trim(F.regexp_replace(parted, r"\s+", " "))
 
 
+def retrieval_query(text: Column) -> Column:
+    """A question without punctuation and double spaces; every word stays."""
+    return F.trim(F.regexp_replace(F.regexp_replace(text, rf"[^\w\s{CJK}]", " "), r"\s+", " "))
+
+
 def _bigrams(word: Column, step: int) -> Column:
     """Two-character pieces of a word, each step characters; the last two characters always end the list."""
     starts = F.sequence(F.lit(1), F.length(word) - 1, F.lit(step))

@@ -276,3 +276,65 @@ def merge_contexts(hits: DataFrame, most: int = DEFAULT.merge_max) -> DataFrame:
         return pd.DataFrame([(key[0], text, pages, len(text))], columns=["query_id", "context", "pages", "chars"])
 
     return hits.groupBy("query_id").applyInPandas(one, "query_id int, context string, pages int, chars int")
+
+
+def retrieve_macro(chunks: DataFrame, vectors: DataFrame, questions: DataFrame, embedded: DataFrame, limit: int = 20) -> DataFrame:
+    """(query_id, page, score, stage, rank): text hits, filled up with vectors at .8 x cosine, .25 at least (R-09)."""
+    words = questions.select("query_id", F.explode(T.query_keywords(F.lower("query"))).alias("term"))
+    text = and_or_search(chunks, "page", "text", words, 2 * limit).select("query_id", "page", "score", F.lit("text").alias("stage"))
+    few = questions.select("query_id").join(text.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left").where(F.coalesce(F.col("n"), F.lit(0)) < limit).select("query_id")
+    near = vector_search(vectors, embedded.join(F.broadcast(few), "query_id", "left_semi"), limit, 0.35)
+    fill = near.select("query_id", F.col("vec_id").alias("page"), (0.8 * F.col("score")).alias("score"), F.lit("vector").alias("stage")).where(F.col("score") >= 0.25)
+    fill = fill.join(text.select("query_id", "page"), ["query_id", "page"], "left_anti")
+    return top(text.unionByName(fill), ["query_id"], [F.col("score").desc(), F.col("page")], limit)
+
+
+def retrieve_feature(chunks: DataFrame, vectors: DataFrame, questions: DataFrame, embedded: DataFrame, limit: int = 20) -> DataFrame:
+    """Vectors alone, and the macro way for questions that none is near to (R-08)."""
+    near = vector_search(vectors, embedded, limit, 0.3).select("query_id", F.col("vec_id").alias("page"), "score", F.lit("vector").alias("stage"))
+    rest = questions.join(near.select("query_id").distinct(), "query_id", "left_anti")
+    other = retrieve_macro(chunks, vectors, rest, embedded.join(rest.select("query_id"), "query_id", "left_semi"), limit).drop("rank")
+    return top(near.unionByName(other), ["query_id"], [F.col("score").desc(), F.col("page")], limit)
+
+
+def fence_diagrams(answer: str) -> str:
+    """An answer with runs of three or more lines of box drawing in code fences, outside fences that are there (F-32)."""
+    out, held, fenced = [], [], False
+    drawn = re.compile(r"[─│┌┐└┘├┤┬┴┼═║╔╗╚╝]|[+|][-=]{3,}|[-=]{2,}>|^\s*[|+].*[|+]\s*$")
+
+    def flush():
+        nonlocal held
+        table = any(re.match(r"^\s*\|?[\s:|-]*-[\s:|-]*\|?\s*$", line) and "|" in line for line in held)
+        out.extend(["```", *held, "```"] if len(held) >= 3 and not table else held)
+        held = []
+
+    for line in answer.split("\n"):
+        if line.lstrip().startswith("```"):
+            flush()
+            fenced = not fenced
+            out.append(line)
+        elif not fenced and drawn.search(line):
+            held.append(line)
+        else:
+            flush()
+            out.append(line)
+    flush()
+    return "\n".join(out)
+
+
+def sample_context(context: str, query: str, most: int, segments: int = 5) -> str:
+    """A long context cut to windows around the question's words, or to segments at even distances (F-33)."""
+    if len(context) <= most:
+        return context
+    words = [w.lower() for w in re.findall(r"[一-鿿]{2,}|[A-Za-z0-9]{3,}", query) if not w.isdigit()]
+    low = context.lower()
+    hits = sorted({m.start() for w in words for m in re.finditer(re.escape(w), low)})
+    size = most // segments
+    spans: list[list[int]] = []
+    for p in hits or [k * len(context) // segments for k in range(segments)]:
+        a, b = max(0, p - size // 2), min(len(context), p + size // 2)
+        if spans and a <= spans[-1][1]:
+            spans[-1][1] = b
+        elif sum(y - x for x, y in spans) + b - a <= most:
+            spans.append([a, b])
+    return "\n...\n".join(context[a:b] for a, b in spans)[:most]

@@ -335,3 +335,39 @@ def test_agrees_with_sql(spark, duck, name):
 def test_runs(spark, name):
     df = catalog.queries()[name](spark, DATA)
     assert df.columns and df.count() >= 0
+
+
+# answers and properties
+
+
+def test_fences_and_samples():
+    drawn = "intro\n+---+\n| a |\n+---+\nend"
+    assert retrieval.fence_diagrams(drawn) == "intro\n```\n+---+\n| a |\n+---+\n```\nend"
+    table_ = "| a | b |\n|---|---|\n| 1 | 2 |"
+    assert retrieval.fence_diagrams(table_) == table_
+    context = "x" * 3000 + " the voltage is 5 V " + "y" * 3000
+    assert "voltage" in retrieval.sample_context(context, "voltage?", 1000) and len(retrieval.sample_context(context, "zzz", 1000)) <= 1000
+
+
+def test_structural_properties():
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    @settings(max_examples=60, deadline=None)
+    @given(st.lists(st.text(alphabet="ab1#| .", max_size=60), max_size=30), st.integers(40, 200))
+    def holds(lines, most):
+        whole = "\n".join(lines)
+        chunks = chunking.structural(whole, most)
+        assert chunks
+        if len(chunks) > 1:
+            assert all(len(c) <= 1.5 * most + 130 for c in chunks)
+        for letter in "b":
+            assert sum(c.count(letter) for c in chunks) >= whole.count(letter)
+
+    holds()
+
+
+def test_optional_subpackage_is_optional():
+    import __spark_entry__
+
+    assert set(catalog.queries()) <= set(__spark_entry__.queries())
