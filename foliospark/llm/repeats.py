@@ -189,10 +189,8 @@ def finer_rows(parts: DataFrame, window: int, width: int) -> DataFrame:
 
 def covered_runs(texts: DataFrame, window: int = 400) -> DataFrame:
     """(uid, runs): for each text with repeated windows, the runs of bytes [start, end) that they cover, unmerged; texts: (uid, text)."""
-    if window < 384 + Q - 1:
-        raise ValueError("windows are of 400 bytes or more")
-    if window != 400:
-        raise ValueError("parts are laid out for windows of 400 bytes")
+    if not 192 + Q <= window < 1024:
+        raise ValueError("windows are of 209 to 1023 bytes")
     states = materialize(settle(materialize(first_rows(texts, window), "rows")), "states")
     wanted = states.where(F.col("state") >= OPEN)
     spans = materialize(contexts(texts, wanted, window), "contexts")

@@ -97,14 +97,15 @@ def test_repeats(docs, corpus):
     assert rows(digest(repeats.cut_repeats(docs))) == expected
 
 
-def test_repeats_partial_overlaps(spark):
+@pytest.mark.parametrize("window", [209, 256, 400, 700])
+def test_repeats_partial_overlaps(spark, window):
     rng = np.random.default_rng(3)
     word = lambda n: bytes(rng.integers(97, 123, n).astype(np.uint8)).decode()
     base = word(1500)
     texts = [base, word(50) + base[200:900] + word(80), word(90) + base[500:1499], base[:399], base[:400] + word(5), base[100:501] + base[1000:1400], "a" * 900, "ab" * 500, word(399), word(401)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert rows(digest(repeats.cut_repeats(df))) == sorted([(i, *x) for i, x in enumerate(brute_cut(texts))], key=str)
-    assert rows(digest(repeats.cut_repeats(df.limit(0)))) == []
+    assert rows(digest(repeats.cut_repeats(df, window))) == sorted([(i, *x) for i, x in enumerate(brute_cut(texts, window))], key=str)
+    assert rows(digest(repeats.cut_repeats(df.limit(0), window))) == []
 
 
 # 3

@@ -44,7 +44,7 @@ def test_stages(spark, folder):
 
     assert sorted(r[0] for r in cut) == [i for _, i in brute_kept(dedup)]
 
-    expected = {r[0]: x[0] - x[1] for r, x in zip(cut, brute_cut([r[1] for r in cut]), strict=True)}
+    expected = {r[0]: x[0] - x[1] for r, x in zip(cut, brute_cut([r[1] for r in cut], corpus_pipeline.REPEAT_BYTES), strict=True)}
     assert {r[0]: len((r[1] or "").encode()) for r in clean} == expected
 
     items = [tuple(r) for r in table(spark, folder, "benchmark").collect()]
