@@ -1 +1 @@
-
+"""Plans of questions, packs, model calls."""

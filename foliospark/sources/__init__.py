@@ -1 +1 @@
-
+"""Files and tables."""

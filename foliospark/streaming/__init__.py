@@ -1 +1 @@
-
+"""Stateful operators."""
