@@ -90,19 +90,29 @@ def first_rows(texts: DataFrame, window: int) -> DataFrame:
     return texts.mapInArrow(run, ROWS)
 
 
+#: A task that sorts a bucket of more rows than this hands them on in parts.
+HELD_ROWS = 1 << 18
+
+
 def settle(rows: DataFrame) -> DataFrame:
-    """STATES of the rows: COVERED, OPEN, and SPOKESMAN, a covered row once more that goes on for its equals; rows alone are dropped."""
+    """STATES of the rows: COVERED, OPEN, and SPOKESMAN, a covered row once more that goes on for its equals; rows alone are dropped.
+
+    Rows are dealt by ranges of both bucket numbers, so a bucket of any size is split between tasks, and only rows that
+    are equal in both, which each task has made one, stay together.  Where a first bucket may go on in another task, or
+    is handed on in parts, its rows count as not alone and as awaited: at worst a row is looked at once more.
+    """
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def judged(columns: list[np.ndarray]) -> pa.RecordBatch:
+    def judged(columns: list[np.ndarray], edges: set[int]) -> pa.RecordBatch:
         uid, pos, part, lo, hi, ikey, ukey, count = columns
         i_new = np.concatenate([[True], ikey[1:] != ikey[:-1]])
         u_new = i_new | np.concatenate([[True], ukey[1:] != ukey[:-1]])
         i_at, u_at = np.flatnonzero(i_new), np.flatnonzero(u_new)
         i_of, u_of = np.cumsum(i_new) - 1, np.cumsum(u_new) - 1
+        edge = np.isin(ikey, list(edges))
         covered = (np.add.reduceat(count, u_at) >= 2)[u_of]
-        open_ = (np.add.reduceat(count, i_at) >= 2)[i_of] & ~covered
-        awaited = np.logical_or.reduceat(open_, i_at)[i_of]
+        open_ = ((np.add.reduceat(count, i_at) >= 2)[i_of] | edge) & ~covered
+        awaited = np.logical_or.reduceat(open_, i_at)[i_of] | edge
         spoken = covered & awaited & u_new
         picks = [np.flatnonzero(x) for x in (covered, open_, spoken)]
         take = np.concatenate(picks)
@@ -111,21 +121,35 @@ def settle(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
+        size, edges = 0, set()
         for batch in batches:
             columns = [c.to_numpy() for c in batch.columns]
             if not len(columns[0]):
                 continue
-            cut = int(np.searchsorted(columns[5], columns[5][-1]))
-            if cut or (held and held[-1][5][-1] != columns[5][0]):
-                whole = [np.concatenate(x) for x in zip(*held, [c[:cut] for c in columns], strict=True)]
-                if len(whole[0]):
-                    yield judged(whole)
-                held = []
-            held.append([c[cut:] for c in columns])
+            if not edges:
+                edges.add(int(columns[5][0]))
+            held.append(columns)
+            size += len(columns[0])
+            if size < HELD_ROWS:
+                continue
+            whole = [np.concatenate(x) for x in zip(*held, strict=True)]
+            cut = int(np.searchsorted(whole[5], whole[5][-1]))
+            if not cut:  # one bucket: all but the last run of equals goes on now
+                edges.add(int(whole[5][-1]))
+                cut = int(np.searchsorted(whole[6], whole[6][-1]))
+            if cut:
+                yield judged([x[:cut] for x in whole], edges)
+            elif size > 8 * HELD_ROWS:  # one run of equals, all covered: one row stands for those to come
+                yield judged(whole, edges)
+                whole[7][-1] = 2
+                cut = size - 1
+            held = [[x[cut:] for x in whole]]
+            size -= cut
         if held:
-            yield judged([np.concatenate(x) for x in zip(*held, strict=True)])
+            whole = [np.concatenate(x) for x in zip(*held, strict=True)]
+            yield judged(whole, edges | {int(whole[5][-1])})
 
-    met = rows.where("n > 0").repartition(n, "ikey").sortWithinPartitions("ikey", "ukey").mapInArrow(run, STATES)
+    met = rows.where("n > 0").repartitionByRange(n, "ikey", "ukey").sortWithinPartitions("ikey", "ukey").mapInArrow(run, STATES)
     return met.unionByName(rows.where("n = 0").select(*_names(REF), F.lit(COVERED).alias("state")))
 
 

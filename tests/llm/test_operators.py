@@ -92,7 +92,9 @@ def digest(df):
     return df.select("doc_id", "n_bytes", removed, F.size("spans").cast("long"), F.sha2("kept", 256))
 
 
-def test_repeats(docs, corpus):
+@pytest.mark.parametrize("held", [3, 1 << 18])
+def test_repeats(docs, corpus, monkeypatch, held):
+    monkeypatch.setattr(repeats, "HELD_ROWS", held)
     expected = sorted([(i, *x) for (i, *_), x in zip(corpus, brute_cut([t for _, t, *_ in corpus]), strict=True)], key=str)
     assert rows(digest(repeats.cut_repeats(docs))) == expected
 
