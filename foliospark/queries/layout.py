@@ -116,7 +116,11 @@ def marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+@query("""
+with b as (select l_suppkey as doc, l_orderkey as page, (l_suppkey % 7 * 50)::double as x, least(0.85::double + case when l_linenumber % 5 + 1 > 2 then 0.15::double else 0 end, 1.0::double) as score from lineitem),
+g as (select doc, '45.0_' || x::varchar || '_0.0_0.5' as signature, count(*) as n, avg(score) as score, count(distinct page) as pages from b group by doc, x)
+select doc, signature, n, round(score, 6) as score from g where n >= greatest(2, floor(0.7 * pages)) and score > 0.5
+""")
 def watermark_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A-16: watermarks by recurring signatures."""
     return L.watermarks(marks(spark, sf_dir).withColumns({"gray": F.lit(0.5), "angle": F.lit(45.0), "y": F.lit(0.0)}))

@@ -208,7 +208,11 @@ def retrieve_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.retrieve_exact(pages, sections, asked, vectors, embedded).select("query_id", "page", F.round("score", 6).alias("score"), "stage", "rank")
 
 
-@query()
+@query(f"""
+with w(query_id, term) as (values (1, 'red'), (1, 'ring'), (2, 'standard'), (2, 'gear'), (3, 'nothing9'), (3, 'here')), s as (select section, lower(concat_ws(' ', title, keywords, summary)) as t from ({CATALOGUE})),
+h as (select query_id, section, count(*) as hits from s, w where regexp_matches(t, '(^|[^a-z0-9])' || term || '($|[^a-z0-9])') group by all), r as (select *, row_number() over (partition by query_id order by hits desc, section) as r from h)
+select query_id, section, hits, r::int as rank from r where r <= 30
+""")
 def chapter_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R-14, U-06, J-06: chapters by how many words of a question they have."""
     asked = spark.createDataFrame([(1, "red ring"), (2, "STANDARD gear"), (3, "nothing9 here")], "query_id int, query string")

@@ -10,7 +10,12 @@ from ..registry import query, table
 from ..streaming import admission, states
 
 
-@query()
+@query("""
+with recursive r as (select user_id, event_id, ts, row_number() over (partition by user_id order by ts, event_id) as k from events),
+a as (select user_id, k, event_id, [ts] as times, true as admitted from r where k = 1
+  union all select r.user_id, r.k, r.event_id, case when len(list_filter(a.times, lambda t: r.ts - t < interval 1 hour)) < 2 then list_append(list_filter(a.times, lambda t: r.ts - t < interval 1 hour), r.ts) else list_filter(a.times, lambda t: r.ts - t < interval 1 hour) end, len(list_filter(a.times, lambda t: r.ts - t < interval 1 hour)) < 2 from a join r on r.user_id = a.user_id and r.k = a.k + 1)
+select user_id::varchar as key, event_id as id, admitted from a
+""")
 def rate_window_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST-01: requests admitted two an hour by user; refused ones don't count."""
     events = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("key"), "ts", F.col("event_id").alias("id"))
