@@ -266,15 +266,22 @@ def sketches(texts: DataFrame, width: int) -> DataFrame:
     return texts.mapInArrow(run, "uid long, fp long, bands array<long>")
 
 
+#: A task that reads a bucket of more texts than this takes it in parts; the middle of each part goes on to the next.
+HELD_TEXTS = 1 << 19
+
+
+def _core(fp: np.ndarray) -> np.ndarray:
+    """The members nearest to the majority fingerprint, which is about that of the text the others were made from."""
+    middle = np.packbits(2 * np.unpackbits(fp.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) > len(fp), bitorder="little").view(U64)[0]
+    return np.argsort(np.bitwise_count(fp ^ middle), kind="stable")[:NEAREST]
+
+
 def _nearest(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of a bucket: each member with its nearest in Hamming distance; the pivot table drops those surely too far.
 
-    Members come in blocks by their distance to the first pivot; each block also meets the bucket's middle, the members
-    nearest to its majority fingerprint, which is about the text that the others were made from.
+    Members come in blocks by their distance to the first pivot; each block also meets the bucket's core.
     """
-    n = len(fp)
-    middle = np.packbits(2 * np.unpackbits(fp.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) > n, bitorder="little").view(U64)[0]
-    core = np.argsort(np.bitwise_count(fp ^ middle), kind="stable")[:NEAREST]
+    n, core = len(fp), _core(fp)
     order = np.argsort(np.bitwise_count(fp ^ PIVOTS[0]), kind="stable")
     found = []
     for at in range(0, n, BUCKET_BLOCK):
@@ -320,6 +327,11 @@ def candidates(sketched: DataFrame) -> DataFrame:
                 yield pairs(*[np.concatenate(x) for x in zip(*held, (band[:cut], uid[:cut], fp[:cut]), strict=True)])
                 held = []
             held.append((band[cut:], uid[cut:], fp[cut:]))
+            if sum(len(x[0]) for x in held) > HELD_TEXTS:  # one bucket
+                whole = [np.concatenate(x) for x in zip(*held, strict=True)]
+                yield pairs(*whole)
+                core = _core(whole[2])
+                held = [tuple(x[core] for x in whole)]
         if held:
             yield pairs(*[np.concatenate(x) for x in zip(*held, strict=True)])
 

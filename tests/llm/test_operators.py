@@ -243,7 +243,9 @@ def brute_kept(corpus):
     return sorted({min(((i is None, i or 0) for (i, *_), h in zip(corpus, found, strict=True) if h == g)) for g in set(found)})
 
 
-def test_representatives(docs, corpus):
+@pytest.mark.parametrize("held", [2, 1 << 19])
+def test_representatives(docs, corpus, monkeypatch, held):
+    monkeypatch.setattr(simhash, "HELD_TEXTS", held)
     kept = simhash.representatives(docs)
     assert kept.columns == docs.columns
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()) == brute_kept(corpus)
