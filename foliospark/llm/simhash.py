@@ -234,10 +234,10 @@ def shingle_hashes(text: bytes, width: int) -> np.ndarray:
 
 #: Bands of least hashes, and how many a band takes: a pair of similarity 0.8 shares a band in 9998 of 10000 cases.
 BANDS, ROWS_A_BAND = 16, 4
-#: Fingerprints of similar texts: 0.8 means about ten differing bits; beyond this many none is that similar.
-FAR = 22
-#: A bucket's members are compared in blocks of this many, each member keeping this many nearest.
-BUCKET_BLOCK, NEAREST = 2048, 8
+#: Buckets of at most this many texts are compared whole; the members of larger ones also go through crowded().
+WHOLE = 16
+#: With how many texts of its middle each member of a larger bucket is compared.
+CORE = 2
 
 
 def sketches(texts: DataFrame, width: int) -> DataFrame:
@@ -273,44 +273,28 @@ HELD_TEXTS = 1 << 19
 def _core(fp: np.ndarray) -> np.ndarray:
     """The members nearest to the majority fingerprint, which is about that of the text the others were made from."""
     middle = np.packbits(2 * np.unpackbits(fp.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) > len(fp), bitorder="little").view(U64)[0]
-    return np.argsort(np.bitwise_count(fp ^ middle), kind="stable")[:NEAREST]
+    return np.argsort(np.bitwise_count(fp ^ middle), kind="stable")[:CORE]
 
 
-def _nearest(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a bucket: each member with its nearest in Hamming distance; the pivot table drops those surely too far.
-
-    Members come in blocks by their distance to the first pivot; each block also meets the bucket's core.
-    """
-    n, core = len(fp), _core(fp)
-    order = np.argsort(np.bitwise_count(fp ^ PIVOTS[0]), kind="stable")
-    found = []
-    for at in range(0, n, BUCKET_BLOCK):
-        rows = order[at : at + BUCKET_BLOCK]
-        others = np.unique(np.concatenate([rows, core]))
-        table = [np.bitwise_count(fp[x][:, None] ^ PIVOTS[None, 1:4]).astype(np.int8) for x in (rows, others)]
-        reach = np.abs(table[0][:, None, :] - table[1][None, :, :]).max(axis=2) <= FAR
-        apart = np.where(reach, np.bitwise_count(fp[rows][:, None] ^ fp[others][None, :]), 99)
-        apart[rows[:, None] == others[None, :]] = 99
-        k = min(NEAREST, apart.shape[1])
-        near = np.argpartition(apart, k - 1, axis=1)[:, :k]
-        ok = np.take_along_axis(apart, near, axis=1) <= FAR
-        found.append((np.repeat(rows, k)[ok.ravel()], others[near][ok]))
-        close = apart[:, np.isin(others, core)] <= FAR
-        found.append((np.repeat(rows, close.sum(axis=1)), np.broadcast_to(others[np.isin(others, core)], close.shape)[close]))
-    a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-    return np.minimum(a, b), np.maximum(a, b)
+def _proposed(fp: np.ndarray, large: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a bucket: all of them, or of a large one each member with the core and, as a mark, with itself."""
+    n = len(fp)
+    if not large:
+        return np.triu_indices(n, 1)
+    every, core = np.arange(n), _core(fp)
+    return np.concatenate([every, np.tile(every, len(core))]), np.concatenate([every, np.repeat(core, n)])
 
 
 def candidates(sketched: DataFrame) -> DataFrame:
-    """(a, b), a < b: pairs of uids from buckets of equal bands, each text with its nearest fingerprints there."""
+    """(a, b): pairs of uids, a < b, from buckets of equal bands; and a = b for every member of a bucket that isn't compared whole."""
     n = int(sketched.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def pairs(band, uid, fp):
+    def pairs(band, uid, fp, split):
         bounds = np.flatnonzero(np.concatenate([[True], band[1:] != band[:-1], [True]]))
         out = []
         for k in np.flatnonzero(np.diff(bounds) > 1):
             i, j = bounds[k], bounds[k + 1]
-            a, b = _nearest(fp[i:j])
+            a, b = _proposed(fp[i:j], j - i > WHOLE or band[i] == split)
             out.append((uid[i:j][a], uid[i:j][b]))
         a, b = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2
         a, b = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
@@ -318,29 +302,146 @@ def candidates(sketched: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
+        split = None  # the bucket that was taken in parts
         for batch in batches:
             band, uid, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy().view(U64)
             if not len(band):
                 continue
             cut = int(np.searchsorted(band, band[-1]))
             if cut or (held and held[-1][0][-1] != band[0]):
-                yield pairs(*[np.concatenate(x) for x in zip(*held, (band[:cut], uid[:cut], fp[:cut]), strict=True)])
+                yield pairs(*[np.concatenate(x) for x in zip(*held, (band[:cut], uid[:cut], fp[:cut]), strict=True)], split)
                 held = []
             held.append((band[cut:], uid[cut:], fp[cut:]))
             if sum(len(x[0]) for x in held) > HELD_TEXTS:  # one bucket
                 whole = [np.concatenate(x) for x in zip(*held, strict=True)]
-                yield pairs(*whole)
+                split = whole[0][0]
+                yield pairs(*whole, split)
                 core = _core(whole[2])
                 held = [tuple(x[core] for x in whole)]
         if held:
-            yield pairs(*[np.concatenate(x) for x in zip(*held, strict=True)])
+            yield pairs(*[np.concatenate(x) for x in zip(*held, strict=True)], split)
 
     spread = sketched.select(F.explode("bands").alias("band"), "uid", "fp").repartition(n, "band").sortWithinPartitions("band", "uid")
     return spread.mapInArrow(run, "a long, b long").distinct()
 
 
+#: Shingles are ordered by how often one in SAMPLE texts has them; the FREQUENT most frequent ones travel to the texts.
+#: Any order gives the same pairs: it decides only how many are compared.
+SAMPLE, FREQUENT = 16, 1 << 18
+#: Lists of more texts that share a shingle are compared in blocks of about this many, each pair of blocks by itself.
+LIST_BLOCK = 1024
+PREFIX = "token long, uid long, root long, size int, place int, early boolean"
+
+
+def _least(total, share: float):
+    """The least whole number that is at least total x share."""
+    return np.ceil(total * share - 1e-9).astype(np.int64)
+
+
+def frequent(whole: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that a sample of the texts (uid, shingles) often has, sorted, and their counts there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, _ = flat(batch.column(0))
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(data.tobytes(), np.int64))], names=["token"])
+
+    some = whole.where(F.pmod(F.xxhash64("uid"), F.lit(SAMPLE)) == 0).select("shingles").mapInArrow(run, "token long")
+    found = some.groupBy("token").count().where("count > 2").orderBy(F.desc("count"), "token").limit(FREQUENT).toArrow()
+    token, n = found.column(0).to_numpy(), found.column(1).to_numpy()
+    order = np.argsort(token)
+    return token[order], n[order]
+
+
+def prefixes(texts: DataFrame, similarity: float, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """PREFIX for each text's rarest shingles: of two similar texts, the first shingle that they share is among both's.
+
+    It is at an early place of the shorter one: those that leave enough for a text of the same size.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, counts = shared.value
+        for batch in batches:
+            out = []
+            for uid, root, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                x = np.frombuffer(x.as_py(), np.int64)
+                n = len(x)
+                often = np.zeros(n, np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+                    often = np.where(known[at] == x, counts[at], 0)
+                last = n - int(_least(np.float64(n), similarity))
+                place = np.arange(last + 1)
+                early = place <= n - int(_least(np.float64(2 * n), similarity / (1 + similarity)))
+                out.append((x[np.lexsort((x, often))[: last + 1]], np.full(last + 1, uid), np.full(last + 1, root), np.full(last + 1, n, np.int32), place.astype(np.int32), early))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=[x.split()[0] for x in PREFIX.split(", ")])
+
+    return texts.select("uid", "root", "shingles").mapInArrow(run, PREFIX)
+
+
+def crowded(texts: DataFrame, similarity: float, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(a, b), a < b: all pairs of (uid, root, shingles) of different roots that can have the similarity, by a prefix filter.
+
+    Texts meet by the rare shingles of their prefixes; a pair stays if what follows the shared one in both can hold the
+    overlap that it needs, which is so for a similar pair's first.  Lists of any size are compared whole: long ones as
+    pairs of blocks, each with a key of its own, and lists without an early place not at all.
+    """
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = materialize(prefixes(texts, similarity, order), "prefixes")
+    long = rows.groupBy("token").agg(F.count("*").alias("n"), F.max("early").alias("any")).where(F.col("n") > LIST_BLOCK)
+    long = long.select("token", F.when(F.col("any"), F.ceil(F.col("n") / LIST_BLOCK)).otherwise(0).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("uid", F.lit(7)), F.col("blocks")).cast("int")
+    cells = F.expr("transform(sequence(0, blocks - 1), k -> struct(least(k, own) as lo, greatest(k, own) as hi))")
+    split = rows.join(materialize(long, "long"), "token", "left")
+    few = split.where("blocks is null").select(F.col("token").alias("cell"), "uid", "root", "size", "place", "early", F.lit(0).alias("side"))
+    many = split.where("blocks > 0").withColumn("own", own).withColumn("c", F.explode(cells)).select(
+        F.xxhash64("token", "c.lo", "c.hi").alias("cell"), "uid", "root", "size", "place", "early",
+        F.when(F.col("c.lo") == F.col("c.hi"), 0).when(F.col("own") == F.col("c.lo"), 1).otherwise(2).alias("side"),
+    )
+
+    def pairs(cell, uid, root, size, place, early, side):
+        bounds = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1], [True]]))
+        use = (np.diff(bounds) > 1) & np.logical_or.reduceat(early, bounds[:-1])
+        at = np.flatnonzero(np.repeat(use, np.diff(bounds)))
+        out, step = [np.zeros((2, 0), np.int64)], 1
+        while len(at):
+            at = at[at + step < len(cell)]
+            at = at[cell[at] == cell[at + step]]
+            to = at + step
+            ok = (root[at] != root[to]) & (early[at] | early[to]) & ((side[at] == 0) | (side[at] != side[to]))
+            a, b = at[ok], to[ok]
+            ok = _least(size[a] + size[b].astype(np.float64), similarity / (1 + similarity)) <= np.minimum(size[a] - place[a], size[b] - place[b])
+            a, b = uid[a[ok]], uid[b[ok]]
+            out.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
+            step += 1
+        a, b = np.unique(np.concatenate(out, axis=1), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        for batch in batches:
+            got = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(7)]
+            if not len(got[0]):
+                continue
+            cut = int(np.searchsorted(got[0], got[0][-1]))
+            if cut or (held and held[-1][0][-1] != got[0][0]):
+                yield pairs(*[np.concatenate(x) for x in zip(*held, [x[:cut] for x in got], strict=True)])
+                held = []
+            held.append([x[cut:] for x in got])
+        if held:
+            yield pairs(*[np.concatenate(x) for x in zip(*held, strict=True)])
+
+    spread = few.unionByName(many).repartition(n, "cell").sortWithinPartitions("cell", "uid")
+    return spread.mapInArrow(run, "a long, b long").where("a < b").distinct()
+
+
 def similar(texts: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(a, b): candidate pairs of (uid, text) whose sets of shingles have at least this Jaccard similarity, computed from whole texts."""
+    """(a, b): pairs of (uid, text) whose sets of shingles have at least this Jaccard similarity, computed from whole texts.
+
+    All pairs of a band's bucket are looked at, but for those that other edges join anyway.
+    """
     sketched = materialize(sketches(texts, width).dropDuplicates(["uid"]), "sketches")
     pairs = materialize(candidates(sketched), "candidates")
     asked = materialize(pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct(), "asked")
@@ -361,8 +462,18 @@ def similar(texts: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFr
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     whole = materialize(texts.join(asked, "uid").dropDuplicates(["uid"]).select("uid", "text").mapInArrow(sets, "uid long, shingles binary"), "shingles")
-    met = pairs.join(whole.select(F.col("uid").alias("a"), F.col("shingles").alias("x")), "a").join(whole.select(F.col("uid").alias("b"), F.col("shingles").alias("y")), "b")
-    return met.select("a", "b", "x", "y").mapInArrow(verified, "a long, b long")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        met = pairs.join(whole.select(F.col("uid").alias("a"), F.col("shingles").alias("x")), "a").join(whole.select(F.col("uid").alias("b"), F.col("shingles").alias("y")), "b")
+        return met.select("a", "b", "x", "y").mapInArrow(verified, "a long, b long")
+
+    near = materialize(verify(pairs.where("a < b")), "near")
+    marked = pairs.where("a = b").select(F.col("a").alias("uid"))
+    if marked.isEmpty():
+        return near
+    rooted = marked.join(components(near).select(F.col("node").alias("uid"), "root"), "uid", "left").select("uid", F.coalesce("root", "uid").alias("root"))
+    left = crowded(whole.join(materialize(rooted, "rooted"), "uid"), similarity, frequent(whole))
+    return near.unionByName(verify(materialize(left, "crowded")))
 
 
 def representatives(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:

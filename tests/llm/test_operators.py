@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -252,6 +253,24 @@ def test_representatives(docs, corpus, monkeypatch, held):
     assert rows(simhash.representatives(docs.limit(0))) == []
 
 
+def test_representatives_in_a_template_family(spark, monkeypatch):
+    """Thousands of texts share most of their words and aren't alike; planted pairs among them are."""
+    monkeypatch.setattr(simhash, "LIST_BLOCK", 256, raising=False)
+    rng, n = random.Random(17), 6000
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    template = [word() for _ in range(174)]
+    texts = [template + [word() for _ in range(28)] for _ in range(n)]
+    chosen = rng.sample(range(n), 96)
+    pairs = list(zip(chosen[::2], chosen[1::2], strict=True))
+    for a, b in pairs:
+        texts[b] = texts[a][:-20] + [word() for _ in range(20)]
+    sets = [shingle_set(" ".join(t)) for t in texts]
+    alike = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    assert all(alike(a, b) for a, b in pairs) and not any(alike(k, k + 1) for k in range(n - 1) if (k, k + 1) not in pairs and (k + 1, k) not in pairs)
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.representatives(docs).collect()) == sorted(set(range(n)) - {max(x) for x in pairs})
+
+
 # 5
 
 
