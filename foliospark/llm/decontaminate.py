@@ -11,6 +11,7 @@ documents each get their own row and repeated items count once.  Extra columns o
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -225,26 +226,27 @@ def find_near(index: DataFrame, vocabulary: np.ndarray, pairs: list[tuple[str, s
 def contamination(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
     """RESULT's columns for every document, against all items; with several blocks of items, by document row.
 
-    Items beyond one block are searched block by block over the same documents, and a document's parts are joined by
-    its row number within the shard order, so repeated ids stay apart.
+    Items beyond one block are searched block by block over the same documents.  These are written with a row number
+    first, by which a document's parts are joined, so that repeated and null ids stay apart.
     """
-    spark = docs.sparkSession
+    blocks = item_blocks(items)
+    first, second = next(blocks, []), next(blocks, None)
+    if second is None:
+        phrases = Phrases(first, n)
+        index = build_index(docs, phrases.vocabulary)
+        return find_phrases(materialize(index, "index-0") if first else index, phrases)
+    numbered = materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "numbered")
     found = None
-    for k, block in enumerate(item_blocks(items)):
+    for k, block in enumerate(itertools.chain([first, second], blocks)):
         phrases = Phrases(block, n)
-        part = find_phrases(materialize(build_index(docs, phrases.vocabulary), f"index-{k}"), phrases)
+        index = build_index(numbered.select(F.col("row").alias("doc_id"), "text"), phrases.vocabulary)
+        part = find_phrases(materialize(index, f"index-{k}"), phrases)
         found = part if found is None else found.unionByName(part)
-        several = k > 0
-    if found is None:
-        phrases = Phrases([], n)
-        return find_phrases(build_index(docs, phrases.vocabulary), phrases)
-    if not several:
-        return found
-    return _merged(found, spark)
+    return _merged(found).withColumnRenamed("doc_id", "row").join(numbered.select("row", "doc_id"), "row").select("doc_id", "n_words", "n_hit", "item_ids", "spans")
 
 
-def _merged(parts: DataFrame, spark: SparkSession) -> DataFrame:
-    """The results of several blocks as one: runs are united word by word.  Documents sharing an id must share their number of words."""
+def _merged(parts: DataFrame) -> DataFrame:
+    """The results of several blocks as one, by doc_id, which must be a row's own: runs are united word by word."""
     grouped = parts.groupBy("doc_id", "n_words").agg(F.array_distinct(F.flatten(F.collect_list("item_ids"))).alias("item_ids"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("all"))
     joined = F.aggregate(
         "all",

@@ -155,6 +155,15 @@ def test_contamination_in_blocks(spark, docs, corpus, items, monkeypatch):
     assert sorted([(r["doc_id"], r["n_words"], r["n_hit"], tuple(sorted(r["item_ids"]))) for r in found.collect()], key=str) == expected
 
 
+def test_contamination_in_blocks_of_rows_sharing_an_id(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 1)
+    some = [(1, "alpha beta x"), (1, "gamma delta x"), (1, "clean of all"), (1, "clean of all"), (None, "x alpha beta"), (None, "none of these")]
+    items = [(7, "alpha beta"), (8, "gamma delta"), (9, "beta x")]
+    expected = sorted([(i, *x) for (i, _), x in zip(some, brute_phrases([t for _, t in some], items), strict=True)], key=str)
+    found = decontaminate.contamination(spark.createDataFrame(some, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted([(r["doc_id"], r["n_words"], r["n_hit"], tuple(sorted(r["item_ids"]))) for r in found.collect()], key=str) == expected
+
+
 def test_contamination_of_nothing(spark, docs, items):
     none = spark.createDataFrame([], "item_id long, text string")
     assert {(r["n_hit"], len(r["item_ids"])) for r in decontaminate.contamination(docs, none).collect()} == {(0, 0)}
