@@ -6,7 +6,9 @@ the index is split by document: a shard answers for its documents alone and no p
 A search intersects offset-adjusted lists, beginning with the rarest term of each test phrase in the shard at hand.
 
 Null, empty and wordless texts have no words and are never hit; an item without words has no window.  Repeated
-documents each get their own row and repeated items count once.  Extra columns of either table are ignored.
+documents each get their own row and repeated items count once.  Extra columns of either table are ignored.  Items
+without an id are searched like others and are together one item, null in item_ids; ids that aren't whole numbers are
+listed as strings.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ GAP = 1 << 12
 #: Test texts are searched in blocks of about this many bytes, so what is broadcast stays bounded.
 BLOCK_BYTES = 16 << 20
 INDEX = "doc_ids binary, no_id binary, n_words binary, first binary, terms binary, ends binary, positions binary"
-RESULT = "doc_id long, n_words long, n_hit long, item_ids array<long>, spans array<struct<start:long,end:long>>"
+RESULT = "doc_id long, n_words long, n_hit long, item_ids array<{}>, spans array<struct<start:long,end:long>>"
 
 
 def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -41,10 +43,15 @@ def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([np.zeros(0, np.uint64), *found]), np.concatenate(bounds)
 
 
-def item_blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
+def id_type(items: DataFrame) -> str:
+    """How item ids are listed: 'long', or 'string' unless their type is of whole numbers."""
+    return "long" if items.schema["item_id"].dataType.typeName() in ("byte", "short", "integer", "long") else "string"
+
+
+def item_blocks(items: DataFrame) -> Iterator[list[tuple[int | str | None, str]]]:
     """Test items in bounded blocks, read through an iterator: the driver holds one partition of short texts at a time."""
     block, size = [], 0
-    for row in items.select(F.col("item_id").cast("long"), F.col("text")).where("text is not null and item_id is not null").toLocalIterator():
+    for row in items.select(F.col("item_id").cast(id_type(items)), F.col("text")).where("text is not null").toLocalIterator():
         block.append((row[0], row[1]))
         size += len(row[1])
         if size >= BLOCK_BYTES:
@@ -55,9 +62,12 @@ def item_blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
 
 
 class Phrases:
-    """The distinct windows of a block of items as rows of term numbers, by window length."""
+    """The distinct windows of a block of items as rows of term numbers, by window length; owners are places in ids."""
 
-    def __init__(self, block: list[tuple[int, str]], n: int):
+    def __init__(self, block: list[tuple[int | str | None, str]], n: int, kind: str = "long"):
+        self.kind = kind
+        self.ids = list(dict.fromkeys(item for item, _ in block))
+        number = {item: k for k, item in enumerate(self.ids)}
         values, bounds = words_of(pa.array([text for _, text in block], pa.large_string()))
         self.vocabulary = np.unique(values)
         terms = np.searchsorted(self.vocabulary, values).astype(np.int32)
@@ -69,7 +79,7 @@ class Phrases:
                 rows, owners = by_length.setdefault(width, ([], []))
                 windows = np.lib.stride_tricks.sliding_window_view(terms[a:b], width)
                 rows.append(windows)
-                owners.append(np.full(len(windows), item, np.int64))
+                owners.append(np.full(len(windows), number[item], np.int64))
         for rows, owners in by_length.values():
             self.groups.append((np.concatenate(rows), np.concatenate(owners)))
 
@@ -177,16 +187,16 @@ def find_phrases(index: DataFrame, phrases: Phrases) -> DataFrame:
                 if len(start):
                     doc = np.searchsorted(shard.first, start, side="right") - 1
                     for d, item in np.unique(np.stack([doc, owner]), axis=1).T.tolist():
-                        found[d].append(item)
+                        found[d].append(wanted.ids[item])
                     start, end = _covered(shard, start, end)
                     doc = np.searchsorted(shard.first, start, side="right") - 1
                     np.add.at(hit, doc, end - start)
                     for d, a, b in zip(doc.tolist(), (start - shard.first[doc]).tolist(), (end - shard.first[doc]).tolist(), strict=True):
                         runs[d].append({"start": a, "end": b})
                 spans = pa.array(runs, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
-                yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids, mask=shard.no_id), pa.array(shard.n_words), pa.array(hit), pa.array(found, pa.list_(pa.int64())), spans], names=["doc_id", "n_words", "n_hit", "item_ids", "spans"])
+                yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids, mask=shard.no_id), pa.array(shard.n_words), pa.array(hit), pa.array(found, pa.list_(pa.int64() if wanted.kind == "long" else pa.string())), spans], names=["doc_id", "n_words", "n_hit", "item_ids", "spans"])
 
-    return index.mapInArrow(search, RESULT)
+    return index.mapInArrow(search, RESULT.format(phrases.kind))
 
 
 def find_near(index: DataFrame, vocabulary: np.ndarray, pairs: list[tuple[str, str]], distance: int) -> DataFrame:
@@ -229,16 +239,16 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
     Items beyond one block are searched block by block over the same documents.  These are written with a row number
     first, by which a document's parts are joined, so that repeated and null ids stay apart.
     """
-    blocks = item_blocks(items)
+    blocks, kind = item_blocks(items), id_type(items)
     first, second = next(blocks, []), next(blocks, None)
     if second is None:
-        phrases = Phrases(first, n)
+        phrases = Phrases(first, n, kind)
         index = build_index(docs, phrases.vocabulary)
         return find_phrases(materialize(index, "index-0") if first else index, phrases)
     numbered = materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "numbered")
     found = None
     for k, block in enumerate(itertools.chain([first, second], blocks)):
-        phrases = Phrases(block, n)
+        phrases = Phrases(block, n, kind)
         index = build_index(numbered.select(F.col("row").alias("doc_id"), "text"), phrases.vocabulary)
         part = find_phrases(materialize(index, f"index-{k}"), phrases)
         found = part if found is None else found.unionByName(part)

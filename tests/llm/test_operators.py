@@ -164,6 +164,18 @@ def test_contamination_in_blocks_of_rows_sharing_an_id(spark, monkeypatch):
     assert sorted([(r["doc_id"], r["n_words"], r["n_hit"], tuple(sorted(r["item_ids"]))) for r in found.collect()], key=str) == expected
 
 
+@pytest.mark.parametrize("size", [1, 1 << 20])
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_contamination_by_items_without_an_id(spark, monkeypatch, size, kind):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", size)
+    seven = 7 if kind == "long" else "q-7"
+    docs = spark.createDataFrame([(1, "x alpha beta"), (2, "alpha beta gamma delta eps"), (3, "none")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "alpha beta"), (None, "gamma delta"), (seven, "delta eps")], f"item_id {kind}, text string")
+    found = decontaminate.contamination(docs, items).collect()
+    assert sorted((r["doc_id"], r["n_hit"], tuple(sorted(r["item_ids"], key=str))) for r in found) == [(1, 2, (None,)), (2, 5, tuple(sorted((None, seven), key=str))), (3, 0, ())]
+    assert [r["doc_id"] for r in decontaminate.clean(docs, items).collect()] == [3]
+
+
 def test_contamination_of_nothing(spark, docs, items):
     none = spark.createDataFrame([], "item_id long, text string")
     assert {(r["n_hit"], len(r["item_ids"])) for r in decontaminate.contamination(docs, none).collect()} == {(0, 0)}
