@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,30 +19,55 @@ _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    current = spark.sparkContext.getCheckpointDir()
-    if not current:
+    """The folder that driver and executors share: spark.checkpoint.dir, or the one set on the context.
+
+    Where neither is set, a local session gets a temporary folder; on a cluster that is an error.
+    """
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="foliospark-"))
-        current = spark.sparkContext.getCheckpointDir()
-    return current.rstrip("/")
+        found = spark.sparkContext.getCheckpointDir()
+    return found.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, frees: tuple[DataFrame, ...] = ()) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: lineage ends there, and any executor can read it again.
 
-    The table goes when the driver's JVM ends.
+    The tables of `frees`, which nothing needs once df is written, are deleted then; df's own when the driver's JVM ends.
     """
     spark = df.sparkSession
     bounded_batches(spark)
     path = f"{shared_dir(spark)}/foliospark/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
+    for old in frees:
+        _delete(spark, old)
+    hadoop, system = _file_system(spark, path)
+    system.deleteOnExit(hadoop)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def _file_system(spark: SparkSession, path: str):
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop, hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _delete(spark: SparkSession, written: DataFrame) -> None:
+    hadoop, system = _file_system(spark, written._written)
+    system.delete(hadoop, True)
+
+
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as no column of docs has."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -93,38 +119,68 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(31))
 
 
+#: Fingerprints are taken modulo this Mersenne prime, twice.
+PRIME = (1 << 31) - 1
+
+
+def _folded(x: np.ndarray) -> np.ndarray:
+    """x below 2^62 modulo PRIME, up to one PRIME."""
+    x = (x & U64(PRIME)) + (x >> U64(31))
+    return (x & U64(PRIME)) + (x >> U64(31))
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    return x - U64(PRIME) * (x >= U64(PRIME))
+
+
 class Fingerprints:
-    """Fingerprints of substrings: a polynomial over Z/2^64 of tabulated bytes, finished by mix().
+    """Fingerprints of substrings: two polynomials over tabulated bytes modulo the prime 2^31 - 1, finished by mix().
 
-    prefix[i] holds the weighted sum of the first i bytes, and weights are units of the ring, so the value of any span
-    comes from two prefixes.  Different seeds give independent values.
+    prefix[i] holds the weighted sum of the first i bytes, and weights have inverses, so the value of any span comes from
+    two prefixes.  The tables' values are as good as random, so two different strings are equal in both with a
+    probability of 2^-62, whatever they are.  Different seeds give independent values.
     """
 
     _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def __init__(self, data: np.ndarray, seed: int = 1, fold: bool = False):
-        bytes_ = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15) + U64(seed * 7919))
-        if fold:
-            bytes_[65:91] = bytes_[97:123]
-        self.up, self.down = self.powers(len(data) + 1, seed)
-        self.prefix = np.zeros(len(data) + 1, U64)
-        np.cumsum(bytes_[data] * self.up[: len(data)], out=self.prefix[1:])
+        self.sums, self.down = [], []
+        for half in (2 * seed, 2 * seed + 1):
+            bytes_ = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15) + U64(half * 7919)) % U64(PRIME)
+            if fold:
+                bytes_[65:91] = bytes_[97:123]
+            up, down = self.powers(len(data) + 1, half)
+            prefix = np.zeros(len(data) + 1, U64)
+            terms = bytes_[data]
+            terms *= up[: len(data)]
+            np.cumsum(_folded(terms), out=prefix[1:])
+            self.sums.append(prefix)
+            self.down.append(down)
 
     @classmethod
-    def powers(cls, n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-        have = cls._powers.get(seed)
+    def powers(cls, n: int, half: int) -> tuple[np.ndarray, np.ndarray]:
+        """The first n powers of a base and of its inverse."""
+        have = cls._powers.get(half)
         if have is None or len(have[0]) < n:
             size = max(n, CHUNK_BYTES + 1024)
-            base = (0x5851F42D4C957F2D + 2 * seed * 1_000_003) | 1
-            inverse = pow(base, -1, 1 << 64)
-            have = tuple(np.cumprod(np.concatenate([np.ones(1, U64), np.full(size - 1, x, U64)])) for x in (base & (1 << 64) - 1, inverse))
-            if size > CHUNK_BYTES + 1024:
-                return have
-            cls._powers[seed] = have
+            base = int(mix(np.array([half + 1], U64))[0] % U64(PRIME - 2)) + 2
+            have = tuple(cls._geometric(x, size) for x in (base, pow(base, -1, PRIME)))
+            if size <= CHUNK_BYTES + 1024:
+                cls._powers[half] = have
         return have
 
+    @staticmethod
+    def _geometric(x: int, size: int) -> np.ndarray:
+        out, done = np.ones(size, U64), 1
+        while done < size:
+            more = min(done, size - done)
+            out[done : done + more] = _reduced(_folded(out[:more] * U64(pow(x, done, PRIME))))
+            done += more
+        return out
+
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.prefix[end] - self.prefix[start]) * self.down[start] + (end - start).astype(U64))
+        first, second = (_reduced(_folded(_folded(prefix[end] - prefix[start]) * down[start])) for prefix, down in zip(self.sums, self.down, strict=True))
+        return mix((first << U64(31) | second) + (end - start).astype(U64) * U64(0x9E3779B97F4A7C15))
 
 
 def byte_class(kind: str) -> np.ndarray:

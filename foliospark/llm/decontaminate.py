@@ -1,9 +1,9 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
-The training side is indexed once: mapInArrow cuts documents into shards of a few MB and stores, for each shard, the
-postings (term, position) of the terms that any test item uses.  Shards are rows of a table in the shared folder, so
-the index is split by document: a shard answers for its documents alone and no posting list ever meets another task.
-A search intersects offset-adjusted lists, beginning with the rarest term of each test phrase in the shard at hand.
+The training side is indexed once, whatever will be looked for: mapInArrow cuts documents into shards of about 1 MB and
+stores, for each shard, its terms and the positions of each.  Shards are rows of a table in the shared folder, so the
+index is split by document: a shard answers for its documents alone and no posting list ever meets another task.  A
+search intersects offset-adjusted lists, beginning with the rarest term of each test phrase in the shard at hand.
 
 Null, empty and wordless texts have no words and are never hit; an item without words has no window.  Repeated
 documents each get their own row and repeated items count once.  Extra columns of either table are ignored.  Items
@@ -13,22 +13,23 @@ listed as strings.
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Fingerprints, chunks, flat, materialize, per_row, table, word_spans
+from .common import U64, Fingerprints, chunks, flat, materialize, per_row, table, unused, word_spans
 
 #: Positions left free between two documents of a shard, so that no phrase or neighbourhood spans them.
 GAP = 1 << 12
 #: Test texts are searched in blocks of about this many bytes, so what is broadcast stays bounded.
 BLOCK_BYTES = 16 << 20
-INDEX = "doc_ids binary, no_id binary, n_words binary, first binary, terms binary, ends binary, positions binary"
-RESULT = "doc_id long, n_words long, n_hit long, item_ids array<{}>, spans array<struct<start:long,end:long>>"
+INDEX = "shard string, doc_ids binary, no_id binary, n_words binary, first binary, terms binary, ends binary, positions binary"
+#: shard and place tell an index's documents apart.
+RESULT = "shard string, place int, doc_id long, n_words long, n_hit long, item_ids array<{}>, spans array<struct<start:long,end:long>>"
 
 
 def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -84,12 +85,11 @@ class Phrases:
             self.groups.append((np.concatenate(rows), np.concatenate(owners)))
 
 
-def build_index(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
-    """One row for each shard: document ids, word counts, first positions, and postings of the vocabulary's terms in CSR form."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+def build_index(docs: DataFrame) -> DataFrame:
+    """One row for each shard: document ids, word counts, first positions, and all terms' postings in CSR form."""
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+        part, made = TaskContext.get().partitionId(), 0
         for batch in batches:
             ids, no_id = batch.column(0).fill_null(0).to_numpy(), batch.column(0).is_null().to_numpy(zero_copy_only=False)
             texts = batch.column(1)
@@ -99,34 +99,34 @@ def build_index(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
                 counts = np.diff(bounds)
                 first = bounds[:-1] + GAP * np.arange(b - a)
                 at = np.arange(len(values)) + GAP * np.repeat(np.arange(b - a), counts)
-                term = np.searchsorted(known, values) if len(known) else np.zeros(len(values), np.int64)
-                term[term == len(known)] = 0
-                hit = known[term] == values if len(known) else np.zeros(len(values), bool)
-                term, at = term[hit].astype(np.int32), at[hit]
-                order = np.argsort(term, kind="stable")
-                terms, ends = np.unique(term, return_counts=True)
-                row = [ids[a:b].astype(np.int64), no_id[a:b], counts.astype(np.int64), first.astype(np.int64), terms, np.cumsum(ends), at[order].astype(np.int32 if first[-1] + counts[-1] < 1 << 31 else np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in row], names=[x.split()[0] for x in INDEX.split(", ")])
+                order = np.argsort(values, kind="stable")
+                terms, sizes = np.unique(values, return_counts=True)
+                row = [ids[a:b].astype(np.int64), no_id[a:b], counts.astype(np.int64), first.astype(np.int64), terms, np.cumsum(sizes), at[order].astype(np.int32 if first[-1] + counts[-1] < 1 << 31 else np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array([f"{part}-{made}"]), *[pa.array([x.tobytes()], pa.binary()) for x in row]], names=[x.split()[0] for x in INDEX.split(", ")])
+                made += 1
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(shards, INDEX)
 
 
 class Shard:
-    """The postings of one index row, with lookups by (term, position)."""
+    """The postings that an index row has of a sorted vocabulary, with lookups by (number of the term, position)."""
 
-    def __init__(self, row: dict, n_terms: int):
+    def __init__(self, row: dict, vocabulary: np.ndarray):
         of = lambda name, kind: np.frombuffer(row[name], kind)
-        self.doc_ids, self.n_words, self.first = of("doc_ids", np.int64), of("n_words", np.int64), of("first", np.int64)
+        self.name, self.doc_ids, self.n_words, self.first = row["shard"], of("doc_ids", np.int64), of("n_words", np.int64), of("first", np.int64)
         self.no_id = of("no_id", bool)
-        terms, ends = of("terms", np.int32), of("ends", np.int64)
+        own, ends = of("terms", U64), of("ends", np.int64)
+        at = np.minimum(np.searchsorted(vocabulary, own), max(len(vocabulary) - 1, 0))
+        asked = np.flatnonzero(vocabulary[at] == own) if len(vocabulary) else np.zeros(0, np.int64)
+        terms, sizes = at[asked], np.diff(ends, prepend=0)[asked]
         total = int(ends[-1]) if len(ends) else 0
-        self.positions = of("positions", np.int32 if len(row["positions"]) == 4 * total else np.int64).astype(np.int64)
-        self.end = np.zeros(n_terms, np.int64)
-        self.count = np.zeros(n_terms, np.int64)
-        self.end[terms] = ends
-        self.count[terms] = np.diff(ends, prepend=0)
-        self.keys = (np.repeat(terms.astype(np.int64), self.count[terms]) << 40) | self.positions
+        positions = of("positions", np.int32 if len(row["positions"]) == 4 * total else np.int64)
+        within = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        self.positions = positions[np.repeat(ends[asked] - sizes, sizes) + within].astype(np.int64)
+        self.end, self.count = np.zeros(len(vocabulary), np.int64), np.zeros(len(vocabulary), np.int64)
+        self.end[terms], self.count[terms] = np.cumsum(sizes), sizes
+        self.keys = (np.repeat(terms.astype(np.int64), sizes) << 40) | self.positions
 
     def has(self, term: np.ndarray, position: np.ndarray) -> np.ndarray:
         key = (term.astype(np.int64) << 40) | position
@@ -167,14 +167,14 @@ def _covered(shard: Shard, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarr
 
 
 def find_phrases(index: DataFrame, phrases: Phrases) -> DataFrame:
-    """For every indexed document: its words, those inside an occurrence of a window, the items found and the hit runs (word offsets)."""
+    """RESULT for every indexed document: its words, those inside an occurrence of a window, the items found and the hit runs (word offsets)."""
     shared = index.sparkSession.sparkContext.broadcast(phrases)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = shared.value
         for batch in batches:
             for row in batch.to_pylist():
-                shard = Shard(row, len(wanted.vocabulary))
+                shard = Shard(row, wanted.vocabulary)
                 starts, ends, owners = [], [], []
                 for windows, items in wanted.groups:
                     window, start = shard.phrases(windows)
@@ -194,12 +194,14 @@ def find_phrases(index: DataFrame, phrases: Phrases) -> DataFrame:
                     for d, a, b in zip(doc.tolist(), (start - shard.first[doc]).tolist(), (end - shard.first[doc]).tolist(), strict=True):
                         runs[d].append({"start": a, "end": b})
                 spans = pa.array(runs, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
-                yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids, mask=shard.no_id), pa.array(shard.n_words), pa.array(hit), pa.array(found, pa.list_(pa.int64() if wanted.kind == "long" else pa.string())), spans], names=["doc_id", "n_words", "n_hit", "item_ids", "spans"])
+                items = pa.array(found, pa.list_(pa.int64() if wanted.kind == "long" else pa.string()))
+                place = pa.array(np.arange(n, dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array([shard.name] * n, pa.string()), place, pa.array(shard.doc_ids, mask=shard.no_id), pa.array(shard.n_words), pa.array(hit), items, spans], names=["shard", "place", "doc_id", "n_words", "n_hit", "item_ids", "spans"])
 
     return index.mapInArrow(search, RESULT.format(phrases.kind))
 
 
-def find_near(index: DataFrame, vocabulary: np.ndarray, pairs: list[tuple[str, str]], distance: int) -> DataFrame:
+def find_near(index: DataFrame, pairs: list[tuple[str, str]], distance: int) -> DataFrame:
     """Proximity matches: (doc_id, pair, first, second) for occurrences of two words at most distance words apart, either order.
 
     The rarer word's list leads; the other one is looked up around each posting.  distance stays below GAP.
@@ -209,14 +211,14 @@ def find_near(index: DataFrame, vocabulary: np.ndarray, pairs: list[tuple[str, s
     values, _ = words_of(pa.array([x for pair in pairs for x in pair], pa.large_string()))
     if len(values) != 2 * len(pairs):
         raise ValueError("each side of a pair is one word")
-    terms = np.searchsorted(vocabulary, values).reshape(-1, 2)
-    shared = index.sparkSession.sparkContext.broadcast((terms, len(vocabulary)))
+    vocabulary = np.unique(values)
+    shared = index.sparkSession.sparkContext.broadcast((np.searchsorted(vocabulary, values).reshape(-1, 2), vocabulary))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, n_terms = shared.value
+        terms, vocabulary = shared.value
         for batch in batches:
             for row in batch.to_pylist():
-                shard = Shard(row, n_terms)
+                shard = Shard(row, vocabulary)
                 out = []
                 for k, (a, b) in enumerate(terms):
                     lead, other = (a, b) if shard.count[a] <= shard.count[b] else (b, a)
@@ -234,30 +236,24 @@ def find_near(index: DataFrame, vocabulary: np.ndarray, pairs: list[tuple[str, s
 
 
 def contamination(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
-    """RESULT's columns for every document, against all items; with several blocks of items, by document row.
+    """(doc_id, n_words, n_hit, item_ids, spans) for every document, against all items.
 
-    Items beyond one block are searched block by block over the same documents.  These are written with a row number
-    first, by which a document's parts are joined, so that repeated and null ids stay apart.
+    Items beyond one block are searched block by block in the same index, and a document's parts are joined by its place
+    there, so repeated and null ids stay apart.
     """
-    blocks, kind = item_blocks(items), id_type(items)
-    first, second = next(blocks, []), next(blocks, None)
-    if second is None:
-        phrases = Phrases(first, n, kind)
-        index = build_index(docs, phrases.vocabulary)
-        return find_phrases(materialize(index, "index-0") if first else index, phrases)
-    numbered = materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "numbered")
-    found = None
-    for k, block in enumerate(itertools.chain([first, second], blocks)):
-        phrases = Phrases(block, n, kind)
-        index = build_index(numbered.select(F.col("row").alias("doc_id"), "text"), phrases.vocabulary)
-        part = find_phrases(materialize(index, f"index-{k}"), phrases)
-        found = part if found is None else found.unionByName(part)
-    return _merged(found).withColumnRenamed("doc_id", "row").join(numbered.select("row", "doc_id"), "row").select("doc_id", "n_words", "n_hit", "item_ids", "spans")
+    kind = id_type(items)
+    index, found, several = materialize(build_index(docs), "index"), None, False
+    for block in item_blocks(items):
+        part = find_phrases(index, Phrases(block, n, kind))
+        found, several = (part, False) if found is None else (found.unionByName(part), True)
+    if found is None:
+        found = find_phrases(index, Phrases([], n, kind))
+    return (_merged(found) if several else found).select("doc_id", "n_words", "n_hit", "item_ids", "spans")
 
 
 def _merged(parts: DataFrame) -> DataFrame:
-    """The results of several blocks as one, by doc_id, which must be a row's own: runs are united word by word."""
-    grouped = parts.groupBy("doc_id", "n_words").agg(F.array_distinct(F.flatten(F.collect_list("item_ids"))).alias("item_ids"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("all"))
+    """The results of several blocks as one row for each document: runs are united word by word."""
+    grouped = parts.groupBy("shard", "place").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("item_ids"))).alias("item_ids"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("all"))
     joined = F.aggregate(
         "all",
         F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)"),
@@ -271,12 +267,13 @@ def _merged(parts: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
     """The rows of docs that no window of any item occurs in.
 
-    Each block of items is looked up in an index of its own, and only rows that are hit are told apart: by id and a
-    hash of the text, so that rows sharing an id are judged by their own text.
+    Only rows that are hit are told apart: by id and a hash of the text, so that rows sharing an id are judged by their
+    own text.
     """
+    (name,) = unused(docs, "key")
     key = F.xxhash64(F.col("doc_id").cast("string"), "text")
-    found = materialize(contamination(docs.select(key.alias("doc_id"), "text"), items, n).where("n_hit > 0").select(F.col("doc_id").alias("_key")).distinct(), "hit")
-    return docs.withColumn("_key", key).join(found, "_key", "left_anti").drop("_key")
+    found = materialize(contamination(docs.select(key.alias("doc_id"), "text"), items, n).where("n_hit > 0").select(F.col("doc_id").alias(name)).distinct(), "hit")
+    return docs.withColumn(name, key).join(found, name, "left_anti").drop(name)
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,11 +7,13 @@ with all voters by blocked exact cosine products; its k nearest vote, weighted b
 
 The label, language, source and id of a document are no inputs of its score.  Null, empty and wordless texts have the
 zero vector and get the share of label 1 in the sample; if no usable label exists every score is 0.5.  Repeated rows
-get equal scores.  Repeated labels of an id vote once, with the lowest label.  Extra columns pass.
+get equal scores.  Repeated labels of an id vote once, with the lowest label; repeated ids of documents too, with one of their texts.  Extra columns pass.
 """
 
 from __future__ import annotations
 
+import hashlib
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -98,16 +100,20 @@ class Voters:
 
 
 def families() -> np.ndarray:
-    """How much each family of terms counts beside the others."""
+    """How much each family of terms counts beside the others.
+
+    Words are fewer in a text than trigrams, so their shares scatter more and are given less weight; repetition is one
+    pair of terms beside thousands and is given more.  Any such weights give exact votes, by other distances.
+    """
     out = np.ones(TERMS, np.float32)
     out[CLASSES**3 : CLASSES**3 + WORDS] = 0.3
     out[-MARKS:] = 1.5
     return out
 
 
-def fit(texts: list[str | None], labels: list[int], axes: int = 48, k: int = 15, power: float = 8.0) -> Voters:
-    terms = features(pa.array(texts, pa.large_string()))
-    y = np.array(labels, np.float64)
+def fit(terms: np.ndarray, y: np.ndarray, axes: int = 48, k: int = 15, power: float = 8.0) -> Voters:
+    """Voters from the terms (see features) and labels of the sample."""
+    y = np.asarray(y, np.float64)
     some = terms.any(axis=1)
     terms, y = terms[some], y[some]
     if not len(y):
@@ -116,10 +122,11 @@ def fit(texts: list[str | None], labels: list[int], axes: int = 48, k: int = 15,
     weights = (families() * (np.log((1 + len(y)) / (1 + seen)) + 1)).astype(np.float32)
     x = terms * weights
     # the axes from the smaller of the two Gram matrices
-    values, vectors = np.linalg.eigh((x @ x.T).astype(np.float64))
+    whole = x.astype(np.float64)
+    values, vectors = np.linalg.eigh(whole @ whole.T)
     best = np.argsort(-values)[: min(axes, len(values))]
     best = best[values[best] > 1e-9 * values.max()]
-    basis = (x.T @ (vectors[:, best] / np.sqrt(values[best])).astype(np.float32)).astype(np.float32)
+    basis = (whole.T @ (vectors[:, best] / np.sqrt(values[best]))).astype(np.float32)
     voters = Voters(weights, basis, np.zeros((0, 1), np.float32), y, k, power)
     voters.vectors = voters.latent(terms)
     return voters
@@ -131,15 +138,36 @@ def fold_of(doc_id: Column, n: int) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = 800, folds: int = 4, held: int = 2) -> Voters:
-    """Voters from at most `sample` labelled rows of each label, none of the held-out fold; the driver holds those alone."""
+    """Voters from at most `sample` labelled rows of each label, none of the held-out fold.
+
+    An id that several rows of docs have counts once, with the text of least hash.  Texts stay on the executors: the
+    driver gets a row of TERMS numbers for each of the 2 x sample ids at most.
+    """
     usable = labels.where("doc_id is not null and quality in (0, 1)").where(fold_of(F.col("doc_id"), folds) != held)
     one = usable.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     rank = F.xxhash64(F.col("doc_id"), F.lit(9))
     picked = [one.where(F.col("quality") == q).orderBy(rank, "doc_id").limit(sample) for q in (0, 1)]
-    chosen = picked[0].unionByName(picked[1])
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text is not null").collect()  # 2 x sample rows at most
-    rows = sorted({(r["doc_id"], r["text"]): r["quality"] for r in rows}.items())
-    return fit([text for (_, text), _ in rows], [q for _, q in rows])
+    chosen = F.broadcast(picked[0].unionByName(picked[1]))  # 2 x sample rows
+    labelled = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(chosen, "doc_id").where("text is not null")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, tuple[bytes, int, bytes]] = {}  # of each id the text of least digest: no more entries than the sample
+        for batch in batches:
+            ids, quality = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            for k, i in enumerate(ids):
+                text = batch.column(1)[k].as_py().encode()
+                digest = hashlib.blake2b(text, digest_size=16).digest()
+                if i not in best or digest < best[i][0]:
+                    best[i] = (digest, quality[k], zlib.compress(features(pa.array([text], pa.large_binary())).tobytes(), 1))
+        if best:
+            digests, quality, terms = zip(*best.values(), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(list(best), pa.int64()), pa.array(digests, pa.binary()), pa.array(quality, pa.int32()), pa.array(terms, pa.binary())], names=["doc_id", "digest", "quality", "terms"])
+
+    made = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("quality").cast("int").alias("quality")).mapInArrow(run, "doc_id long, digest binary, quality int, terms binary")
+    found = made.groupBy("doc_id").agg(F.min_by(F.struct("quality", "terms"), "digest").alias("x")).select("doc_id", "x.*").collect()
+    found.sort(key=lambda r: r["doc_id"])
+    terms = np.stack([np.frombuffer(zlib.decompress(r["terms"]), np.float32) for r in found]) if found else np.zeros((0, TERMS), np.float32)
+    return fit(terms, np.array([r["quality"] for r in found], np.float64))
 
 
 def score(docs: DataFrame, voters: Voters) -> DataFrame:

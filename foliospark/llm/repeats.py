@@ -85,7 +85,7 @@ def first_rows(texts: DataFrame, window: int) -> DataFrame:
                 prints = Fingerprints(part)
                 at, first, last, row = anchors(part, local, window, Q, prints)
                 if len(at):
-                    yield _rows((prints,), at, uid[i:j][row], at - local[row], at - last, at - first, window, 192)
+                    yield _rows((prints, Fingerprints(part, seed=2)), at, uid[i:j][row], at - local[row], at - last, at - first, window, 192)
 
     return texts.mapInArrow(run, ROWS)
 
@@ -243,11 +243,12 @@ def kept(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def cut_repeats(docs: DataFrame, window: int = 400) -> DataFrame:
-    """docs with kept (the remaining bytes), n_bytes and spans (the maximal removed byte runs)."""
-    marked = docs.withColumns({"_bytes": F.coalesce(F.col("text").cast("string"), F.lit(""))}).withColumn("uid", F.xxhash64("_bytes"))
+    """docs with kept (the remaining bytes), n_bytes and spans (the maximal removed byte runs), which replace columns of these names."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text" and c.lower() not in ("kept", "n_bytes", "spans")]
+    marked = docs.select(F.struct(*others).alias("_row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_bytes")).withColumn("uid", F.xxhash64("_bytes"))
     texts = marked.select("uid", F.col("_bytes").alias("text"))
     runs = materialize(covered_runs(texts, window), "runs")
-    schema = "_row struct<{}>, kept binary, n_bytes long, spans array<struct<start:long,end:long>>".format(", ".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text"))
+    schema = f"_row {marked.schema['_row'].dataType.simpleString()}, kept binary, n_bytes long, spans array<struct<start:long,end:long>>"
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,11 +262,15 @@ def cut_repeats(docs: DataFrame, window: int = 400) -> DataFrame:
                 spans.append([{"start": a, "end": b} for a, b in at])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rest, pa.binary()), pa.array(sizes), pa.array(spans, span_type)], names=["_row", "kept", "n_bytes", "spans"])
 
-    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
-    joined = marked.select(F.struct(*others).alias("_row"), F.col("_bytes"), "uid").join(runs, "uid", "left").select("_row", "_bytes", "runs")
+    joined = marked.join(runs, "uid", "left").select("_row", "_bytes", "runs")
     return joined.mapInArrow(run, schema).select("_row.*", "kept", "n_bytes", "spans")
 
 
+def rest_text() -> Column:
+    """What cut_repeats() kept, as text: in the JVM, but for documents that were cut, whose halved characters go."""
+    return F.when(F.size("spans") == 0, F.decode("kept", "UTF-8")).otherwise(readable("kept"))
+
+
 def readable(column: str) -> Column:
     """Bytes as text, without the rests of characters that were cut."""
 
@@ -279,4 +284,4 @@ def readable(column: str) -> Column:
 def op2_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = cut_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
-    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), rest_text().alias("text"))

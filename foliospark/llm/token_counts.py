@@ -6,13 +6,14 @@ the separators' places.  A prefix scan over a file's blocks (running sums of tok
 the last separator's place) then gives each separator its ordinal in the file and its document's length, however many
 blocks the document spans.
 
-Null, empty and very long texts are documents like any other (0 tokens, many blocks); repeated rows are counted each;
+Null, empty and very long texts are documents like any other (0 tokens, many blocks; runs of white space of any length); repeated rows are counted each;
 tokens after a file's last separator form a last document.  Empty tables give no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,9 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 END = 50256
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 BLOCK_TOKENS = 1 << 20
+#: White space as the pattern's \\s has it; runs of more than LONG_SPACE are tokenised by themselves.
+SPACE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+LONG_SPACE = 1 << 14
 #: file: name of the token file; block: its number there; ids: little-endian ids. A manifest row has ids of documents instead.
 FILES = "file string, block long, ids binary, manifest boolean"
 
@@ -39,6 +43,21 @@ def _encoder(vocabulary: bytes):
     return tiktoken.Encoding("documents", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def tokens_of(encoding, text: str, long_space: int = LONG_SPACE) -> list[int]:
+    """The ids of a text.  The tokenizer's matcher overflows in very long runs of white space, so these are cut out.
+
+    The pattern starts anew at a run, and takes all of it, or all but its last character if anything follows; so the
+    ids are those of the whole text.
+    """
+    out, at = [], 0
+    for m in re.finditer(f"{SPACE}{{{long_space},}}", text):
+        end = m.end() if m.end() == len(text) else m.end() - 1
+        out += encoding.encode_ordinary(text[at : m.start()])
+        out += encoding._encode_single_piece(text[m.start() : end])
+        at = end
+    return out + encoding.encode_ordinary(text[at:])
+
+
 def write_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """FILES of docs (doc_id, text): a token file for each input partition, and manifest rows with its documents' ids in order.
 
@@ -49,7 +68,7 @@ def write_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END,
     kind = np.uint16 if end < 1 << 16 else np.uint32
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(shared.value).encode_ordinary
+        encoding = _encoder(shared.value)
         name, block, part, held, size = f"part-{TaskContext.get().partitionId():06d}", 0, 0, [], 0
 
         def made(number, ids, manifest):
@@ -58,7 +77,7 @@ def write_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END,
         for batch in batches:
             ids = batch.column(0)
             for text in batch.column(1):
-                tokens = np.array([*encode(text.as_py() or ""), end], kind)
+                tokens = np.array([*tokens_of(encoding, text.as_py() or ""), end], kind)
                 held.append(tokens)
                 size += len(tokens)
                 while size >= block_tokens:

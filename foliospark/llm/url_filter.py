@@ -2,10 +2,12 @@
 
 A URL's host is cut after every dot into suffixes and its path to every length that a rule's path has; each pair is an
 expression like 'example.com/en/'.  Expressions meet rules in an equi-join on the first 32 bits of a SHA-256 digest;
-the full digest confirms a pair, and the longest confirmed rule wins.  Distinct (host, path) pairs are judged once.
+the full digest confirms a pair, and the longest confirmed rule wins.  Distinct (host, path) pairs are judged once, and
+pages take the verdict of their pair; pages without a host or path, however many, are in no join.
 
 A null url, or one without '://', has an empty host and path and meets no rule.  No rows: no rows.  No rules: the
 default verdict everywhere.  Repeated pages and rules change nothing; of rules alike but for the verdict, block wins.
+Other columns of pages pass; those named host, path, rule or verdict are replaced.
 """
 
 from __future__ import annotations
@@ -39,22 +41,28 @@ def rule_table(spark: SparkSession, rules=RULES) -> DataFrame:
 
 def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
     """pages with host, path, rule (null if none fits) and verdict; rules: rule_verdict, rule_host, rule_path."""
-    parted = pages.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
+    passed = [F.col(f"`{c}`") for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
+    parted = pages.select(F.struct(*passed).alias("row"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rules = rules.withColumn("rule", F.concat("rule_host", "rule_path"))
-    rules = rules.groupBy("rule").agg(F.max("rule_verdict").alias("rule_verdict"), F.first(F.length("rule_path")).alias("cut"))
+    lengths = sorted(r[0] for r in rules.select(F.length("rule_path")).distinct().collect())  # not more than a path has characters
+    rules = rules.groupBy("rule").agg(F.max("rule_verdict").alias("rule_verdict"))
     rules = rules.withColumn("digest", F.sha2(F.col("rule").cast("binary"), 256)).withColumn("short", F.substring("digest", 1, 8))
-    cuts = rules.groupBy().agg(F.array_sort(F.collect_set("cut")).alias("cuts"))  # one row: as many lengths as a rule's path has characters
-    pairs = parted.select("host", "path").distinct().join(F.broadcast(cuts))
+    judged = parted.where((F.col("host") != "") & (F.col("path") != ""))
     labels = F.split("host", r"\.", -1)
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    prefixes = F.transform(F.filter("cuts", lambda n: n <= F.length("path")), lambda n: F.substring("path", F.lit(1), n))
+    cuts = F.array(*[F.lit(n) for n in lengths]) if lengths else F.expr("cast(array() as array<int>)")
+    prefixes = F.transform(F.filter(cuts, lambda n: n <= F.length("path")), lambda n: F.substring("path", F.lit(1), n))
     expressions = F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: F.concat(h, p))))
-    asked = pairs.where((F.col("host") != "") & (F.col("path") != "")).select("host", "path", F.explode(F.array_distinct(expressions)).alias("expression"))
+    asked = judged.select("host", "path").distinct().select("host", "path", F.explode(F.array_distinct(expressions)).alias("expression"))
     asked = asked.withColumn("asked_digest", F.sha2(F.col("expression").cast("binary"), 256)).withColumn("short", F.substring("asked_digest", 1, 8))
     confirmed = asked.join(rules, "short").where(F.col("asked_digest") == F.col("digest"))
     best = confirmed.groupBy("host", "path").agg(F.max_by(F.struct("rule", "rule_verdict"), F.struct(F.length("rule"), F.col("rule"))).alias("best"))
-    judged = parted.join(best, ["host", "path"], "left")
-    return judged.select(*[F.col(c) for c in parted.columns], F.col("best.rule").alias("rule"), F.coalesce("best.rule_verdict", F.lit(default)).alias("verdict"))
+    out = lambda df, rule, verdict: df.select("row.*", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.lit(default)).alias("verdict"))
+    none = F.lit(None).cast("string")
+    bare = out(parted.where((F.col("host") == "") | (F.col("path") == "")), none, none)
+    # a pair that very many pages share is a skewed key of this join, whose pages Spark deals out anew (AQE)
+    met = judged.join(best, ["host", "path"], "left")
+    return out(met, F.col("best.rule"), F.col("best.rule_verdict")).unionByName(bare)
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
