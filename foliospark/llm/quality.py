@@ -68,7 +68,7 @@ def features(column: pa.Array) -> np.ndarray:
             again = np.bincount(owner[1:][(value[1:] == value[:-1]) & (owner[1:] == owner[:-1])], minlength=j - i)
             share = again / np.maximum(words, 1)
             out[i:j, -MARKS] = np.sqrt(share)
-            out[i:j, -MARKS + 1] = np.sqrt(1 - share)
+            out[i:j, -MARKS + 1] = np.sqrt((1 - share) * (words > 0))
     return out
 
 
