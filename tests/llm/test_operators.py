@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -373,10 +374,28 @@ PAGE = """<html><head><title>t</title></head><body><nav>menu</nav><article class
 
 
 def test_article_blocks():
-    assert extract.blocks_of(PAGE) == (["T & t", "One two three", "Four five", "a", "b", "tail <"], True)
-    assert extract.blocks_of("") == ([], False)
-    assert extract.blocks_of("<p>a<p>b<div>c") == (["a", "b", "c"], False)
-    assert extract.blocks_of("<article>x<script>never closed") == (["x"], True)
+    assert extract.blocks_of(PAGE) == (["T & t", "One two three", "Four five", "a", "b", "tail <"], [], True)
+    assert extract.blocks_of("") == ([], [], False)
+    assert extract.blocks_of("<p>a<p>b<div>c") == (["a", "b", "c"], [0, 1, 2], False)
+    assert extract.blocks_of("<article>x<script>never closed") == (["x"], [], True)
+    labelled = '<article><h1 class="post-header">T</h1><p class="market-share">One</p><section id="related-work">R</section><div class=comments>c</div><div class="comment-list">d</div></article><p>beside</p>'
+    assert extract.blocks_of(labelled) == (["T", "One", "R"], [1, 2], True)
+
+
+@pytest.mark.parametrize("broken", ['<a "', "<a x", '<a ">"', "<div>", "<!--", "<script", "</div", "<", "<p class='", '<i class="class=', "&amp", "<span class=ad><p>", "<article><header>"])
+def test_broken_markup_is_read_in_linear_time(broken):
+    sizes = []
+    for n in (1 << 17, 1 << 20):
+        began = time.process_time()
+        extract.blocks_of(broken * (n // len(broken)))
+        sizes.append(time.process_time() - began)
+    assert sizes[1] < 6
+
+
+def test_text_after_broken_markup():
+    assert extract.blocks_of('<article><p>one <a title="x>two</a> three</p></article>') == (["one two three"], [], True)
+    assert extract.blocks_of("<article><p>a < b and c > d &lt;i&gt;</p><!-- open") == (["a < b and c > d <i>"], [], True)
+    assert extract.blocks_of("<article>x<p title='a>b'>y</p>z <b") == (["x", "y", "z <b"], [], True)
 
 
 def test_extraction_with_host_repeats(spark):
@@ -389,6 +408,52 @@ def test_extraction_with_host_repeats(spark):
     assert extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string").limit(0)).collect() == []
 
 
+def suffix_array_text(pages, run=extract.RUN):
+    """The texts of pages (key, blocks, unsure) of one host, from a sorted array of all suffixes of their streams."""
+    streams = {key: [t for k in unsure for t in blocks[k].split()] for key, blocks, unsure in pages}
+    suffixes = sorted((stream[at:], key, at) for key, stream in streams.items() for at in range(len(stream)))
+    covered = {key: [False] * len(stream) for key, stream in streams.items()}
+    groups = {}
+    for suffix, key, at in suffixes:
+        if len(suffix) >= run:
+            groups.setdefault(tuple(suffix[:run]), []).append((key, at))
+    for members in groups.values():
+        if len({key for key, _ in members}) > 1:
+            for key, at in members:
+                covered[key][at : at + run] = [True] * run
+    out = {}
+    for key, blocks, unsure in pages:
+        rest, left = iter(covered[key]), []
+        for k, block in enumerate(blocks):
+            if k in unsure:
+                block = " ".join([t for t in block.split() if not next(rest)])
+            left += [block] if block else []
+        out[key] = "\n\n".join(left)
+    return out
+
+
+def test_extraction_by_brute_force(spark):
+    """Hosts with menus, labelled parts and lines that pages share, with and without an article, copies and single pages."""
+    rng = random.Random(4)
+    words = lambda n: " ".join(rng.choice("ab cd ef gh ij kl".split()) + str(rng.randint(0, 30)) for _ in range(n))
+    shared = [words(12) for _ in range(4)]
+    pages = []
+    for k in range(60):
+        parts = [f"<p>{rng.choice(shared) if rng.random() < 0.5 else words(rng.randint(1, 30))}</p>" for _ in range(4)]
+        parts.append(f'<div class="site-header">{rng.choice(shared)}</div>')
+        body = "".join(parts)
+        pages.append((k, f"https://h{k % 4}.org/{k}", f"<nav>{words(9)}</nav>" + (f"<article>{body}</article>{words(3)}" if k % 3 else body)))
+    pages += [pages[3], pages[4], (100, "https://alone.org/", pages[0][2]), (101, None, pages[0][2]), (102, None, None)]
+    found = {(r["page_id"], r["text"]) for r in extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    hosts = {}
+    for k, url, page in dict.fromkeys(pages):
+        blocks, unsure, _ = extract.blocks_of(page or "")
+        hosts.setdefault((url or f"none{k}").split("/")[2 if url else 0], []).append((k, blocks, unsure))
+    expected = {x for own in hosts.values() for x in suffix_array_text(own).items()}
+    assert found == expected
+    assert any(t != "\n\n".join(extract.blocks_of(p or "")[0]) for (_, t), (_, _, p) in zip(sorted(found), sorted(dict.fromkeys(pages), key=lambda x: x[0]), strict=True))
+
+
 # 8
 
 
