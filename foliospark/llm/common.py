@@ -164,7 +164,7 @@ class Fingerprints:
         if have is None or len(have[0]) < n:
             size = max(n, CHUNK_BYTES + 1024)
             base = int(mix(np.array([half + 1], U64))[0] % U64(PRIME - 2)) + 2
-            have = tuple(cls._geometric(x, size) for x in (base, pow(base, -1, PRIME)))
+            have = tuple(cls._geometric(x, size).astype(np.uint32) for x in (base, pow(base, -1, PRIME)))
             if size <= CHUNK_BYTES + 1024:
                 cls._powers[half] = have
         return have

@@ -17,13 +17,13 @@ Null text is empty.  Texts shorter than the window stay.  Repeated rows remove e
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import anchors
@@ -239,49 +239,39 @@ def merged(runs: list[dict]) -> list[tuple[int, int]]:
 
 def kept(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     bounds = [0, *[x for span in spans for x in span], len(text)]
-    return b"".join(text[a:b] for a, b in zip(bounds[::2], bounds[1::2], strict=True))
+    return b"".join(memoryview(text)[a:b] for a, b in zip(bounds[::2], bounds[1::2], strict=True))
 
 
 def cut_repeats(docs: DataFrame, window: int = 400) -> DataFrame:
-    """docs with kept (the remaining bytes), n_bytes and spans (the maximal removed byte runs), which replace columns of these names."""
-    others = [F.col(f"`{c}`") for c in docs.columns if c != "text" and c.lower() not in ("kept", "n_bytes", "spans")]
-    marked = docs.select(F.struct(*others).alias("_row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_bytes")).withColumn("uid", F.xxhash64("_bytes"))
-    texts = marked.select("uid", F.col("_bytes").alias("text"))
-    runs = materialize(covered_runs(texts, window), "runs")
-    schema = f"_row {marked.schema['_row'].dataType.simpleString()}, kept binary, n_bytes long, spans array<struct<start:long,end:long>>"
+    """docs with text (what remains, without the rests of characters cut in part), n_bytes, spans (the maximal removed byte runs) and kept_sha256 (of the remaining bytes), in place of columns of these names.
+
+    Copies of a text share their runs; where there are very many, Spark deals that key of the join out anew (AQE).
+    """
+    others = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("text", "n_bytes", "spans", "kept_sha256")]
+    marked = docs.select(F.struct(*others).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("bytes")).withColumn("uid", F.xxhash64("bytes"))
+    runs = materialize(covered_runs(marked.select("uid", F.col("bytes").alias("text")), window), "runs")
+    schema = f"row {marked.schema['row'].dataType.simpleString()}, text string, n_bytes long, spans array<struct<start:long,end:long>>, kept_sha256 string"
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offs = flat(batch.column(1))
-            rest, sizes, spans = [], np.diff(offs), []
-            for k, found in enumerate(batch.column(2).to_pylist()):
-                text = data[offs[k] : offs[k + 1]].tobytes()
-                at = merged(found or [])
-                rest.append(kept(text, at))
-                spans.append([{"start": a, "end": b} for a, b in at])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rest, pa.binary()), pa.array(sizes), pa.array(spans, span_type)], names=["_row", "kept", "n_bytes", "spans"])
-
-    joined = marked.join(runs, "uid", "left").select("_row", "_bytes", "runs")
-    return joined.mapInArrow(run, schema).select("_row.*", "kept", "n_bytes", "spans")
-
-
-def rest_text() -> Column:
-    """What cut_repeats() kept, as text: in the JVM, but for documents that were cut, whose halved characters go."""
-    return F.when(F.size("spans") == 0, F.decode("kept", "UTF-8")).otherwise(readable("kept"))
-
-
-def readable(column: str) -> Column:
-    """Bytes as text, without the rests of characters that were cut."""
-
-    @F.pandas_udf("string")
-    def decoded(values: pd.Series) -> pd.Series:
-        return values.map(lambda x: bytes(x).decode("utf-8", "ignore"))
+            _, offs = flat(batch.column(1))
+            for i, j in chunks(offs):
+                rest, sizes, spans, digests = [], np.diff(offs[i : j + 1]), [], []
+                for text, found in zip(batch.column(1).slice(i, j - i), batch.column(2).slice(i, j - i).to_pylist(), strict=True):
+                    raw = text.as_buffer()
+                    at = merged(found or [])
+                    left = kept(raw, at) if at else raw
+                    rest.append(left.decode("utf-8", "ignore") if at else text.as_py())
+                    spans.append([{"start": a, "end": b} for a, b in at])
+                    digests.append(hashlib.sha256(left).hexdigest())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(rest, pa.string()), pa.array(sizes), pa.array(spans, span_type), pa.array(digests)], names=["row", "text", "n_bytes", "spans", "kept_sha256"])
 
-    return decoded(column)
+    found = marked.join(runs, "uid", "left").select("row", "bytes", "runs").mapInArrow(run, schema)
+    return found.select("row.*", "text", "n_bytes", "spans", "kept_sha256")
 
 
 def op2_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = cut_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
-    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), rest_text().alias("text"))
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256", "text")

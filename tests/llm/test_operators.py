@@ -111,14 +111,21 @@ def brute_cut(texts, window=400):
 
 def digest(df):
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
-    return df.select("doc_id", "n_bytes", removed, F.size("spans").cast("long"), F.sha2("kept", 256))
+    return df.select("doc_id", "n_bytes", removed, F.size("spans").cast("long"), "kept_sha256")
 
 
 @pytest.mark.parametrize("held", [3, 1 << 18])
 def test_repeats(docs, corpus, monkeypatch, held):
     monkeypatch.setattr(repeats, "HELD_ROWS", held)
     expected = sorted([(i, *x) for (i, *_), x in zip(corpus, brute_cut([t for _, t, *_ in corpus]), strict=True)], key=str)
-    assert rows(digest(repeats.cut_repeats(docs))) == expected
+    found = repeats.cut_repeats(docs.withColumns({"spans": F.lit(1), "uid": F.lit(2), "row": F.lit(3)}))
+    assert found.columns == ["doc_id", "lang", "source", "n_chars", "uid", "row", "text", "n_bytes", "spans", "kept_sha256"]
+    assert rows(digest(found)) == expected
+    for text, r in [(t, r) for i, t, *_ in corpus for r in found.where("size(spans) > 0").collect() if r["doc_id"] == i]:
+        left, at = b"", 0
+        for s in r["spans"]:
+            left, at = left + text.encode()[at : s["start"]], s["end"]
+        assert r["text"] == (left + text.encode()[at:]).decode("utf-8", "ignore")
 
 
 @pytest.mark.parametrize("window", [209, 256, 400, 700])
