@@ -6,8 +6,9 @@ of the shingles' XXH64 values have it.  Only distinct fingerprints are compared,
 Links: two fingerprints that differ in at most d bits agree in two of d + 2 segments at least, so each fingerprint is
 sent to the cell of every pair of its segments.  Within a cell, the pivot table holds each fingerprint's Hamming
 distances to fixed reference fingerprints; by the triangle inequality a pair whose largest coordinate difference exceeds
-d is discarded, and the survivors are verified by their own distance.  A cell of many fingerprints is searched by
-one-bit variants, which link the same pairs in linear time.  A cell passes on a spanning forest, never its pairs.
+d is discarded, and the survivors are verified by their own distance.  A cell passes on a spanning forest, never its
+pairs.  Fingerprints of crowded cells are no task's to hold: each goes to its 64 one-bit variants and itself, where those
+within two bits of each other meet, at most 65 at a variant; that links the same pairs in linear time.
 
 Components: rounds of contraction towards the neighbour of least random priority, each round's tables written to the
 shared folder.
@@ -25,13 +26,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import U64, flat, materialize, mix, table
+from .common import U64, flat, materialize, mix, table, unused
 
 PIVOTS = mix(np.arange(1, 17, dtype=U64) * U64(0x9E3779B97F4A7C15))
-#: Cells of more fingerprints than this are searched by one-bit variants.
+#: Fingerprints of cells with more than this are linked by one-bit variants.
 DENSE = 192
 PIECE = 1 << 22
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
@@ -120,26 +121,12 @@ def _linked(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
-def _variants(fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges between fingerprints that share a variant of at most distance / 2 flipped bits (distance 2: one)."""
-    masks = np.concatenate([np.zeros(1, U64), U64(1) << np.arange(64, dtype=U64)])
-    key = (fp[:, None] ^ masks[None, :]).ravel()
-    owner = np.repeat(np.arange(len(fp)), len(masks))
-    order = np.argsort(key)
-    key, owner = key[order], owner[order]
-    same = key[1:] == key[:-1]
-    return owner[:-1][same], owner[1:][same]
-
-
 def _search(cell: np.ndarray, fp: np.ndarray, distance: int) -> np.ndarray:
     """The root (an index) of each of the fingerprints, which come sorted by cell."""
     n = len(fp)
     table = np.bitwise_count(fp[:, None] ^ PIVOTS[None, :]).astype(np.int8)
-    bounds = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1], [True]]))
-    large = distance == 2
-    sizes = np.repeat(np.diff(bounds), np.diff(bounds))
-    found = []
-    at = np.flatnonzero(sizes <= DENSE if large else sizes > 0)
+    found = [(np.zeros(0, np.int64),) * 2]
+    at = np.arange(n)
     step = 1
     while len(at):
         at = at[at + step < n]
@@ -150,38 +137,57 @@ def _search(cell: np.ndarray, fp: np.ndarray, distance: int) -> np.ndarray:
         near = near[np.bitwise_count(fp[near] ^ fp[near + step]) <= distance]
         found.append((near, near + step))
         step += 1
-    if large:
-        for k in np.flatnonzero(np.diff(bounds) > DENSE):
-            a, b = _variants(fp[bounds[k] : bounds[k + 1]], distance)
-            found.append((a + bounds[k], b + bounds[k]))
-    a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+    a, b = (np.concatenate(x) for x in zip(*found, strict=True))
     return _linked(n, a, b)
 
 
 def links(distinct: DataFrame, distance: int = 2) -> DataFrame:
-    """(a, b): edges that join all fingerprints within distance of each other; a spanning forest of every cell."""
-    spark = distinct.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """(a, b): edges that join all fingerprints within distance of each other.
+
+    Crowded cells are marked and linked by variants if distance is 2; for other distances they are searched like any.
+    """
+    n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    most = DENSE if distance == 2 else 1 << 62
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, fp = np.zeros(0, np.int64), np.zeros(0, U64)
+        crowd = None  # the cell whose members are marked as they come
 
         def found(cell, fp):
-            root = _search(cell, fp, distance)
+            bounds = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1], [True]]))
+            many = np.repeat((np.diff(bounds) > most) | (cell[bounds[:-1]] == crowd), np.diff(bounds))
+            some = ~many
+            few = fp[some]
+            root = _search(cell[some], few, distance)
             other = root != np.arange(len(root))
-            return pa.RecordBatch.from_arrays([pa.array(fp[other].view(np.int64)), pa.array(fp[root[other]].view(np.int64))], names=["a", "b"])
+            a, b = np.concatenate([few[other], fp[many]]), np.concatenate([few[root[other]], fp[many]])
+            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
         for batch in batches:
             cell = np.concatenate([cell, batch.column(0).to_numpy()])
             fp = np.concatenate([fp, batch.column(1).to_numpy().view(U64)])
             done = int(np.searchsorted(cell, cell[-1])) if len(cell) else 0
+            if len(cell) - done > most:
+                crowd, before, done = int(cell[-1]), crowd, len(cell)
+                if before is not None and before != crowd and cell[0] == before:
+                    cut = int(np.searchsorted(cell, before, side="right"))
+                    yield pa.RecordBatch.from_arrays([pa.array(fp[:cut].view(np.int64))] * 2, names=["a", "b"])
+                    cell, fp, done = cell[cut:], fp[cut:], done - cut
             if done:
                 yield found(cell[:done], fp[:done])
                 cell, fp = cell[done:], fp[done:]
         if len(cell):
             yield found(cell, fp)
 
-    return cells(distinct, distance).repartition(n, "cell").sortWithinPartitions("cell", "fp").mapInArrow(run, "a long, b long").distinct()
+    made = cells(distinct, distance).repartition(n, "cell").sortWithinPartitions("cell", "fp").mapInArrow(run, "a long, b long")
+    made = materialize(made, "cells")
+    edges = made.where("a <> b")
+    if distance == 2:
+        flips = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.col("a").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k)))
+        spread = made.where("a = b").select("a").distinct().select("a", F.explode(F.array_append(flips, F.col("a"))).alias("variant"))
+        chained = spread.select("a", F.lag("a").over(Window.partitionBy("variant").orderBy("a")).alias("b"))
+        edges = edges.unionByName(chained.where("b is not null"))
+    return edges.distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -482,18 +488,19 @@ def representatives(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     Texts without words are alike only if equal.  Rows that share that id and text stay once.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    marked = docs.withColumns({"_uid": F.xxhash64(text), "_key": F.xxhash64(F.col("doc_id").cast("string"), text)})
+    uid, key = unused(docs, "uid", "key")
+    marked = docs.withColumns({uid: F.xxhash64(text), key: F.xxhash64(F.col("doc_id").cast("string"), text)})
     edges = similar(docs.select(F.xxhash64(text).alias("uid"), text.alias("text")), width, similarity)
     roots = components(edges)
-    rows = materialize(marked.select("_uid", "_key", F.col("doc_id").alias("id")), "ids")
-    least = rows.groupBy("_uid").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_key")).alias("least"), F.count("*").alias("n"))
-    rooted = least.join(roots.select(F.col("node").alias("_uid"), "root"), "_uid", "left").select(F.coalesce("root", "_uid").alias("root"), "least")
-    chosen = materialize(rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least._key").alias("_key")), "chosen")
-    kept = marked.join(chosen, "_key", "left_semi")
-    repeated = not rows.groupBy("_key").count().where("count > 1").isEmpty()
+    rows = materialize(marked.select(F.col(uid).alias("uid"), F.col(key).alias("key"), F.col("doc_id").alias("id")), "ids")
+    least = rows.groupBy("uid").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("least"))
+    rooted = least.join(roots.select(F.col("node").alias("uid"), "root"), "uid", "left").select(F.coalesce("root", "uid").alias("root"), "least")
+    chosen = materialize(rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.key").alias(key)), "chosen")
+    kept = marked.join(chosen, key, "left_semi")
+    repeated = not rows.groupBy("key").count().where("count > 1").isEmpty()
     if repeated:
-        kept = kept.dropDuplicates(["_key"])
-    return kept.drop("_uid", "_key")
+        kept = kept.dropDuplicates([key])
+    return kept.drop(uid, key)
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

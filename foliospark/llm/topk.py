@@ -1,9 +1,12 @@
 """Exact top-k by inner product: a ball tree for each shard, searched by branch and bound.
 
 Rows are packed into shards where they lie, each with its tree, and written to the shared folder.  A shard's own query
-rows form a query block.  Each block first searches its own shard; the kth scores found there go with the block as
-lower bounds to every other shard, where nodes are taken by falling upper bound q.c + |q| r and dropped once that is
-below the kth score so far.  Partial results are at most k rows a query and shard, merged by query.
+rows form a query block, which first searches its own shard; the kth scores found there are lower bounds for all others.
+A shard's root ball bounds what any of its rows can score, so a block visits only shards that may still win, the most
+promising first, in rounds: after each, the current kth scores are shared, and shards and queries that can't reach them
+any more drop out.  Within a shard, nodes are taken by falling upper bound q.c + |q| r and dropped once that is below
+the kth score so far.  A round sends each shard to one task and its queries after it; results are at most k rows a query
+and shard, merged by query.
 
 Components become floor(scale * x).  Vectors that are null or hold a null or non-finite component take no part, nor do
 those with a null id.  Vectors of different lengths are not compared.  Rows that repeat an id are separate: each
@@ -21,13 +24,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import batches_of, materialize, table
 
 SHARD_ROWS, LEAF = 16384, 256
+#: Queries in a row that visits a shard, and such rows in an Arrow batch.
+PIECE, BATCH = 256, 16
+#: Bytes of root balls that are broadcast at once; more are taken in parts.
+ROOT_BYTES = 64 << 20
+#: A block visits so many shards in its first round, and GROWTH times as many in all after each further one.
+FIRST, GROWTH = 2, 16
 #: Below every score; its negative exists.
 LEAST = -(1 << 62)
 SHARD = "shard string, dim int, ids binary, vectors binary, centers binary, radii binary, nodes binary, n_queries long"
-FOUND = "block string, query int, query_id long, own int, dim int, vector binary, bound long, best array<struct<vec_id:long,score:long>>"
+FOUND = "block string, query int, query_id long, dim int, vector binary, bound long, best array<struct<vec_id:long,score:long>>"
 
 
 def ball_tree(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -55,6 +64,23 @@ def ball_tree(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return order, np.array(centers), np.array(radii), np.array(nodes, np.int64).reshape(-1, 3)
 
 
+def packed_vectors(x: np.ndarray) -> bytes:
+    """Rows of whole numbers in two or four bytes a component, if they fit, else as doubles."""
+    most = np.abs(x).max(initial=0)
+    return x.astype(np.int16 if most < 1 << 15 else np.int32 if most < 1 << 31 else np.float64).tobytes()
+
+
+def unpacked_vectors(raw: bytes, n: int, dim: int) -> np.ndarray:
+    kind = {2: np.int16, 4: np.int32, 8: np.float64}[len(raw) // max(n * dim, 1) or 8]
+    return np.frombuffer(raw, kind).reshape(n, dim).astype(np.float64)
+
+
+def upper_bounds(q: np.ndarray, centers: np.ndarray, radii: np.ndarray) -> np.ndarray:
+    """By query and ball, what no row of the ball exceeds."""
+    upper = q @ centers.T + np.linalg.norm(q, axis=1)[:, None] * radii[None, :]
+    return upper + 1e-9 * (1 + np.abs(upper))
+
+
 def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Exact integer inner products: in floating point where every partial sum is a whole number it can hold."""
     bound = np.abs(q).sum(axis=1).max(initial=0) * np.abs(x).max(initial=0)
@@ -70,7 +96,7 @@ class Tree:
         self.dim = row["dim"]
         of = lambda name, kind: np.frombuffer(row[name], kind)
         self.ids = of("ids", np.int64)
-        self.vectors = of("vectors", np.float64).reshape(len(self.ids), self.dim)
+        self.vectors = unpacked_vectors(row["vectors"], len(self.ids), self.dim)
         self.centers = of("centers", np.float64).reshape(-1, self.dim)
         self.radii, self.nodes = of("radii", np.float64), of("nodes", np.int64).reshape(-1, 3)
 
@@ -78,8 +104,7 @@ class Tree:
         """For each query, (ids, scores) of its best rows here that reach its bound; own: the row that is the query, or -1."""
         least, n = LEAST, len(q)
         kth = bound.copy()
-        upper = q @ self.centers.T + np.linalg.norm(q, axis=1)[:, None] * self.radii[None, :]
-        upper += 1e-9 * (1 + np.abs(upper))
+        upper = upper_bounds(q, self.centers, self.radii)
         best_ids, best = np.full((n, k), np.iinfo(np.int64).max), np.full((n, k), least)
         heap = [(-upper[:, 0].max(initial=-np.inf), 0)] if n and len(self.ids) else []
         while heap:
@@ -115,7 +140,7 @@ def shards(vectors: DataFrame, scale: float, every: int) -> DataFrame:
 
     def pack(dim: int, ids: np.ndarray, x: np.ndarray, name: str) -> pa.RecordBatch:
         order, centers, radii, nodes = ball_tree(x)
-        row = [name, dim, ids[order].tobytes(), x[order].tobytes(), centers.tobytes(), radii.tobytes(), nodes.tobytes(), int((ids % every == 0).sum())]
+        row = [name, dim, ids[order].tobytes(), packed_vectors(x[order]), centers.tobytes(), radii.tobytes(), nodes.tobytes(), int((ids % every == 0).sum())]
         kinds = [pa.string(), pa.int32(), *[pa.binary()] * 5, pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], names=[c.split()[0] for c in SHARD.split(", ")])
 
@@ -146,55 +171,135 @@ def shards(vectors: DataFrame, scale: float, every: int) -> DataFrame:
     return clean.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(run, SHARD)
 
 
-def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0) -> DataFrame:
-    """(query_id, rank, vec_id, score) for the rows whose id is divisible by every, against all other rows."""
-    spark = vectors.sparkSession
-    packed = materialize(shards(vectors, scale, every), "shards")
+def _own(packed: DataFrame, k: int, every: int) -> DataFrame:
+    """FOUND's rows: each shard's queries, searched in their own shard."""
     best_type = pa.list_(pa.struct([("vec_id", pa.int64()), ("score", pa.int64())]))
-    names = [c.split()[0] for c in "block string,query int,query_id long,own int,dim int,vector binary,bound long,best".split(",")]
 
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 tree = Tree(row)
                 own = np.flatnonzero(tree.ids % every == 0)
-                if not len(own):
+                for at in range(0, len(own), 4096):
+                    some = own[at : at + 4096]
+                    q = tree.vectors[some]
+                    found = tree.search(q, some, np.full(len(some), LEAST), k)
+                    bounds = [int(s[k - 1]) if len(s) >= k else LEAST for _, s in found]
+                    best = [[{"vec_id": i, "score": s} for i, s in zip(a.tolist(), b.tolist(), strict=True)] for a, b in found]
+                    n = len(some)
+                    arrays = [pa.array([row["shard"]] * n), pa.array(np.arange(at, at + n, dtype=np.int32)), pa.array(tree.ids[some]), pa.array(np.full(n, tree.dim, np.int32)), pa.array([packed_vectors(v) for v in q], pa.binary()), pa.array(bounds, pa.int64()), pa.array(best, best_type)]
+                    yield pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in FOUND.split(", ")])
+
+    return packed.where("n_queries > 0").mapInArrow(run, FOUND)
+
+
+def _stacked(queries: list[dict], dim: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.stack([unpacked_vectors(x["vector"], 1, dim)[0] for x in queries]), np.array([x["bound"] for x in queries], np.int64)
+
+
+def _visits(pieces: DataFrame, packed: DataFrame) -> DataFrame:
+    """(block, piece, shard, round): the other shards that some query of a piece may find a result in, the best first."""
+    roots = packed.select("shard", "dim", F.expr("substring(centers, 1, 8 * dim)").alias("center"), F.expr("substring(radii, 1, 8)").alias("radius"))
+    size = roots.agg(F.sum(F.length("center") + 64)).first()[0] or 0
+    parts = -(-size // ROOT_BYTES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[], [], [], []]
+            for row in batch.to_pylist():
+                q, bound = _stacked(row["queries"], row["dim"])
+                balls = [x for x in row["balls"] if x["shard"] != row["block"]]
+                if not balls:
                     continue
-                q = tree.vectors[own]
-                found = tree.search(q, own, np.full(len(own), LEAST), k)
-                bounds = [int(s[k - 1]) if len(s) >= k else LEAST for _, s in found]
-                best = [[{"vec_id": i, "score": s} for i, s in zip(a.tolist(), b.tolist(), strict=True)] for a, b in found]
-                n = len(own)
-                arrays = [pa.array([row["shard"]] * n), pa.array(np.arange(n, dtype=np.int32)), pa.array(tree.ids[own]), pa.array(own.astype(np.int32)), pa.array(np.full(n, tree.dim, np.int32)), pa.array([v.tobytes() for v in q], pa.binary()), pa.array(bounds, pa.int64()), pa.array(best, best_type)]
-                yield pa.RecordBatch.from_arrays(arrays, names=names)
-
-    asked = materialize(packed.where("n_queries > 0").mapInArrow(first, FOUND), "asked")
-    own = asked.select("block", "query", "query_id", F.inline("best"))
-    pieces = F.struct("query", "query_id", "vector", "bound")
-    blocks = asked.groupBy("block", "dim", F.floor(F.col("query") / 1024).alias("piece")).agg(F.collect_list(pieces).alias("queries"))  # 1024 queries at most
-    names_of = packed.select(F.col("shard"), "dim").groupBy("dim").agg(F.collect_list("shard").alias("shards"))
-    tasks = blocks.join(names_of, "dim").select("block", "queries", F.explode("shards").alias("shard")).where("block <> shard")
-
-    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                centers, radii = np.stack([np.frombuffer(x["center"], np.float64) for x in balls]), np.array([np.frombuffer(x["radius"], np.float64)[0] for x in balls])
+                gain = (upper_bounds(q, centers, radii) - bound[:, None]).max(axis=0)
+                for k in np.flatnonzero(gain >= 0).tolist():
+                    for column, value in zip(out, (row["block"], row["piece"], balls[k]["shard"], float(gain[k])), strict=True):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.string(), pa.int64(), pa.string(), pa.float64()), strict=True)], names=["block", "piece", "shard", "gain"])
+
+    made = None
+    for part in range(parts):
+        some = roots.where(F.pmod(F.xxhash64("shard"), F.lit(parts)) == part).groupBy("dim").agg(F.collect_list(F.struct("shard", "center", "radius")).alias("balls"))
+        met = pieces.join(F.broadcast(some), "dim").select("block", "piece", "dim", "queries", "balls")  # ROOT_BYTES of balls
+        one = met.mapInArrow(run, "block string, piece long, shard string, gain double")
+        made = one if made is None else made.unionByName(one)
+    place = F.row_number().over(Window.partitionBy("block", "piece").orderBy(F.col("gain").desc(), "shard"))
+    late = F.ceil(F.log(float(GROWTH), F.col("place") / F.lit(float(FIRST)) - 1e-9))
+    return made.withColumn("place", place).select("block", "piece", "shard", F.greatest(late, F.lit(0)).cast("int").alias("round"))
+
+
+def _searched(visits: DataFrame, pieces: DataFrame, packed: DataFrame, k: int) -> DataFrame:
+    """(block, query, query_id, vec_id, score) of pieces in the shards that they visit; each shard goes to one task, its queries after it."""
+    n = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    none = lambda schema: [F.lit(None).cast(t).alias(c) for c, t in (x.split(" ", 1) for x in schema.split(", "))]
+    tree = packed.select("shard", F.lit(0).alias("kind"), "dim", "ids", "vectors", "centers", "radii", "nodes", *none(f"block string, queries {pieces.schema['queries'].dataType.simpleString()}"))
+    asked = visits.join(pieces, ["block", "piece"]).select("shard", F.lit(1).alias("kind"), "dim", *none("ids binary, vectors binary, centers binary, radii binary, nodes binary"), "block", "queries")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = None
         for batch in batches:
             for row in batch.to_pylist():
-                tree = Tree(row)
+                if not row["kind"]:
+                    tree = Tree(row)
+                    continue
                 asked = row["queries"]
-                q = np.stack([np.frombuffer(x["vector"], np.float64) for x in asked])
-                bound = np.array([x["bound"] for x in asked], np.int64)
+                q, bound = _stacked(asked, row["dim"])
                 found = tree.search(q, np.full(len(q), -1), bound, k)
-                n = [len(a) for a, _ in found]
-                numbers = np.repeat(np.array([x["query"] for x in asked], np.int32), n)
-                ids = np.repeat(np.array([x["query_id"] for x in asked], np.int64), n)
+                sizes = [len(a) for a, _ in found]
+                numbers = np.repeat(np.array([x["query"] for x in asked], np.int32), sizes)
+                ids = np.repeat(np.array([x["query_id"] for x in asked], np.int64), sizes)
                 arrays = [pa.array([row["block"]] * len(ids), pa.string()), pa.array(numbers), pa.array(ids), pa.array(np.concatenate([a for a, _ in found])), pa.array(np.concatenate([b for _, b in found]))]
                 yield pa.RecordBatch.from_arrays(arrays, names=["block", "query", "query_id", "vec_id", "score"])
 
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    spread = tasks.repartition(n, "block", "shard")
-    others = spread.join(packed.drop("n_queries"), "shard").mapInArrow(second, "block string, query int, query_id long, vec_id long, score long")
+    dealt = tree.unionByName(asked).repartition(n, "shard").sortWithinPartitions("shard", "kind")
+    return dealt.mapInArrow(run, "block string, query int, query_id long, vec_id long, score long")
+
+
+def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0) -> DataFrame:
+    """(query_id, rank, vec_id, score) for the rows whose id is divisible by every, against all other rows."""
+    spark = vectors.sparkSession
     order = Window.partitionBy("block", "query").orderBy(F.col("score").desc(), "vec_id")
-    ranked = own.unionByName(others).withColumn("rank", F.row_number().over(order))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    packed = materialize(shards(vectors, scale, every), "shards")
+    with batches_of(spark, BATCH):
+        asked = materialize(_own(packed, k, every), "asked")
+        best = asked.select("block", "query", "query_id", F.inline("best"))
+        queries, visits = asked.select("block", "dim", "query", "query_id", "vector"), None
+        bounds = asked.select("block", "query", "bound")
+        rounds, at = 1, 0
+        while at < rounds:
+            known = queries.join(bounds, ["block", "query"])
+            pieces = known.groupBy("block", "dim", F.floor(F.col("query") / PIECE).alias("piece")).agg(F.collect_list(F.struct("query", "query_id", "vector", "bound")).alias("queries"))  # PIECE queries
+            pieces = materialize(pieces, "pieces")
+            if visits is None:
+                if packed.select("shard").limit(2).count() < 2:
+                    break
+                visits = materialize(_visits(pieces, packed), "visits")
+                rounds = (visits.agg(F.max("round")).first()[0] if not visits.isEmpty() else -1) + 1
+                if not rounds:
+                    break
+            found = _searched(_alive(visits.where(F.col("round") == at), pieces, packed), pieces, packed, k)
+            ranked = best.unionByName(found).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+            best = materialize(ranked.drop("rank"), "best")
+            bounds = best.groupBy("block", "query").agg(F.when(F.count("*") == k, F.min("score")).otherwise(LEAST).alias("bound"))
+            at += 1
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _alive(visits: DataFrame, pieces: DataFrame, packed: DataFrame) -> DataFrame:
+    """The visits of a round that can still win under the current kth scores, by the shards' root balls."""
+    roots = packed.select("shard", F.expr("substring(centers, 1, 8 * dim)").alias("center"), F.expr("substring(radii, 1, 8)").alias("radius"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for row in batch.to_pylist():
+                q, bound = _stacked(row["queries"], row["dim"])
+                keep.append(bool((upper_bounds(q, np.frombuffer(row["center"], np.float64)[None], np.frombuffer(row["radius"], np.float64))[:, 0] >= bound).any()))
+            yield batch.select(["block", "piece", "shard"]).filter(pa.array(keep, pa.bool_()))
+
+    met = visits.join(roots, "shard").join(pieces, ["block", "piece"]).select("block", "piece", "shard", "dim", "center", "radius", "queries")
+    return met.mapInArrow(run, "block string, piece long, shard string")
 
 
 def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

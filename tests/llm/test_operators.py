@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from foliospark.llm import decontaminate, extract, lm_score, mixing, quality, repeats, simhash, token_counts, topk, url_filter
-from foliospark.llm.common import Fingerprints, flat, materialize, word_spans
+from foliospark.llm.common import Fingerprints, batches_of, flat, materialize, word_spans
 
 
 def rows(df):
@@ -251,7 +251,7 @@ def test_simhash(docs, corpus, monkeypatch):
     assert rows(simhash.near_duplicates(docs.limit(0))) == []
 
 
-@pytest.mark.parametrize("dense", [0, 1000])
+@pytest.mark.parametrize("dense", [0, 5, 1000])
 def test_links_of_a_dense_cluster(spark, monkeypatch, dense):
     rng = np.random.default_rng(1)
     base = int(rng.integers(0, 1 << 62))
@@ -260,7 +260,8 @@ def test_links_of_a_dense_cluster(spark, monkeypatch, dense):
     monkeypatch.setattr(simhash, "DENSE", dense)
     fp = np.array(values, np.uint64)
     assert simhash._search(cell, fp, 2).tolist() == groups(values, lambda a, b: (values[a] ^ values[b]).bit_count() <= 2)
-    edges = simhash.links(spark.createDataFrame([(v,) for v in values], "fp long"))
+    with batches_of(spark, 7):
+        edges = simhash.links(spark.createDataFrame([(v,) for v in values], "fp long"))
     roots = {r["node"]: r["root"] for r in simhash.components(edges).collect()}
     found = groups(values, lambda a, b: (values[a] ^ values[b]).bit_count() <= 2)
     assert len({roots.get(v, v) for v in values}) == len(set(found))
@@ -295,8 +296,9 @@ def brute_kept(corpus):
 @pytest.mark.parametrize("held", [2, 1 << 19])
 def test_representatives(docs, corpus, monkeypatch, held):
     monkeypatch.setattr(simhash, "HELD_TEXTS", held)
-    kept = simhash.representatives(docs)
-    assert kept.columns == docs.columns
+    named = docs.withColumns({"uid": F.lit(1), "_key": F.lit(2), "key": F.col("doc_id")})
+    kept = simhash.representatives(named)
+    assert kept.columns == named.columns
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()) == brute_kept(corpus)
     assert rows(simhash.representatives(docs.limit(0))) == []
 
@@ -613,6 +615,8 @@ def brute_top(vectors, k=20, every=20):
 def test_top_k(spark, monkeypatch, shard):
     monkeypatch.setattr(topk, "SHARD_ROWS", shard)
     monkeypatch.setattr(topk, "LEAF", 8)
+    for name, value in (("FIRST", 1), ("GROWTH", 2), ("PIECE", 3), ("ROOT_BYTES", 300)):
+        monkeypatch.setattr(topk, name, value)
     rng = np.random.default_rng(2)
     vectors = [(k, [float(x) for x in rng.integers(-3, 4, 6) / 8]) for k in range(150)]
     vectors += [(40, vectors[40][1]), (41, vectors[41][1]), (200, None), (220, [None] * 6), (240, [math.nan] * 6), (260, [math.inf] + [0.0] * 5), (None, [0.0] * 6), (280, []), (300, [1.0, 2.0]), (320, [0.5, 0.5])]
