@@ -1,8 +1,9 @@
 """Language-model scores of texts: unigram counts with add-one, and the context-mixing model of mixing_model.
 
 One pass over the training documents gathers words and grams; each task sums its own before anything is shuffled, and
-both tables grow with the corpus.  Grams fill the model's hashed counters, region by region; the table has a fixed size
-and is broadcast.  Weights are learnt online over shares of the gram table and averaged by weight, then refined.
+both tables grow with the corpus.  Grams fill the model's hashed counters, region by region; that table has four slots
+for each distinct gram, up to 2^most_bits slots of two bytes, which is what may be broadcast.  Weights are learnt online over shares of the gram table and averaged by weight, then refined; where
+a text is scored, they are refined further along that text.
 
 Words counted often enough to be among the `frequent` most are broadcast (a bounded table) and looked up where texts
 are scored; each text's rarer words, a few hundredths, are joined with the whole table of counts.
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import U64, Fingerprints, chunks, flat, materialize, table, word_spans
-from .mixing_model import LOW_BITS, ORDERS, REGION_BITS, TABLE_BITS, Cache, Model, contexts, grams, packed_counts, slots
+from .mixing_model import MOST_BITS, ORDERS, REGION_BITS, Cache, Model, contexts, grams, packed_counts, slots, table_bits, text_costs
 
 #: The key of the end of a text among words.
 END_KEY = U64(1)
@@ -84,8 +85,9 @@ def gather(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def counters(grams_: DataFrame) -> np.ndarray:
+def counters(grams_: DataFrame, bits: int) -> np.ndarray:
     """The model's table, built region by region from (gram, n), read by the driver as blocks of fixed total size."""
+    low_bits = bits - REGION_BITS
     n = int(grams_.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     by_order, level = [], grams_.select(F.col("gram").alias("sub"), "n")
     for order in reversed(ORDERS):
@@ -116,25 +118,25 @@ def counters(grams_: DataFrame) -> np.ndarray:
             h, byte = hashes(order, sub), (sub & U64(255)).astype(np.int64)
             for r in np.unique(region).tolist():
                 some = region == r
-                counts = regions.setdefault(r, np.zeros((2, 1 << LOW_BITS)))
+                counts = regions.setdefault(r, np.zeros((2, 1 << low_bits)))
                 for j in range(8):
-                    at = slots(h[some], (1 << j) | (byte[some] >> (8 - j))) & ((1 << LOW_BITS) - 1)
+                    at = slots(h[some], (1 << j) | (byte[some] >> (8 - j)), bits) & ((1 << low_bits) - 1)
                     bit = (byte[some] >> (7 - j)) & 1
                     np.add.at(counts, (bit, at), n[some])
         for r, counts in regions.items():
             yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([packed_counts(*counts).tobytes()], pa.binary())], names=["region", "counts"])
 
-    table_ = np.zeros(1 << TABLE_BITS, np.uint16)
+    table_ = np.zeros(1 << bits, np.uint16)
     made = rows.mapInArrow(placed, "region int, order int, sub long, n long").repartition(n, "region").mapInArrow(built, "region int, counts binary")
     for row in materialize(made, "regions").toLocalIterator():
-        table_[row["region"] << LOW_BITS : (row["region"] + 1) << LOW_BITS] = np.frombuffer(row["counts"], np.uint16)
+        table_[row["region"] << low_bits : (row["region"] + 1) << low_bits] = np.frombuffer(row["counts"], np.uint16)
     return table_
 
 
-def train(grams_: DataFrame) -> tuple[Model, Broadcast]:
+def train(grams_: DataFrame, bits: int) -> tuple[Model, Broadcast]:
     """The model of (gram, n), without its table, and the table as a broadcast: counters, then weights learnt online in shares and averaged, then the refinement of their outcomes."""
     spark = grams_.sparkSession
-    shared = spark.sparkContext.broadcast(counters(grams_))
+    shared = spark.sparkContext.broadcast(counters(grams_, bits))
     model = Model(np.zeros(0, np.uint16))
 
     def pairs(batches):
@@ -169,7 +171,7 @@ def train(grams_: DataFrame) -> tuple[Model, Broadcast]:
     return model, shared
 
 
-def scores(docs: DataFrame, folds: int = 7, fold: int = 2, frequent: int = 1 << 18) -> DataFrame:
+def scores(docs: DataFrame, folds: int = 7, fold: int = 2, frequent: int = 1 << 18, most_bits: int = MOST_BITS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of docs (doc_id, text)."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out(F.col("doc_id"), folds, fold).alias("held_out"))
@@ -177,7 +179,8 @@ def scores(docs: DataFrame, folds: int = 7, fold: int = 2, frequent: int = 1 <<
     is_word = F.col("key").bitwiseAND(F.lit(1).cast("long")) == 1
     counts = gathered.where(is_word)
     n_tokens, n_types = (int(x or 0) for x in counts.agg(F.sum("n"), F.count("*")).first())
-    model, counters_ = train(gathered.where(~is_word).select(F.shiftrightunsigned("key", 1).alias("gram"), "n"))
+    found = gathered.where(~is_word).select(F.shiftrightunsigned("key", 1).alias("gram"), "n")
+    model, counters_ = train(found, table_bits(found.count(), most_bits))
     least = _frequent_from(counts, frequent)
     known = counts.where(F.col("n") >= least).toPandas()  # at most `frequent` rows
     known = known.sort_values("key", key=lambda s: s.to_numpy().view(np.uint64))
@@ -208,7 +211,7 @@ def scores(docs: DataFrame, folds: int = 7, fold: int = 2, frequent: int = 1 <<
                 bounds = np.searchsorted(rare_row[new], np.arange(m + 1)).astype(np.int32)
                 pairs = pa.StructArray.from_arrays([pa.array(rare[new].view(np.int64)), pa.array(times.astype(np.int64))], names=["key", "times"])
                 gram, cut = grams(part, local)
-                score = -np.add.reduceat(cache.cost(gram), cut[:-1])
+                score = -text_costs(*cache.odds(gram), gram, cut)
                 columns = [np.arange(made, made + m), np.bincount(row, minlength=m) + 1, n_known, base, score, np.diff(local)]
                 made += m
                 yield pa.RecordBatch.from_arrays(

@@ -1,12 +1,15 @@
-"""The context-mixing model: bit predictors of hashed contexts, combined by gated logistic weights and refined.
+"""The context-mixing model: bit predictors of hashed contexts, combined by gated logistic weights and refined online.
 
 A text is a row of bytes (A-Z lower-cased) and an end mark, and a byte is eight binary decisions down a tree.  For each
 of the ORDERS, the bytes before and the decision's place in the tree choose a slot that counts zeros and ones.  The
 slots' log odds are summed with weights of a set that is chosen by how many orders have seen the context, how often the
 longest of these has, and the bit's number, and the sum is corrected by a table of what such sums turned out to mean.
 
-Everything about a byte depends on it and the five before it, so figures are computed once for each distinct string of
-six (a gram) and kept in a cache.
+So far everything about a byte depends on it and the five before it, so log odds are computed once for each distinct
+string of six (a gram) and kept in a cache.  Then a second mixer follows each text from its start: it weighs those log
+odds against the text's own past (the byte that followed when the last five bytes occurred there before), by weights of
+a set that is chosen by how many orders have seen the context and whether the past agrees so far, and after every
+SEGMENT bytes it moves the weights of this text by what it got wrong.  No byte is judged by itself or what follows.
 """
 
 from __future__ import annotations
@@ -19,10 +22,14 @@ from .common import U64, mix
 
 ORDERS = (1, 2, 3, 4, 5)
 SPAN = max(ORDERS) + 1
-TABLE_BITS, REGION_BITS = 24, 6
-LOW_BITS = TABLE_BITS - REGION_BITS
+REGION_BITS = 6
+#: Slots of the table for each distinct gram, and its least and largest size.
+SLOTS_A_GRAM, LEAST_BITS, MOST_BITS = 4, 18, 25
 GATES = 8 * 4 * (len(ORDERS) + 1)
 BUCKETS = 33
+#: Bytes after which a text's own weights move; how firm they are at first; what the text's past counts before it was right or wrong.
+SEGMENT, FIRM, PAST = 64, (50.0, 4.0), 1.0
+SETS = 2 * (len(ORDERS) + 1)
 _STEP, _SPREAD = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93)
 
 
@@ -49,10 +56,15 @@ def contexts(key: np.ndarray, order: int) -> np.ndarray:
     return mix(((key >> U64(8)) & U64((1 << 8 * order) - 1)) | U64(order << 56))
 
 
-def slots(context: np.ndarray, node: np.ndarray) -> np.ndarray:
-    """Places in the table: a context's region, and within it a hash of context and tree node."""
-    low = ((context + node.astype(U64) * _STEP) * _SPREAD) >> U64(64 - LOW_BITS)
-    return ((context >> U64(64 - REGION_BITS)) << U64(LOW_BITS) | low).astype(np.int64)
+def table_bits(n_grams: int, most: int = MOST_BITS) -> int:
+    """The table grows with the distinct grams, up to what a worker may hold (two bytes a slot)."""
+    return min(max((SLOTS_A_GRAM * n_grams).bit_length(), LEAST_BITS), most)
+
+
+def slots(context: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
+    """Places in a table of 2^bits slots: a context's region, and within it a hash of context and tree node."""
+    low = ((context + node.astype(U64) * _STEP) * _SPREAD) >> U64(64 - (bits - REGION_BITS))
+    return ((context >> U64(64 - REGION_BITS)) << U64(bits - REGION_BITS) | low).astype(np.int64)
 
 
 def packed_counts(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
@@ -85,7 +97,7 @@ class Model:
 
     def decisions(self, key: np.ndarray, without: bool):
         """For each of the eight bits: the inputs (log odds by order and a constant), the gate, and the bit."""
-        hashes = [contexts(key, o) for o in ORDERS]
+        hashes, bits = [contexts(key, o) for o in ORDERS], len(self.table).bit_length() - 1
         byte = (key & U64(255)).astype(np.int64)
         for j in range(8):
             node = (1 << j) | (byte >> (8 - j))
@@ -93,7 +105,7 @@ class Model:
             x = np.empty((len(key), len(ORDERS) + 1), np.float32)
             depth, step = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
             for k, h in enumerate(hashes):
-                counts = self.table[slots(h, node)]
+                counts = self.table[slots(h, node, bits)]
                 x[:, k] = WITHOUT[bit, counts] if without else LOG_ODDS[counts]
                 seen = SEEN_WITHOUT[counts] if without else SEEN[counts]
                 depth += seen > 0
@@ -108,16 +120,16 @@ class Model:
     def bucket(odds: np.ndarray) -> np.ndarray:
         return np.clip(np.round(odds * 2), -16, 16).astype(np.int64) + 16
 
-    def cost(self, key: np.ndarray) -> np.ndarray:
-        """-log10 of each gram's last byte's probability after the others."""
-        out = np.zeros(len(key))
+    def odds(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each gram's last byte: the refined log odds of its eight bits, and how many orders have seen each one's context."""
+        out, depth = np.zeros((len(key), 8), np.float32), np.zeros((len(key), 8), np.uint8)
         for at in range(0, len(key), 1 << 16):
             part = key[at : at + (1 << 16)]
-            for x, gate, bit in self.decisions(part, False):
+            for j, (x, gate, _) in enumerate(self.decisions(part, False)):
                 odds = self.mixed(x, gate)
-                odds = np.clip(odds + self.refined[gate, self.bucket(odds)], -16, 16).astype(np.float64)
-                out[at : at + len(part)] += np.log1p(np.exp(np.where(bit == 1, -odds, odds)))
-        return out / np.log(10)
+                out[at : at + len(part), j] = np.clip(odds + self.refined[gate, self.bucket(odds)], -16, 16)
+                depth[at : at + len(part), j] = gate // 32
+        return out, depth
 
     def learn(self, key: np.ndarray, count: np.ndarray, size: int = 2048, rate: float = 0.05) -> float:
         """Online logistic regression of the weights over the grams in the given order, with a step for each weight that shrinks as it has moved."""
@@ -154,21 +166,75 @@ class Model:
 
 
 class Cache:
-    """Costs of grams met before, one for each slot of a fixed table."""
+    """Model.odds() of grams met before, one for each slot of a fixed table."""
 
-    def __init__(self, model: Model, bits: int = 21):
+    def __init__(self, model: Model, bits: int = 20):
         self.model, self.shift = model, U64(64 - bits)
         self.keys = np.full(1 << bits, np.iinfo(np.uint64).max, U64)
-        self.costs = np.zeros(1 << bits)
+        self.held = np.zeros((1 << bits, 8), np.float32), np.zeros((1 << bits, 8), np.uint8)
 
-    def cost(self, key: np.ndarray) -> np.ndarray:
+    def odds(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = ((key * _STEP) >> self.shift).astype(np.int64)
-        out = self.costs[at]
+        out = tuple(x[at] for x in self.held)
         miss = np.flatnonzero(self.keys[at] != key)
         if len(miss):
             new, back = np.unique(key[miss], return_inverse=True)
-            costs = self.model.cost(new)
-            out[miss] = costs[back]
             place = ((new * _STEP) >> self.shift).astype(np.int64)
-            self.keys[place], self.costs[place] = new, costs
+            self.keys[place] = new
+            for held, own, made in zip(self.held, out, self.model.odds(new), strict=True):
+                own[miss] = made[back]
+                held[place] = made
         return out
+
+
+def recalled(key: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """For each byte the one that followed the last time that the five before it occurred in its text, or -1."""
+    text = np.repeat(np.arange(len(cut) - 1, dtype=U64), np.diff(cut))
+    context = (text << U64(40)) | (key >> U64(8))
+    order = np.argsort(context, kind="stable")
+    again = context[order][1:] == context[order][:-1]
+    out = np.full(len(key), -1, np.int16)
+    out[order[1:][again]] = (key[order[:-1][again]] & U64(255)).astype(np.int16)
+    return out
+
+
+def text_costs(odds: np.ndarray, depth: np.ndarray, key: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """-log10 of the probability of each text, whose bytes lie between two cuts, by the mixer that follows it.
+
+    The texts go side by side, segment by segment; each has its own weights.
+    """
+    n = len(cut) - 1
+    byte, past = (key & U64(255)).astype(np.int16), recalled(key, cut)
+    bit = np.unpackbits(byte.astype(np.uint8)[:, None], axis=1)
+    told = np.zeros((len(key), 8), np.int8)
+    for j in range(8):
+        agrees = (past >= 0) & (past >> (8 - j) == byte >> (8 - j))
+        told[:, j] = np.where(agrees, 2 * ((past >> (7 - j)) & 1) - 1, 0)
+    gate = depth + np.uint8(SETS // 2) * (told != 0)
+    sizes = np.diff(cut)
+    order = np.argsort(-sizes, kind="stable")
+    first, sizes = cut[:-1][order], sizes[order]
+    weights = [np.full(n * SETS, w) for w in (1.0, PAST)]
+    firmness = [np.full(n * SETS, f) for f in FIRM]
+    costs = np.zeros(n)
+    for at in range(0, int(sizes.max(initial=0)), SEGMENT):
+        live = int(np.searchsorted(-sizes, -at, side="left"))
+        count = np.minimum(sizes[:live] - at, SEGMENT)
+        text = np.repeat(np.arange(live), count)
+        place = np.repeat(first[:live] + at - (np.cumsum(count) - count), count) + np.arange(len(text))
+        chosen = (text[:, None] * SETS + gate[place]).ravel()
+        x, ones = odds[place].ravel(), bit[place].ravel()
+        some = np.flatnonzero(told[place].ravel())
+        recall, its = told[place].ravel()[some], chosen[some]
+        mixed = weights[0][chosen] * x
+        mixed[some] += weights[1][its] * recall
+        mixed = np.clip(mixed, -20, 20)
+        p = 1 / (1 + np.exp(-mixed))
+        error, spread = ones - p, p * (1 - p)
+        costs[:live] -= np.bincount(text, np.log1p(-np.abs(error)).reshape(-1, 8).sum(axis=1), live)
+        for k, (who, e, v, h) in enumerate(((chosen, error, x, spread * x * x), (its, error[some], recall, spread[some]))):
+            firmness[k][: live * SETS] += np.bincount(who, h, live * SETS)
+            weights[k][: live * SETS] += np.bincount(who, e * v, live * SETS) / firmness[k][: live * SETS]
+    out = np.zeros(n)
+    out[order] = costs / np.log(10)
+    return out

@@ -16,6 +16,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from foliospark.llm import mixing_model as M
 from foliospark.llm import decontaminate, extract, lm_score, mixing, quality, repeats, simhash, token_counts, topk, url_filter
 from foliospark.llm.common import Fingerprints, batches_of, flat, materialize, word_spans
 
@@ -361,18 +362,86 @@ def test_lm_score(docs, corpus):
     for r, (_, t, *_) in zip(sorted(found, key=lambda r: str(r["doc_id"])), sorted(corpus, key=lambda c: str(c[0])), strict=True):
         assert by_text.setdefault(t or "", r["score"]) == pytest.approx(r["score"])
     assert lm_score.scores(docs.limit(0)).collect() == []
+    assert [M.table_bits(n, 22) for n in (0, 1 << 17, 1 << 19, 1 << 30)] == [18, 20, 22, 22]
+
+
+def small_model(texts):
+    """A model of texts, its counters by plain counting."""
+    key, n = np.unique(M.grams(*flat(pa.array(texts)))[0], return_counts=True)
+    counts = np.zeros((2, 1 << 18))
+    for gram, times in zip(key.tolist(), n.tolist(), strict=True):
+        for order in M.ORDERS:
+            h = M.contexts(np.array([gram & (1 << 8 * (order + 1)) - 1], np.uint64), order)
+            for j in range(8):
+                at = M.slots(h, np.array([(1 << j) | ((gram & 255) >> (8 - j))]), 18)[0]
+                counts[(gram >> (7 - j)) & 1, at] += times
+    return M.Model(M.packed_counts(*counts)), key, n
+
+
+TEXTS = ["the then there they " * 30, "banana bandana", "", None, "One two three. " * 4 + "the end", "ÉÉ çà " * 20]
 
 
 def test_model_is_a_distribution():
-    from foliospark.llm import mixing_model as M
-    from foliospark.llm.common import U64
+    model, key, n = small_model(TEXTS)
+    model.learn(key, n)
+    model.refine(model.outcomes(key, n))
+    odds, _ = model.odds(np.uint64(0x746865 << 8) | np.arange(256, dtype=np.uint64))
+    bit = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1)
+    assert (1 / (1 + np.exp(np.where(bit == 1, -odds, odds).astype(float)))).prod(axis=1).sum() == pytest.approx(1.0, abs=1e-5)
+    held = M.Cache(model, bits=3)  # places are fought over
+    for some in (key[:40], key[20:], key):
+        assert all(np.array_equal(a, b) for a, b in zip(held.odds(some), model.odds(some), strict=True))
+
+
+def test_counters_of_the_model(spark):
+    model, key, n = small_model(TEXTS)
+    grams = spark.createDataFrame(list(zip(key.view(np.int64).tolist(), n.tolist(), strict=True)), "gram long, n long").repartition(3)
+    assert np.array_equal(lm_score.counters(grams, 18), model.table)
+
 
-    key, n = np.unique(M.grams(*flat(pa.array(["the then there they " * 30, "banana bandana"])))[0], return_counts=True)
-    table = np.zeros(1 << M.TABLE_BITS, np.uint16)
-    model = M.Model(table)
+def test_scores_along_texts_by_a_plain_loop():
+    model, key, n = small_model(TEXTS)
     model.learn(key, n)
-    context = U64(0x746865 << 8)
-    assert (10 ** -model.cost(context | np.arange(256, dtype=U64))).sum() == pytest.approx(1.0)
+    texts = [*TEXTS, "the theme of bananas " * 25, "x", "banana " * 40 + "the end"]
+    gram, cut = M.grams(*flat(pa.array(texts)))
+    odds, depth = model.odds(gram)
+    expected = []
+    for a, b in zip(cut[:-1], cut[1:], strict=True):
+        weights, firmness = {}, {}
+        cost, moves, seen = 0.0, {}, {}
+        for at in range(a, b):
+            if (at - a) % M.SEGMENT == 0:
+                for k, (push, firm) in moves.items():
+                    firmness[k] = firmness.get(k, M.FIRM[k[1]]) + firm
+                    weights[k] = weights.get(k, (1.0, M.PAST)[k[1]]) + push / firmness[k]
+                moves = {}
+            byte, context = int(gram[at]) & 255, int(gram[at]) >> 8
+            past = seen.get(context)
+            for j in range(8):
+                one = (byte >> (7 - j)) & 1
+                agrees = past is not None and past >> (8 - j) == byte >> (8 - j)
+                x = (float(odds[at, j]), (1 if (past >> (7 - j)) & 1 else -1) if agrees else 0)
+                gate = int(depth[at, j]) + (M.SETS // 2 if agrees else 0)
+                p = 1 / (1 + math.exp(-sum(weights.get((gate, k), (1.0, M.PAST)[k]) * x[k] for k in (0, 1))))
+                cost -= math.log10(p if one else 1 - p)
+                for k in (0, 1):
+                    push, firm = moves.get((gate, k), (0.0, 0.0))
+                    if x[k]:
+                        moves[gate, k] = (push + (one - p) * x[k], firm + p * (1 - p) * x[k] ** 2)
+            seen[context] = byte
+        expected.append(cost)
+    assert M.text_costs(odds, depth, gram, cut) == pytest.approx(expected, rel=1e-6)
+    parts = [M.text_costs(odds[a:b], depth[a:b], gram[a:b], np.array([0, b - a])) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    assert np.concatenate(parts) == pytest.approx(expected, rel=1e-6)  # whatever texts go beside
+
+
+def test_scores_are_the_models(spark, docs, corpus):
+    """`score` of the query is that of one model of all training texts; it knows text that it has learnt from, and bits_per_byte follows."""
+    found = lm_score.scores(docs).collect()
+    static = [r["bits_per_byte"] for r in found if r["held_out"]]
+    assert all(r["bits_per_byte"] == pytest.approx(-r["score"] * math.log2(10) / max(len((t or "").encode()), 1)) for r, t in ((r, dict((i, t) for i, t, *_ in corpus)[r["doc_id"]]) for r in found))
+    assert static and np.mean([r["bits_per_byte"] for r in found if r["n_tokens"] > 50]) < 4
+    assert {(r["doc_id"], round(r["score"], 3)) for r in lm_score.scores(docs.coalesce(1)).collect()} == {(r["doc_id"], round(r["score"], 3)) for r in lm_score.scores(docs.coalesce(1)).collect()}
 
 
 # 7
