@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CJK = r"\x{4e00}-\x{9fff}"
@@ -279,11 +279,16 @@ def count_of(text: Column, part: Column | str) -> Column:
     return ((F.length(text) - F.length(F.replace(text, part, F.lit("")))) / F.length(part)).cast("long")
 
 
+#: White space, and boxes, replacement and stray control characters, as characters to be taken out of a text.
+_SPACES = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21)]))
+_GARBLED = "\u25a1\ufffd\u25a0\u201a\u0192" + "".join(map(chr, [0x00, *range(0x10, 0x1C)]))
+
+
 def garbled_ratio(text: Column) -> Column:
     """The share of boxes, replacement and stray control characters among characters that aren't white space; 1 of none."""
-    total = F.length(F.regexp_replace(text, r"[\s\x0b\x1c-\x1f]", ""))
-    bad = F.regexp_count(text, F.lit(r"[\x{25a1}\x{fffd}\x{25a0}\x{201a}\x{0192}\x00\x10-\x1b]"))
-    return F.when(total > 0, bad / total).otherwise(1.0)
+    without = lambda some: F.length(F.translate(text, some, ""))
+    total = without(_SPACES)
+    return F.when(total > 0, (F.length(text) - without(_GARBLED)) / total).otherwise(1.0)
 
 
 def paragraph_score(text: Column) -> Column:
@@ -303,15 +308,21 @@ def dictionary_rate(text: Column, terms: tuple[str, ...] = ()) -> Column:
     return F.when(F.size(groups) > 0, hits / F.size(groups)).otherwise(F.least(F.regexp_count(text, F.lit("[a-zA-Z]{2,}")) / 10, F.lit(1.0)))
 
 
-def text_quality(text: Column, terms: tuple[str, ...] = (), garbled_most: float = 0.05) -> Column:
-    """struct(garbled, dictionary, paragraph, score, level): PASS, SUSPICIOUS or FAIL."""
-    t = F.trim(text)
-    g, d, p = garbled_ratio(t), dictionary_rate(t, terms), paragraph_score(t)
-    score = (1 - g) * 0.4 + d * 0.3 + p * 0.3
-    level = F.when((score >= 0.7) & (g <= garbled_most) & (d >= 0.3), "PASS").when((score >= 0.4) & (g <= garbled_most), "SUSPICIOUS").otherwise("FAIL")
-    short = text.isNull() | (F.length(t) < 10)
-    pick = lambda yes, value, name: F.when(short, yes).otherwise(value).alias(name)
-    return F.struct(pick(1.0, g, "garbled"), pick(0.0, d, "dictionary"), pick(0.0, p, "paragraph"), pick(0.0, score, "score"), pick("FAIL", level, "level"))
+def text_quality(docs: DataFrame, text: str = "text", terms: tuple[str, ...] = (), garbled_most: float = 0.05) -> DataFrame:
+    """docs with garbled, dictionary, paragraph, score and level: PASS, SUSPICIOUS or FAIL.
+
+    The three shares are columns before anything is made of them, so a text is looked through once for each.
+    """
+    t = F.trim(F.col(text))
+    short = F.col(text).isNull() | (F.length(t) < 10)
+    share = lambda of_short, value: F.when(short, of_short).otherwise(value)
+    shares = {"garbled": share(1.0, garbled_ratio(t)), "dictionary": share(0.0, dictionary_rate(t, terms)), "paragraph": share(0.0, paragraph_score(t)), "_short": short}
+    measured = docs.withColumns(shares)
+    score = F.when(F.col("_short"), 0.0).otherwise((1 - F.col("garbled")) * 0.4 + F.col("dictionary") * 0.3 + F.col("paragraph") * 0.3)
+    scored = measured.withColumn("score", score)
+    readable = F.col("garbled") <= garbled_most
+    level = F.when(F.col("_short"), "FAIL").when((F.col("score") >= 0.7) & readable & (F.col("dictionary") >= 0.3), "PASS").when((F.col("score") >= 0.4) & readable, "SUSPICIOUS").otherwise("FAIL")
+    return scored.withColumn("level", level).drop("_short")
 
 
 def confidence(answer: Column, context: Column, units: str = "mm|mhz|ghz|v|ma", terms: str = "interface|protocol|page") -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import itertools
 from collections.abc import Iterator
 
 import pandas as pd
@@ -61,63 +62,55 @@ def split_table(rows: list[str], most: int) -> list[str]:
     return out
 
 
+def _segments(text: str) -> Iterator[tuple[str, list[str]]]:
+    """A text as tables (runs of table rows), headings and other lines, each with its kind."""
+    for in_table, run in itertools.groupby(text.split("\n"), key=is_table_row):
+        if in_table:
+            yield "table", list(run)
+        else:
+            yield from (("heading" if is_heading(line) else "line", [line]) for line in run)
+
+
+def _pieces(kind: str, lines: list[str], most: int) -> list[str] | None:
+    """A segment that is too large for a chunk, cut; None for any other."""
+    if kind == "table":
+        return split_table(lines, most) if sum(len(x) + 1 for x in lines) > 1.5 * most else None
+    (line,) = lines
+    return [line[k : k + most] for k in range(0, len(line), most)] if len(line) > most else None
+
+
 def structural(text: str, most: int = 2000) -> list[str]:
     """Chunks that begin at headings, keep tables of up to 1.5 x most whole, and cut longer lines and tables (K-02)."""
-    chunks: list[str] = []
-    held: list[str] = []
-    size = 0
-
-    def flush():
-        nonlocal held, size
-        whole = "\n".join(held).strip()
-        if whole:
-            chunks.append(whole)
-        held, size = [], 0
-
-    def add(line: str):
-        nonlocal size
-        held.append(line)
-        size += len(line) + 1
-
-    lines, at = text.split("\n"), 0
-    while at < len(lines):
-        line = lines[at]
-        if is_table_row(line):
-            end = at
-            while end < len(lines) and is_table_row(lines[end]):
-                end += 1
-            rows = lines[at:end]
-            total = sum(len(r) + 1 for r in rows)
-            if total <= 1.5 * most:
-                if size + total > most:
-                    flush()
-                for row in rows:
-                    add(row)
-            else:
-                flush()
-                chunks += [t.strip() for t in split_table(rows, most) if t.strip()]
-            at = end
+    groups: list[list[str]] = [[]]
+    room = most
+    for kind, lines in _segments(text):
+        pieces, size = _pieces(kind, lines, most), sum(len(x) + 1 for x in lines)
+        if pieces is not None:
+            groups += [[piece] for piece in pieces] + [[]]
+            room = most
             continue
-        if is_heading(line):
-            flush()
-        elif size + len(line) + 1 > most:
-            flush()
-        if len(line) > most:
-            pieces = [line[k : k + most] for k in range(0, len(line), most)]
-            chunks += [p.strip() for p in pieces if p.strip()]
-        else:
-            add(line)
-        at += 1
-    flush()
-    return chunks or [text]
+        if kind == "heading" or size > room:
+            groups.append([])
+            room = most
+        groups[-1] += lines
+        room -= size
+    return [chunk for chunk in ("\n".join(g).strip() for g in groups) if chunk] or [text]
+
+
+def windows_of(text: str, most: int, overlap: int) -> list[str]:
+    return [text[k : k + most] for k in range(0, max(len(text) - overlap, 1), most - overlap)]
 
 
 def structural_chunks(docs: DataFrame, key: str, text: str, most: int = 2000) -> DataFrame:
-    """(key, idx, chunk) by structure, or by fixed windows where a long text has one structural chunk only (K-01, K-02, S-09)."""
+    """(key, idx, chunk) by structure, or by windows that overlap by a tenth where a long text has no structure (K-01, K-02, S-09)."""
+
+    def cut(t: str) -> list[str]:
+        made = structural(t, most)
+        return made if len(made) > 1 or len(t) <= most else windows_of(t, most, most // 10)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            out = [(k, i, c) for k, t in zip(part[key], part[text].fillna(""), strict=True) for i, c in enumerate(structural(t, most))]
+            out = [(k, i, c) for k, t in zip(part[key], part[text].fillna(""), strict=True) for i, c in enumerate(cut(t))]
             yield pd.DataFrame(out, columns=["key", "idx", "chunk"])
 
     kind = docs.schema[key].dataType.simpleString()
@@ -134,7 +127,7 @@ def section_chunks(pages: pd.DataFrame, most: int = DEFAULT.chunk_chars, overlap
     out: list[tuple[int, str, str]] = []
 
     def window(text: str) -> list[str]:
-        return [text[k : k + most] for k in range(0, max(len(text) - overlap, 1), most - overlap)]
+        return windows_of(text, most, overlap)
 
     def section(path: str, group: list[tuple[int, str]]):
         parts: list[tuple[int, str]] = []
@@ -174,14 +167,17 @@ def section_chunks(pages: pd.DataFrame, most: int = DEFAULT.chunk_chars, overlap
         size += len(text)
     if group:
         section(path, group)
-    return out[: DEFAULT.chunks_per_doc]
+    return out
+
 
+def document_chunks(pages: DataFrame, per_doc: int | None = None) -> DataFrame:
+    """(doc_id, chunk_idx, page_num, section_path, chunk) of pages (doc_id, page_num, section_path, raw_text), document by document.
 
-def document_chunks(pages: DataFrame) -> DataFrame:
-    """(doc_id, chunk_idx, page_num, section_path, chunk) of pages (doc_id, page_num, section_path, raw_text), document by document."""
+    All chunks, or with per_doc (chunks_per_doc is what an index of a small machine took) a document's first ones.
+    """
 
     def one(key, group: pd.DataFrame) -> pd.DataFrame:
-        made = section_chunks(group.sort_values("page_num"))
+        made = section_chunks(group.sort_values("page_num"))[:per_doc]
         return pd.DataFrame([(key[0], i, p, s, c) for i, (p, s, c) in enumerate(made)], columns=["doc_id", "chunk_idx", "page_num", "section_path", "chunk"])
 
     return pages.select("doc_id", "page_num", "section_path", "raw_text").groupBy("doc_id").applyInPandas(one, "doc_id long, chunk_idx int, page_num int, section_path string, chunk string")

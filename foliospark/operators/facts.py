@@ -15,16 +15,22 @@ from ..functions.text import NUMBER_WORDS, fact_keywords, model_tokens
 from .retrieval import top, with_vocabulary
 
 #: Attributes too general to stand for a fact.
-GENERAL = frozenset("note notes copyright rev revision date version page figure fig table chapter section http https www tel fax email mail address zip".split())
+GENERAL = frozenset({
+    "note", "notes", "copyright", "rev", "revision", "date", "version", "page", "figure", "fig", "table", "chapter", "section",
+    "http", "https", "www", "tel", "fax", "email", "mail", "address", "zip",
+})
 #: Words at a line's end after which its sentence goes on.
-DANGLING = frozenset("and or with the a an of to for in on per via by at as from than into between".split())
+DANGLING = frozenset({"and", "or", "with", "the", "a", "an", "of", "to", "for", "in", "on", "per", "via", "by", "at", "as", "from", "than", "into", "between"})
 #: The patterns of facts in a line.
 _COUNT = "|".join(NUMBER_WORDS)
 KEY_VALUE = re.compile(r"\b([A-Za-z][A-Za-z0-9 _/()&.\-]{1,35}?)\s*:\s*((?:\d[\w.]*|[A-Z][\w\-]{2,})[\w.\s×x/@%+\-–,()]{0,45}?)(?=$|[;\n]|\s{2,})")
 SUPPORTS = re.compile(rf"\bSupports?\s+(?:up to\s+)?({_COUNT}|\d+)\s+(\w[\w\s/\-]{{0,28}}?)\s+(interfaces?|channels?|ports?|lanes|bits|cores?|displays?|cameras?|screens?|controllers?)\b", re.I)
 RESOLUTION = re.compile(r"\b(H\.26[45]|HEVC|VP\d|AV\d|MPEG-?\d|JPEG)[\w\s/(),.\-]{0,30}?(?:up to|max(?:imum)?)\s+(\d{3,5}\s*[x×]\s*\d{3,5}(?:\s*@\s*\d+\s*fps)?|[48]K(?:\s*@\s*\d+\s*fps)?)", re.I)
 PROTOCOL = re.compile(r"\bSupports?\s+(?:up to\s+)?([A-Za-z][A-Za-z\-]*\s?\d+(?:\.\d+)?)(\([^)]{1,20}\))?[\w\s()/%.]*?\b(protocol|standard|interface|revision|version)\b", re.I)
+#: What page analysis has added to a page, to its end.
 GENERATED = re.compile(r"(?:---\s*#{0,3}\s*Page Visual Analysis \(VLM\)|===\s*Page Chart Content Analysis\s*===).*", re.S | re.I)
+#: What every RESOLUTION begins with.
+CODECS = re.compile(r"h\.26|hevc|vp\d|av\d|mpeg|jpeg")
 FACT = "doc_id string, entity string, attribute string, value string, page_num int, source_text string"
 
 
@@ -62,6 +68,8 @@ class Reader:
         self.vocabulary = vocabulary
         some = lambda words: "|".join(re.escape(w) for w in words)
         self.measured = [(attribute, re.compile(rf"\b(\d+(?:\.\d+)?)\s*({some(units)})\b", re.I)) for attribute, units in vocabulary.units.items() if units]
+        self.units = [u.lower() for units in vocabulary.units.values() for u in units]
+        self.headers = {h.lower() for h in vocabulary.headers}
         self.clock = re.compile(rf"\b((?:Max\s+)?[A-Za-z][A-Za-z0-9 \-/]{{0,24}}?)\s+(?:{some(vocabulary.frequency)})\s*(?:rate)?\s*[:|]?\s*[^0-9\n]{{0,12}}?\s*(\d+(?:\.\d+)?)\s*([A-Za-z]{{0,3}}Hz)\b", re.I) if vocabulary.frequency else None
 
     def facts(self, text: str) -> list[tuple[str, str, str]]:
@@ -84,29 +92,32 @@ class Reader:
                 continue
             source = sentence(lines, k)
             before = lines[k - 1].strip() if k else ""
-            named = len(before) < 20 and before.lower() in {h.lower() for h in self.vocabulary.headers}
+            named = len(before) < 20 and before.lower() in self.headers
             announced = before.endswith(":") and 3 <= len(before) <= 31 and any(c.isalpha() for c in before)
             if (named or announced) and len(line) < 60 and not line.endswith(":"):
                 add(before, line, f"{before} {line}")
             if len(line) < 6:
                 continue
-            for m in RESOLUTION.finditer(source):
+            # a pattern is tried only where a word stands that it can't do without
+            low = source.lower()
+            for m in RESOLUTION.finditer(source) if CODECS.search(low) else ():
                 add(f"{m[1]} max resolution", m[2], source)
-            for m in SUPPORTS.finditer(source):
+            supports = "support" in low
+            for m in SUPPORTS.finditer(source) if supports else ():
                 add(f"{m[2]} {m[3]} count", str(NUMBER_WORDS.get(m[1].lower(), m[1])), source, m[1])
-            for attribute, pattern in self.measured:
+            for attribute, pattern in self.measured if any(u in low for u in self.units) else ():
                 for m in pattern.finditer(source):
                     add(attribute, f"{m[1]} {m[2]}", source, m[0])
-            if self.clock:
+            if self.clock and "hz" in low:
                 for m in self.clock.finditer(source):
                     add(f"{m[1]} frequency", f"{m[2]} {m[3]}", source, m[2])
-            for m in PROTOCOL.finditer(source):
+            for m in PROTOCOL.finditer(source) if supports else ():
                 lead = re.sub(r"\s+", "", m[1])
                 family = re.match(r"[A-Za-z\-]+", lead)[0]
                 others = dict.fromkeys(re.sub(r"\s+", "", v) for v in re.findall(rf"\b{re.escape(family)}\s?\d+(?:\.\d+)?", source, re.I))
                 value = ", ".join([lead + (m[2] or ""), *[v for v in others if v.lower() != lead.lower()]])
                 add(f"{family} {m[3]}", value, source, m[1])
-            for m in KEY_VALUE.finditer(line):
+            for m in KEY_VALUE.finditer(line) if ":" in line else ():
                 add(m[1], m[2], source)
         return list(found.values())
 
@@ -117,7 +128,7 @@ def extract(pages: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = Reader(vocabulary)
         for part in parts:
-            out = [(str(p.doc_id), p.entity, a, v, p.page_num, s) for p in part.itertuples() for a, v, s in reader.facts(p.raw_text or "")]
+            out = [(str(p.doc_id), p.entity, a, v, p.page_num, s) for p in part.itertuples(index=False) for a, v, s in reader.facts(p.raw_text or "")]
             yield pd.DataFrame(out, columns=[c.split()[0] for c in FACT.split(", ")])
 
     return pages.select("doc_id", "page_num", "entity", "raw_text").mapInPandas(run, FACT)

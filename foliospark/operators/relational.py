@@ -5,8 +5,10 @@ All take and return DataFrames; every ordering ends in a unique column, so resul
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def keep_latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -139,13 +141,22 @@ def number_ranges(df: DataFrame, keys: list[str], number: str) -> DataFrame:
 def section_ends(sections: DataFrame, keys: list[str], order: str, level: str, page: str, last: Column) -> DataFrame:
     """sections with end_page: the page of the next section of this level or a higher one, else the last page (W-03).
 
-    The rows after a section, as an array in order, are looked through for the first of its level; a document's outline
-    is a short list.
+    A document's outline is read once, from its end, with the sections that are still open above on a stack.
     """
-    after = Window.partitionBy(*keys).orderBy(order).rowsBetween(1, Window.unboundedFollowing)
-    follow = F.collect_list(F.struct(F.col(level).alias("level"), F.col(page).alias("page"))).over(after)
-    nxt = F.try_element_at(F.filter("_after", lambda x: x["level"] <= F.col(level)), F.lit(1))["page"]
-    return sections.withColumn("_after", follow).withColumn("end_page", F.coalesce(nxt, last)).drop("_after")
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(order, ascending=False, kind="stable")
+        stack, ends = [], []  # (level, page), levels falling towards the top
+        for own, at in zip(group[level], group[page], strict=True):
+            while stack and stack[-1][0] > own:
+                stack.pop()
+            ends.append(stack[-1][1] if stack else None)
+            stack.append((own, at))
+        return group.assign(_next=pd.array(ends, "Int64"))
+
+    kind = sections.schema[page].dataType
+    found = sections.groupBy(*keys).applyInPandas(run, StructType([*sections.schema.fields, StructField("_next", LongType())]))
+    return found.withColumn("end_page", F.coalesce(F.col("_next").cast(kind), last)).drop("_next")
 
 
 def widen(pages: DataFrame, keys: list[str], page: str, radius: int, least: int) -> DataFrame:

@@ -7,13 +7,17 @@ chunks are scanned once where they lie and only (chunk, token) hits move.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import BM25_B, BM25_K1, BM25_LEAST_IDF, DEFAULT
 from ..functions import text as T
+from .relational import range_join
 
 
 def with_vocabulary(texts: DataFrame, terms: DataFrame, name: str = "_terms") -> DataFrame:
@@ -29,7 +33,10 @@ def term_counts(chunks: DataFrame, key: str, text: str, terms: DataFrame) -> Dat
 
 
 def bm25(chunks: DataFrame, key: str, text: str, terms: DataFrame) -> DataFrame:
-    """(query_id, key, score, matched) for terms (query_id, term): statistics over all chunks, trigram lengths."""
+    """(query_id, key, score, matched) for terms (query_id, term): statistics over all chunks, trigram lengths.
+
+    Scores have six decimals, so that equal ones are equal in whatever order their parts were added.
+    """
     terms = terms.withColumn("term", F.lower("term")).distinct()
     hits = term_counts(chunks, key, text, terms)
     whole = chunks.agg(F.count("*").alias("n_all"), F.avg(F.greatest(F.length(text) - 2, F.lit(0))).alias("mean"))
@@ -38,7 +45,7 @@ def bm25(chunks: DataFrame, key: str, text: str, terms: DataFrame) -> DataFrame:
     weights = df.join(F.broadcast(whole)).select("term", "mean", F.when(idf > 0, idf).otherwise(BM25_LEAST_IDF).alias("idf"))
     asked = terms.join(weights, "term")  # as many rows as the questions have terms
     part = F.col("idf") * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("size") / F.col("mean")))
-    return hits.join(F.broadcast(asked), "term").groupBy("query_id", key).agg(F.sum(part).alias("score"), F.count("*").alias("matched"))
+    return hits.join(F.broadcast(asked), "term").groupBy("query_id", key).agg(F.round(F.sum(part), 6).alias("score"), F.count("*").alias("matched"))
 
 
 def top(hits: DataFrame, keys: list[str], order: list[Column], limit: int | Column) -> DataFrame:
@@ -48,16 +55,24 @@ def top(hits: DataFrame, keys: list[str], order: list[Column], limit: int | Colu
 
 
 def and_or_search(chunks: DataFrame, key: str, text: str, terms: DataFrame, limit: int) -> DataFrame:
-    """Hits with all terms; where a question has fewer than max(3, .3 limit) of them, also hits with any, up to twice the limit (R-01, T-01)."""
+    """Hits with all terms; where a question has fewer than max(3, .3 limit) of them, also hits with any, up to twice the limit (R-01, T-01).
+
+    Chunks are scored once.  Of the hits with all terms and of all hits only the best that either rule can use go on, and
+    both rules are read from ranks among these.
+    """
     scored = bm25(chunks, key, text, terms)
     need = terms.select("query_id", F.lower("term").alias("term")).distinct().groupBy("query_id").agg(F.count("*").alias("terms"))
-    marked = scored.join(F.broadcast(need), "query_id").withColumn("all", (F.col("matched") == F.col("terms")) & (F.col("terms") >= 2))
-    strict = top(marked.where("all"), ["query_id"], [F.col("score").desc(), F.col(key)], limit).drop("rank")
-    few = F.coalesce(F.col("n"), F.lit(0)) < max(int(0.3 * limit), 3)
-    loose = need.join(strict.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left").where(few).select("query_id")
-    extra = top(marked.join(F.broadcast(loose), "query_id", "left_semi"), ["query_id"], [F.col("score").desc(), F.col(key)], 2 * limit).drop("rank")
-    extra = extra.join(strict.select("query_id", key), ["query_id", key], "left_anti")
-    return top(strict.withColumn("stage", F.lit("and")).unionByName(extra.withColumn("stage", F.lit("or"))), ["query_id"], [F.col("score").desc(), F.col(key)], limit)
+    marked = scored.join(F.broadcast(need), "query_id").withColumn("all", (F.col("matched") == F.col("terms")) & (F.col("terms") >= 2))  # a row a question
+    order = [F.col("score").desc(), F.col(key)]
+    by_kind = F.row_number().over(Window.partitionBy("query_id", "all").orderBy(*order))
+    best = marked.withColumn("own", by_kind).where(F.col("own") <= 2 * limit)
+    whole = Window.partitionBy("query_id")
+    ranked = best.withColumn("place", F.row_number().over(whole.orderBy(*order)))
+    strict = F.col("all") & (F.col("own") <= limit)
+    loose = F.sum(strict.cast("int")).over(whole) < max(int(0.3 * limit), 3)
+    kept = ranked.withColumn("loose", loose).where(strict | (F.col("loose") & (F.col("place") <= 2 * limit)))
+    staged = kept.select("query_id", key, "score", "matched", "terms", "all", F.when(strict, "and").otherwise("or").alias("stage"))
+    return top(staged, ["query_id"], order, limit)
 
 
 def like_search(chunks: DataFrame, key: str, text: str, terms: DataFrame, limit: int) -> DataFrame:
@@ -80,19 +95,95 @@ def page_scores(hits: DataFrame, keys: list[str], pages: DataFrame, keywords: Co
     return joined.withColumn("page_score", F.col("total") + 0.2 * F.col("chunks") + each + any_title)
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+#: Question vectors that are compared at once; each block of them is broadcast by itself.
+QUERY_BLOCK = 8192
+
+
+def _unit(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The rows that have a length, as unit vectors of the first row's dimension, and their places."""
+    sizes = np.diff(column.offsets.to_numpy())
+    if not sizes.any():
+        return np.zeros((0, 1)), np.zeros(0, np.int64)
+    at = np.flatnonzero((sizes == sizes[sizes > 0][0]) & column.is_valid().to_numpy(zero_copy_only=False))
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    starts = np.cumsum(sizes) - sizes
+    x = values[starts[at][:, None] + np.arange(sizes[sizes > 0][0])]
+    norm = np.sqrt((x * x).sum(axis=1))
+    whole = np.isfinite(norm) & (norm > 0)
+    return x[whole] / norm[whole, None], at[whole]
+
+
+def _query_blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The stated questions (query_id, embedding) in bounded blocks, read through an iterator."""
+    block: list = []
+    for row in queries.select("query_id", "embedding").where("embedding is not null").toLocalIterator():
+        block.append(row)
+        if len(block) == QUERY_BLOCK:
+            yield _block_of(block)
+            block = []
+    if block:
+        yield _block_of(block)
+
+
+def _block_of(rows: list) -> tuple[np.ndarray, np.ndarray]:
+    x, at = _unit(pa.array([r["embedding"] for r in rows], pa.list_(pa.float64())))
+    return np.array([r["query_id"] for r in rows], np.int64)[at], x
 
 
 def vector_search(vectors: DataFrame, queries: DataFrame, k: int, least: float = -1.0) -> DataFrame:
-    """(query_id, vec_id, score, rank): the k highest cosines; queries (query_id, embedding) are a stated set that travels to the vectors (R-04, F-51)."""
-    unit = lambda c: F.transform(c, lambda x: x.cast("double"))
-    asked = queries.select("query_id", unit("embedding").alias("q")).withColumn("nq", F.sqrt(dot(F.col("q"), F.col("q"))))
-    array = asked.agg(F.collect_list(F.struct("query_id", "q", "nq")).alias("asked"))
-    rows = vectors.select("vec_id", unit("embedding").alias("v")).withColumn("nv", F.sqrt(dot(F.col("v"), F.col("v"))))
-    scored = rows.join(F.broadcast(array)).select("vec_id", "v", "nv", F.explode("asked").alias("a"))
-    scored = scored.select(F.col("a.query_id").alias("query_id"), "vec_id", (dot(F.col("v"), F.col("a.q")) / (F.col("nv") * F.col("a.nq"))).alias("score"))
-    return top(scored.where(F.col("score") >= least), ["query_id"], [F.col("score").desc(), F.col("vec_id")], k)
+    """(query_id, vec_id, score, rank): the k highest cosines, of six decimals, ties to the smaller id (R-04, F-51).
+
+    The questions are a stated set; blocks of them travel to the vectors, and each batch of vectors passes on the rows
+    that are among its own best.  Vectors without a length or of another dimension have no cosine.
+    """
+    found = None
+    for block in _query_blocks(queries):
+        shared = vectors.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches, shared=shared):
+            ids, q = shared.value
+            for batch in batches:
+                x, at = _unit(batch.column(1))
+                if not len(at) or x.shape[1] != q.shape[1]:
+                    continue
+                score = np.round(q @ x.T, 6)
+                bound = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] > k else np.full(len(score), -2.0)
+                row, column = np.nonzero((score >= bound[:, None]) & (score >= least))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[row]), batch.column(0).take(pa.array(at[column])), pa.array(score[row, column])], names=["query_id", "vec_id", "score"])
+
+        one = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(run, "query_id long, vec_id long, score double")
+        found = one if found is None else found.unionByName(one)
+    if found is None:
+        found = vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, score double")
+    return top(found, ["query_id"], [F.col("score").desc(), F.col("vec_id")], k)
+
+
+def vector_groups(vectors: DataFrame, queries: DataFrame, group: str, least: float) -> DataFrame:
+    """(query_id, group, score): each group's highest cosine, of at least `least`; groups are joined before anything is ranked (A-07)."""
+    found = None
+    for block in _query_blocks(queries):
+        shared = vectors.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches, shared=shared):
+            ids, q = shared.value
+            for batch in batches:
+                x, at = _unit(batch.column(1))
+                if not len(at) or x.shape[1] != q.shape[1]:
+                    continue
+                label = batch.column(0).take(pa.array(at)).dictionary_encode()
+                number = label.indices.to_numpy(zero_copy_only=False)
+                order = np.argsort(number, kind="stable")
+                starts = np.flatnonzero(np.diff(number[order], prepend=-1))
+                score = np.maximum.reduceat(np.round(q @ x.T, 6)[:, order], starts, axis=1)
+                row, column = np.nonzero(score >= least)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[row]), label.dictionary.take(pa.array(number[order][starts][column])), pa.array(score[row, column])], names=["query_id", group, "score"])
+
+        kind = vectors.schema[group].dataType.simpleString()
+        one = vectors.where(F.col(group).isNotNull()).select(group, F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(run, f"query_id long, {group} {kind}, score double")
+        found = one if found is None else found.unionByName(one)
+    if found is None:
+        found = vectors.select(F.lit(0).cast("long").alias("query_id"), group, F.lit(0.0).alias("score")).limit(0)
+    return found.groupBy("query_id", group).agg(F.max("score").alias("score"))
 
 
 def group_best(hits: DataFrame, keys: list[str], group: str, k: int) -> DataFrame:
@@ -110,7 +201,7 @@ def section_priority(sections: DataFrame, words: DataFrame) -> DataFrame:
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     asked = words.select("query_id", F.lower("term").alias("term")).distinct()
     joined = hits.join(F.broadcast(asked), "term").join(F.broadcast(df), "term")
-    return joined.groupBy("query_id", "section").agg(F.max("priority").alias("priority"), F.sum(F.col("priority") / (1.0 + F.col("df"))).alias("weighted"))
+    return joined.groupBy("query_id", "section").agg(F.max("priority").alias("priority"), F.round(F.sum(F.col("priority") / (1.0 + F.col("df"))), 6).alias("weighted"))
 
 
 def rare_tokens(pages: DataFrame, key: str, text: str, words: DataFrame, sections: DataFrame | None = None) -> DataFrame:
@@ -131,7 +222,7 @@ def rare_tokens(pages: DataFrame, key: str, text: str, words: DataFrame, section
     hits = with_vocabulary(pages.select(key, F.lower(text).alias("_t")), asked).select(key, F.explode(F.filter("_terms", lambda w: F.contains(F.col("_t"), F.lower(w)))).alias("term"))
     n = hits.groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") <= c.rare_max_hits)
     met = hits.join(F.broadcast(n), "term").join(F.broadcast(asked), "term")
-    best = met.groupBy("query_id", key).agg(F.count("*").alias("tokens"), F.sum(1.0 / F.col("n")).alias("weight"))
+    best = met.groupBy("query_id", key).agg(F.count("*").alias("tokens"), F.round(F.sum(1.0 / F.col("n")), 6).alias("weight"))
     ranked = top(best, ["query_id"], [F.col("tokens").desc(), F.col("weight").desc(), F.col(key)], c.rare_max_pages)
     return ranked.withColumn("score", F.lit(c.rare_score) + F.col("tokens"))
 
@@ -157,8 +248,8 @@ def retrieve_exact(chunks: DataFrame, sections: DataFrame, questions: DataFrame,
     text = and_or_search(chunks, "page", "text", words, limit).select("query_id", "page", "score", F.lit("text").alias("stage"), F.lit(1).alias("ord"))
     chapters = top(section_priority(sections, words), ["query_id"], [F.col("weighted").desc(), F.col("section")], DEFAULT.weighted_chapters)
     base = F.element_at(F.array(F.lit(6.0), F.lit(8.0), F.lit(10.0)), F.col("priority"))
-    pages = sections.select("section", F.explode(F.sequence("start_page", "end_page")).alias("page"))
-    structure = chapters.join(pages, "section").groupBy("query_id", "page").agg(F.max(base).alias("score")).select("query_id", "page", "score", F.lit("structure").alias("stage"), F.lit(2).alias("ord"))
+    ranges = chapters.join(sections.select("section", "start_page", "end_page"), "section")
+    structure = range_join(chunks.select("page"), "page", ranges, "start_page", "end_page", []).groupBy("query_id", "page").agg(F.max(base).alias("score")).select("query_id", "page", "score", F.lit("structure").alias("stage"), F.lit(2).alias("ord"))
     rare = rare_tokens(chunks, "page", "text", words).select("query_id", "page", "score", F.lit("rare").alias("stage"), F.lit(3).alias("ord"))
     parts = text.unionByName(structure).unionByName(rare)
     if vectors is not None:
@@ -168,7 +259,7 @@ def retrieve_exact(chunks: DataFrame, sections: DataFrame, questions: DataFrame,
     extra = F.sum(F.when(F.col("stage") == "structure", 0.3 * F.col("score")).when(F.col("stage") == "rare", F.col("score")).otherwise(0.0))
     joined = parts.groupBy("query_id", "page").agg(first.alias("f"), extra.alias("extra"), F.count("*").alias("n"))
     score = F.col("f.score") + F.when(F.col("n") > 1, F.col("extra")).otherwise(0.0)
-    return top(joined.select("query_id", "page", score.alias("score"), F.col("f.stage").alias("stage")), ["query_id"], [F.col("score").desc(), F.col("page")], limit)
+    return top(joined.select("query_id", "page", F.round(score, 6).alias("score"), F.col("f.stage").alias("stage")), ["query_id"], [F.col("score").desc(), F.col("page")], limit)
 
 
 def chapter_pages(sections: DataFrame, questions: DataFrame, least: int = 1) -> DataFrame:
@@ -283,7 +374,7 @@ def retrieve_macro(chunks: DataFrame, vectors: DataFrame, questions: DataFrame,
     words = questions.select("query_id", F.explode(T.query_keywords(F.lower("query"))).alias("term"))
     text = and_or_search(chunks, "page", "text", words, 2 * limit).select("query_id", "page", "score", F.lit("text").alias("stage"))
     few = questions.select("query_id").join(text.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left").where(F.coalesce(F.col("n"), F.lit(0)) < limit).select("query_id")
-    near = vector_search(vectors, embedded.join(F.broadcast(few), "query_id", "left_semi"), limit, 0.35)
+    near = vector_search(vectors, embedded, limit, 0.35).join(few, "query_id", "left_semi")
     fill = near.select("query_id", F.col("vec_id").alias("page"), (0.8 * F.col("score")).alias("score"), F.lit("vector").alias("stage")).where(F.col("score") >= 0.25)
     fill = fill.join(text.select("query_id", "page"), ["query_id", "page"], "left_anti")
     return top(text.unionByName(fill), ["query_id"], [F.col("score").desc(), F.col("page")], limit)
@@ -293,7 +384,7 @@ def retrieve_feature(chunks: DataFrame, vectors: DataFrame, questions: DataFrame
     """Vectors alone, and the macro way for questions that none is near to (R-08)."""
     near = vector_search(vectors, embedded, limit, 0.3).select("query_id", F.col("vec_id").alias("page"), "score", F.lit("vector").alias("stage"))
     rest = questions.join(near.select("query_id").distinct(), "query_id", "left_anti")
-    other = retrieve_macro(chunks, vectors, rest, embedded.join(rest.select("query_id"), "query_id", "left_semi"), limit).drop("rank")
+    other = retrieve_macro(chunks, vectors, rest, embedded, limit).drop("rank")
     return top(near.unionByName(other), ["query_id"], [F.col("score").desc(), F.col("page")], limit)
 
 

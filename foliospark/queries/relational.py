@@ -264,14 +264,14 @@ def df_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with v as (select vec_id as doc_id, label, embedding[1]::double as sim from embeddings), d as (select doc_id, length(text)::double / 1000 as score from documents where doc_id % 2 = 0)
+with v as (select vec_id as doc_id, label, embedding[1]::double as sim from embeddings), d as (select doc_id, length(text)::double / 1000 as score from documents where contains(text, 'the'))
 select doc_id, round(d.score + coalesce(25.0 * sim, 0), 6) as score, 'page' as stage from d left join v using (doc_id)
 union all select doc_id, round(5.0 + 2.5 * sim, 6), 'vector' from v where doc_id not in (select doc_id from d)
 """)
 def hybrid_confirm_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J-11: text hits raised where vectors confirm them, and vector hits that fill gaps."""
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.element_at("embedding", 1).cast("double").alias("sim"))
-    text = table(spark, sf_dir, "documents").where("doc_id % 2 = 0").select("doc_id", (F.length("text").cast("double") / 1000).alias("score"))
+    text = table(spark, sf_dir, "documents").where(F.contains("text", F.lit("the"))).select("doc_id", (F.length("text").cast("double") / 1000).alias("score"))
     raised = R.confirm(text, vectors, ["doc_id"], "sim", 25.0).select("doc_id", "score", F.lit("page").alias("stage"))
     gap = vectors.select("doc_id", (5.0 + 2.5 * F.col("sim")).alias("score"), F.lit("vector").alias("stage"))
     return R.fill_gap(raised, gap, ["doc_id"]).withColumn("score", F.round("score", 6))

@@ -206,8 +206,7 @@ from r
 """)
 def text_quality_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A-17, K-15: garbled, dictionary and paragraph shares, and the level that decides on recognition."""
-    q = T.text_quality(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", q["garbled"].alias("garbled"), F.round(q["score"], 6).alias("score"), q["level"].alias("level"))
+    return T.text_quality(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "garbled", F.round("score", 6).alias("score"), "level")
 
 
 @query(r"""
