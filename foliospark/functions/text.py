@@ -16,9 +16,13 @@ NUMBER_WORDS = {
 }
 
 
+#: Characters of words in any script.
+WORD = r"\p{L}\p{N}_"
+
+
 def clean_query(text: Column) -> Column:
     """A search string: what is no word character becomes a space, CJK and alphanumeric runs are parted, spaces are single."""
-    words = F.regexp_replace(text, rf"[^\w{CJK}]+", " ")
+    words = F.regexp_replace(text, rf"[^{WORD}{CJK}]+", " ")
     parted = F.regexp_replace(words, rf"([{CJK}])([A-Za-z0-9_])", "$1 $2")
     parted = F.regexp_replace(parted, rf"([A-Za-z0-9_])([{CJK}])", "$1 $2")
     return F.trim(F.regexp_replace(parted, r"\s+", " "))
@@ -26,7 +30,7 @@ def clean_query(text: Column) -> Column:
 
 def retrieval_query(text: Column) -> Column:
     """A question without punctuation and double spaces; every word stays."""
-    return F.trim(F.regexp_replace(F.regexp_replace(text, rf"[^\w\s{CJK}]", " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(text, rf"[^{WORD}\s{CJK}]", " "), r"\s+", " "))
 
 
 def _bigrams(word: Column, step: int) -> Column:
@@ -73,6 +77,27 @@ def model_tokens(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?<![A-Za-z0-9])[A-Z]+\d{2,}[A-Z]*(?![A-Za-z0-9])"), 0))
 
 
+#: Words of questions that name no document.
+NO_ENTITIES = (
+    "公司", "集团", "股份", "有限", "责任", "公司名称", "股票代码",
+    "报告", "年度", "季度", "年报", "季报", "年度报告", "季度报告",
+    "营业", "收入", "利润", "资产", "负债", "权益", "现金流",
+    "营业收入", "净利润", "总资产", "净资产", "每股收益",
+    "财务", "指标", "数据", "金额", "数值", "总额", "合计",
+    "多少", "什么", "如何", "是否", "哪些", "怎样", "为何", "原因",
+    "是多少", "是什么", "怎么样", "有哪些", "为什么", "什么原因",
+    "情况", "介绍", "信息", "内容", "问题", "答案", "主要", "业务",
+)
+
+
+def entities(text: Column) -> Column:
+    """What a question may name: Latin words in capitals without hyphens, of three characters or with a digit, and CJK runs that aren't common words (J-15)."""
+    latin = F.transform(F.regexp_extract_all(text, F.lit(r"(?<![A-Za-z0-9])[A-Za-z]+-?[A-Za-z0-9]+(?![A-Za-z0-9])"), 0), lambda w: F.upper(F.replace(w, F.lit("-"), F.lit(""))))
+    named = F.filter(latin, lambda w: (F.length(w) >= 3) | w.rlike("[0-9]"))
+    groups = F.filter(F.regexp_extract_all(text, F.lit("[\u4e00-\u9fff]{2,12}"), 0), lambda w: ~w.isin(*NO_ENTITIES))
+    return F.array_distinct(F.concat(named, groups))
+
+
 def years(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(20\d\d)"), 1))
 

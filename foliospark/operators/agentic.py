@@ -13,8 +13,8 @@ from .retrieval import top
 GOOD_SCORE, GOOD_HITS, VECTOR_SCALE = 5.0, 2, 10.0
 #: Pages after a candidate that are read too, and how many a question reads.
 READ_AHEAD, READ_MOST = 3, 10
-#: Candidates in a step's filter, rows that each document of a question gets at least.
-FILTER_MOST, LEAST_A_DOCUMENT = 30, 8
+#: Fixed value: rows that each document of a question gets at least.
+LEAST_A_DOCUMENT = 8
 #: Words that ask for power, rails that answer, page kinds with their base score.
 POWER_WORDS = ("电源", "供电", "电压", "电流", "power", "voltage", "current", "pmic", "dcdc", "buck", "ldo")
 RAILS = ("vcc_core", "vcc_io", "vdd_soc")
@@ -44,12 +44,6 @@ def fair_split(hits: DataFrame, quota: int, least: int = LEAST_A_DOCUMENT) -> Da
     return top(hits.join(number, "query_id"), ["query_id", "doc_id"], [F.col("score").desc(), F.col("page")], share).drop("_docs", "rank")
 
 
-def step_filter(chosen: Column, candidates: Column, most: int = FILTER_MOST) -> Column:
-    """A step's documents: those chosen, then candidates that aren't among them, `most` in all (U-05)."""
-    empty = F.array().cast("array<string>")
-    return F.slice(F.array_distinct(F.concat(F.coalesce(chosen, empty), F.coalesce(candidates, empty))), 1, most)
-
-
 def first_answers(ranked: DataFrame, text: Column, questions: DataFrame) -> DataFrame:
     """(query_id, token, doc_id): for each identifier of a question the first of its ranked documents (query_id, doc_id, rank, text) that names it (R-30)."""
     asked = questions.select("query_id", F.explode(T.model_tokens(F.col("query"))).alias("token"))

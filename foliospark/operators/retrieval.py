@@ -357,6 +357,7 @@ def merge_contexts(hits: DataFrame, most: int = DEFAULT.merge_max) -> DataFrame:
                 if len(piece) > room:
                     if room > 100:
                         out.append(piece[:room] + "...")
+                        used += room + 3
                         pages += 1
                     break
                 out.append(piece)

@@ -15,27 +15,45 @@ NET = r"\b([A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+)\b"
 LABEL = r"(?:^|\s)(VCC|VDD|VSS|GND|AVDD|DVDD|RVDD|MVDD|3V3|1V8|5V)(?:_|\s|$)"
 
 
+#: File names and titles of circuit diagrams, references that count, and how many of them with a label do.
+NAMED, TITLED, DENSE_PART, DENSE = r"_sch\.|_schematic\.|\.sch\.|schematic\.", "schematic|circuit|sch", r"\b[RCUQLDBVFM]\d{3,}\b", 10
+
+
 def subtype(filename: Column, title: Column, text: Column) -> Column:
     """schematic by name, title or content (ten parts and a net label at least), else null (X-08)."""
-    named = F.lower(filename).rlike(r"_sch\.|_schematic\.|\.sch\.|schematic\.") | F.lower(F.coalesce(title, F.lit(""))).rlike("schematic|circuit|sch")
-    dense = (F.regexp_count(text, F.lit(r"\b[RCUQLDBVFM]\d{3,}\b")) >= 10) & (F.regexp_count(text, F.lit(LABEL)) >= 1)
-    return F.when(named | dense, "schematic")
+    content = (F.regexp_count(text, F.lit(DENSE_PART)) >= DENSE) & text.rlike(LABEL)
+    return F.when(F.lower(filename).rlike(NAMED) | F.coalesce(F.lower(title).rlike(TITLED), F.lit(False)) | content, "schematic")
+
+
+#: What makes a page of a kind, the first that fits: (kind, of the title or text, patterns that all must be there).
+KINDS = (
+    ("power_layout", "title", ("power", "gnd")),
+    ("power_tree", "text", ("power tree|power on sequence",)),
+    ("power_desc", "text", ("power description|work voltage",)),
+    ("power_layout", "text", ("caps should be placed|placed under",)),
+    ("pinmux", "text", ("pin", "mux|function|gpio|pwm|uart|i2c", "(?s)(?-i:(PWM.*){4}|(UART.*){4}|(GPIO.*){6})")),
+    ("dcdc", "text", ("dcdc",)),
+    ("dcdc", "text", ("buck", "w≥")),
+)
+#: Kinds of parts by the first letter of their reference.
+PARTS = {"C": "capacitor", "R": "resistor", "U": "chip", "Q": "transistor", "L": "inductor", "D": "diode", "J": "connector", "X": "crystal"}
 
 
 def page_kind(text: Column, title: Column) -> Column:
-    """power_layout, power_tree, power_desc, pinmux, dcdc or unknown (X-05)."""
-    low, head = F.lower(text), F.lower(F.coalesce(title, F.lit("")))
-    count = lambda w: F.regexp_count(text, F.lit(w))
-    pins = low.contains("pin") & low.rlike("mux|function|gpio|pwm|uart|i2c") & ((count("PWM") > 3) | (count("UART") > 3) | (count("GPIO") > 5))
-    return (
-        F.when(head.contains("power") & head.contains("gnd"), "power_layout").when(low.rlike("power tree|power on sequence"), "power_tree").when(low.rlike("power description|work voltage"), "power_desc")
-        .when(low.rlike("caps should be placed|placed under"), "power_layout").when(pins, "pinmux").when(low.contains("dcdc") | (low.contains("buck") & low.contains("w≥")), "dcdc").otherwise("unknown")
-    )
+    """The kind of the first rule of KINDS that fits, or unknown (X-05)."""
+    columns = {"text": text, "title": F.coalesce(title, F.lit(""))}
+    kind = F.lit("unknown")
+    for name, column, patterns in reversed(KINDS):
+        fits = F.lit(True)
+        for pattern in patterns:
+            fits = fits & columns[column].rlike(f"(?i){pattern}")
+        kind = F.when(fits, name).otherwise(kind)
+    return kind
 
 
 def components(text: Column) -> Column:
     """array(struct(ref, kind)): each part once, in order (X-05)."""
-    kinds = F.create_map(*[F.lit(x) for pair in (("C", "capacitor"), ("R", "resistor"), ("U", "chip"), ("Q", "transistor"), ("L", "inductor"), ("D", "diode"), ("J", "connector"), ("X", "crystal")) for x in pair])
+    kinds = F.create_map(*[F.lit(x) for pair in PARTS.items() for x in pair])
     refs = F.array_distinct(F.regexp_extract_all(text, F.lit(PART), 1))
     return F.transform(refs, lambda r: F.struct(r.alias("ref"), F.coalesce(F.try_element_at(kinds, F.substring(r, 1, 1)), F.lit("other")).alias("kind")))
 

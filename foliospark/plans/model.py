@@ -14,6 +14,7 @@ from typing import Protocol
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: The longest prompt and the longest text to embed, in characters.
 PROMPT_CHARS, EMBED_CHARS = 45875, 6881
@@ -118,6 +119,35 @@ def derive_title(filename: str, summary: str, explicit: str | None, client: Mode
     return re.sub(r"\.[A-Za-z]{2,4}$", "", name).replace("_", " ").replace("-", " ").strip() or filename
 
 
+def describe(documents: DataFrame, factory: Callable[[], ModelClient] = Stub) -> DataFrame:
+    """(doc_id, title, level1, level2, level3) of documents (doc_id, filename, summary, explicit): M-07 and M-08 by partition."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        client = factory()
+        for part in parts:
+            rows = [(i, derive_title(f, s or "", e, client), *classify(s or "", f, client)) for i, f, s, e in zip(part["doc_id"], part["filename"], part["summary"], part["explicit"], strict=True)]
+            yield pd.DataFrame(rows, columns=["doc_id", "title", "level1", "level2", "level3"])
+
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    return documents.select("doc_id", "filename", "summary", "explicit").mapInPandas(run, f"doc_id {kind}, title string, level1 string, level2 string, level3 string")
+
+
+def keyword_prompts(questions: DataFrame) -> DataFrame:
+    """(id, prompt): what a model is asked for the search words of a question (M-12)."""
+    ask = F.lit("Give search keywords for this question as a JSON list, with synonyms and full names of short forms: ")
+    return questions.select(F.col("query_id").alias("id"), F.concat(ask, "query").alias("prompt"))
+
+
+def expanded_keywords(questions: DataFrame, answers: DataFrame, most: int = 8) -> DataFrame:
+    """(query_id, keywords): a question's own words, then those of a model's answer (id, answer), once each, `most` of them at most (M-12)."""
+    from ..functions.text import distinct_fold, query_keywords
+
+    told = F.from_json(F.regexp_extract("answer", r"(?s)(\[.*?\])", 1), "array<string>")
+    joined = questions.join(answers.select(F.col("id").alias("query_id"), told.alias("_told")), "query_id", "left")
+    both = F.concat(query_keywords(F.col("query")), F.coalesce("_told", F.array().cast("array<string>")))
+    return joined.select("query_id", F.slice(distinct_fold(F.filter(both, lambda w: F.trim(w) != "")), 1, most).alias("keywords"))
+
+
 def summarize(texts: list[str], client: ModelClient) -> str:
     """A summary by the model, else the heads of the first ten parts (M-09)."""
     answer = guarded(client, "Summarize:\n" + "\n".join(t[:300] for t in texts[:10]))

@@ -8,10 +8,11 @@ is a set of callables (hooks).
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -128,6 +129,29 @@ class Registry:
         return spark.createDataFrame(rows, RULE_SCHEMA)
 
 
+    def process(self, pages: DataFrame) -> DataFrame:
+        """(doc_id, page_num, subtype, data, searchable, entities): what each page's pack (pages: doc_id, page_num, pack, filename, text) makes of it (PL-01).
+
+        A pack without hooks leaves nulls; data and entities are JSON.
+        """
+        known = self.packs
+
+        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for part in parts:
+                out = []
+                for doc, page, pack, filename, text in zip(part["doc_id"], part["page_num"], part["pack"], part["filename"], part["text"], strict=True):
+                    hooks = known[pack].hooks if pack in known else Hooks()
+                    kind = hooks.detect_subtype(filename or "", text or "") if hooks.detect_subtype else None
+                    own, data, searchable = hooks.process_page(text or "") if hooks.process_page else (None, None, None)
+                    entities = hooks.extract_entities(text or "") if hooks.extract_entities else None
+                    out.append((doc, page, own or kind, None if data is None else json.dumps(data, sort_keys=True), searchable, None if entities is None else json.dumps(entities, sort_keys=True)))
+                yield pd.DataFrame(out, columns=["doc_id", "page_num", "subtype", "data", "searchable", "entities"])
+
+        kind = pages.schema["doc_id"].dataType.simpleString()
+        rows = pages.select("doc_id", F.col("page_num").cast("int").alias("page_num"), "pack", "filename", "text")
+        return rows.mapInPandas(run, f"doc_id {kind}, page_num int, subtype string, data string, searchable string, entities string")
+
+
 #: A generic pack and a sample one with neutral vocabulary.
 GENERIC = Pack("generic", "Any field", "1", (), {"rules": {"units": ["mm", "kg", "%", "V", "A", "Hz"], "low_value": ["contents", "copyright", "revision history"], "detect": []}})
 SAMPLE = Pack("sample_parts", "Parts catalogue", "1", ("ECONOMY", "STANDARD"), {

@@ -48,6 +48,19 @@ def coverage(questions: DataFrame, documents: DataFrame, key: str, title: str) -
     return named.join(F.broadcast(hits), "entity", "left").select("query_id", "entity", key)
 
 
+def completed(questions: DataFrame, candidates: DataFrame, documents: DataFrame) -> DataFrame:
+    """(query_id, doc_id, added): the candidates (query_id, doc_id), and for each entity of a question that none of them names the first document that does (J-15).
+
+    documents: doc_id, title, filename.  The questions' entities are few and travel to the documents.
+    """
+    named = questions.select("query_id", F.explode(T.entities(F.col("query"))).alias("entity"))
+    shown = documents.select("doc_id", F.upper(F.concat_ws(" ", "title", "filename")).alias("_t"))
+    hits = shown.join(F.broadcast(named.select("entity").distinct()), F.contains("_t", F.upper("entity"))).select("entity", "doc_id")
+    met = named.join(hits, "entity").join(candidates.select("query_id", "doc_id", F.lit(True).alias("_in")).distinct(), ["query_id", "doc_id"], "left")
+    first = met.groupBy("query_id", "entity").agg(F.max("_in").alias("_covered"), F.min("doc_id").alias("doc_id")).where("_covered is null")
+    return candidates.select("query_id", "doc_id").distinct().withColumn("added", F.lit(False)).unionByName(first.select("query_id", "doc_id").distinct().withColumn("added", F.lit(True)))
+
+
 def merged_filters(own: Column, found: Column, most: int = 30) -> Column:
     """A step's documents and those found besides, 30 at most (U-05)."""
     return F.slice(F.array_distinct(F.concat(F.coalesce(own, F.array()), F.coalesce(found, F.array()))), 1, most)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import agentic as A
 from ..operators import relational as J
+from ..plans.planner import completed, merged_filters
 from ..registry import query, table
 
 
@@ -59,7 +60,7 @@ select o_custkey, array_to_string(list_filter(l, lambda x, i: list_position(l, x
 def step_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """U-05: candidates joined to a step's documents, up to a cap."""
     found = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_set((F.col("o_orderkey") % 50).cast("string"))).alias("candidates"))
-    return found.select("o_custkey", F.array_join(A.step_filter(F.array(F.col("o_custkey").cast("string")), F.col("candidates"), 5), ",").alias("docs"))
+    return found.select("o_custkey", F.array_join(merged_filters(F.array(F.col("o_custkey").cast("string")), F.col("candidates"), 5), ",").alias("docs"))
 
 
 @query("""
@@ -78,6 +79,21 @@ def first_document_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.first_answers(ranked, F.col("text"), asked)
 
 
+@query("""
+with d as (select p_partkey, upper(p_name || ' AB' || (100 + p_size) || case when p_partkey = 7 or p_partkey = 9 then ' 上海公司_2023.pdf' else ' x.pdf' end) as t from part), e(query_id, entity) as (values (1, 'COMPARE'), (1, 'AB123'), (1, '上海公司'), (2, 'WHAT'), (2, 'AB145')), c as (select (p_partkey % 3)::int as query_id, p_partkey from part where p_partkey between 5 and 12),
+m as (select query_id, entity, p_partkey, exists (select 1 from c where c.query_id = e.query_id and c.p_partkey = d.p_partkey) as own from e, d where contains(t, entity)), f as (select query_id, min(p_partkey) as k from m group by query_id, entity having not bool_or(own))
+select query_id, p_partkey as doc_id, false as added from c union all select distinct query_id, k, true from f
+""")
+def entity_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J-15: documents added for what a question names, in Latin or CJK, and no candidate does."""
+    part = table(spark, sf_dir, "part")
+    name = F.when(F.col("p_partkey").isin(7, 9), "上海公司_2023.pdf").otherwise("x.pdf")
+    documents = part.select(F.col("p_partkey").alias("doc_id"), F.concat("p_name", F.lit(" AB"), (100 + F.col("p_size")).cast("string")).alias("title"), name.alias("filename"))
+    asked = spark.createDataFrame([(1, "compare AB-123 与 上海公司 营业收入"), (2, "what is ab145?"), (3, "公司 多少")], "query_id int, query string")
+    candidates = part.where("p_partkey between 5 and 12").select((F.col("p_partkey") % 3).cast("int").alias("query_id"), F.col("p_partkey").alias("doc_id"))
+    return completed(asked, candidates, documents)
+
+
 @query(r"""
 with d as (select doc_id, text, case when lang = 'en' then substr(text, 11, 60) when lang = 'fr' then 'other words' else '' end as chunk from documents), b as (select *, translate(text, E' \t\n\x0b\x0c\r', '') as bt, translate(chunk, E' \t\n\x0b\x0c\r', '') as bc from d)
 select doc_id, md5(case when bt = '' then chunk when contains(bt, bc) then text else chunk || E'\n\n' || text end) as shown from b

@@ -126,7 +126,10 @@ def watermark_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.watermarks(marks(spark, sf_dir).withColumns({"gray": F.lit(0.5), "angle": F.lit(45.0), "y": F.lit(0.0)}))
 
 
-@query()
+@query("""
+select p_partkey as doc, 1 as page, (63 + length(p_size::varchar) + length(p_name))::int as size, 45.0::double as angle, p_size::double as x, 40.0::double as y, 'F1' as font, 0.5::double as gray, 1 as segments, 1 as distinct, p_name as text from part
+union all select p_partkey, 1, 39, 0.0, 10.0, 20.0, '', 0.0, 1, 1, 'ab' from part
+""")
 def content_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F-58: text blocks of content streams, made from catalogue rows."""
     stream = F.concat(F.lit("q BT /F1 12 Tf 0.7071 0.7071 -0.7071 0.7071 "), F.col("p_size").cast("string"), F.lit(" 40 Tm 0.5 g ("), "p_name", F.lit(") Tj ET Q BT 1 0 0 1 10 20 Tm [(a) -20 (b)] TJ ET"))

@@ -203,16 +203,58 @@ def boost_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.boost(hits, "query", "p_type", rules).select("p_partkey", "score")
 
 
-@query()
+def _page_bm25(words: str) -> str:
+    """SQL for bm25 of whole documents as b(query_id, page, score, matched); words: the values of q(query_id, term)."""
+    return f"""
+q(query_id, term) as (values {words}), c as (select doc_id as page, lower(text) as t, greatest(length(text) - 2, 0) as size from documents),
+h as (select page, size, term, (length(t) - length(replace(t, term, ''))) // length(term) as tf from c, (select distinct term from q where length(term) >= 3) where contains(t, term)),
+s as (select count(*) as n_all, avg(size) as mean from c), d as (select term, count(*) as n from h group by term),
+w as (select term, mean, case when ln((n_all - n + 0.5) / (n + 0.5)) > 0 then ln((n_all - n + 0.5) / (n + 0.5)) else 1e-6 end as idf from d, s),
+b as (select query_id, page, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean)))::double, 6) as score, count(*) as matched from h join w using (term) join q using (term) group by all)"""
+
+
+def _and_or(limit: int) -> str:
+    """SQL for the hits of and_or_search among b, as x(query_id, page, score)."""
+    return f"""
+n as (select query_id, count(*) as terms from q group by query_id), m as (select b.*, matched = terms and terms >= 2 as whole from b join n using (query_id)),
+a as (select * from (select *, row_number() over (partition by query_id order by score desc, page) as k from m where whole) where k <= {limit}),
+f as (select query_id from n where coalesce((select count(*) from a where a.query_id = n.query_id), 0) < {max(int(0.3 * limit), 3)}),
+o as (select * from (select *, row_number() over (partition by query_id order by score desc, page) as k from m where query_id in (select query_id from f)) where k <= {2 * limit}),
+u as (select query_id, page, score from a union all select query_id, page, score from o where (query_id, page) not in (select (query_id, page) from a)),
+x as (select query_id, page, score from (select *, row_number() over (partition by query_id order by score desc, page) as k from u) where k <= {limit})"""
+
+
+EXACT = ((1, "GNU General Public License src3"), (2, "worthless pathetic"), (3, "XY99 loweiig"))
+_EXACT = ", ".join(f"({i}, '{w}')" for i, text in EXACT for w in text.lower().split())
+
+
+@query(f"""
+with {_page_bm25(_EXACT)}, {_and_or(20)},
+sec as (select source as section, lower(source) as title, min(doc_id) as a, least(max(doc_id), min(doc_id) + 3) as z from documents group by source),
+sh as (select query_id, term, section from sec, q where contains(title, term)), sd as (select term, count(distinct section) as df from sh group by term),
+sp as (select query_id, section, round(sum(3 / (1.0 + df))::double, 6) as weighted from sh join sd using (term) group by all), sk as (select *, row_number() over (partition by query_id order by weighted desc, section) as k from sp),
+st as (select query_id, doc_id as page, 10.0::double as score from sk join sec using (section) join documents on doc_id between a and z where k <= 5 group by all),
+ra as (select *, regexp_matches(term, '[a-z]') and regexp_matches(term, '[0-9]') as ident from q), rk as (select *, row_number() over (partition by query_id order by ident desc, length(term) desc, term) as k from ra where ident or length(term) >= 5),
+rt as (select query_id, term from rk where k <= 5), rh as (select distinct term, page from c, (select distinct term from rt) where contains(t, term)), rn as (select term, count(*) as n from rh group by term having count(*) <= 16),
+rp as (select query_id, page, count(*) as tokens, round(sum(1.0::double / n), 6) as weight from rh join rn using (term) join rt using (term) group by all),
+rr as (select query_id, page, (45.0 + tokens)::double as score from (select *, row_number() over (partition by query_id order by tokens desc, weight desc, page) as k from rp) where k <= 12),
+vs as (select e.vec_id as query_id, v.vec_id as page, {_COS} as score from (select vec_id, embedding from embeddings where vec_id in (1, 2, 3)) e join embeddings v on true join (select vec_id, embedding from embeddings) q on q.vec_id = e.vec_id),
+vn as (select query_id, page, 5.0 + 2.5 * score as score from (select *, row_number() over (partition by query_id order by score desc, page) as k from vs where score >= 0.45) where k <= 80),
+p as (select query_id, page, score, 'text' as stage, 1 as ord from x union all select query_id, page, score, 'structure', 2 from st union all select query_id, page, score, 'rare', 3 from rr union all select query_id, page, score, 'vector', 4 from vn),
+j as (select query_id, page, min_by(score, ord) as first, min_by(stage, ord) as stage, sum(case stage when 'structure' then 0.3::double * score when 'rare' then score else 0 end) as extra, count(*) as n from p group by query_id, page),
+z as (select query_id, page, round(first + case when n > 1 then extra else 0 end, 6) as score, stage from j), y as (select *, row_number() over (partition by query_id order by score desc, page) as r from z)
+select query_id::bigint as query_id, page, score, stage, r::int as rank from y where r <= 20
+""")
 def retrieve_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """R-06, R-09, R-10, R-16, R-18, R-19, R-20: all evidence of a question's pages, ranked."""
+    """R-06, R-09, R-18: all evidence of a question's pages, ranked."""
     docs = table(spark, sf_dir, "documents")
     pages = docs.select(F.col("doc_id").alias("page"), "text")
     sections = docs.groupBy("source").agg(F.min("doc_id").alias("start_page"), F.max("doc_id").alias("end_page")).select(F.col("source").alias("section"), F.col("source").alias("title"), F.lit("").alias("keywords"), F.lit("").alias("summary"), "start_page", F.least("end_page", F.col("start_page") + 3).alias("end_page"))
-    asked = spark.createDataFrame([(1, "GNU General Public License src3"), (2, "worthless pathetic"), (3, "XY99 loweiig")], "query_id int, query string")
+    asked = spark.createDataFrame(list(EXACT), "query_id long, query string")
     vectors = table(spark, sf_dir, "embeddings")
-    embedded = vectors.where("vec_id in (1, 2, 3)").select(F.col("vec_id").cast("int").alias("query_id"), "embedding")
-    return R.retrieve_exact(pages, sections, asked, vectors, embedded).select("query_id", "page", F.round("score", 6).alias("score"), "stage", "rank")
+    # a question's embedding is the vector of its number
+    embedded = vectors.join(F.broadcast(asked.select("query_id")), F.col("vec_id") == F.col("query_id")).select("query_id", "embedding")
+    return R.retrieve_exact(pages, sections, asked, vectors, embedded).select("query_id", "page", "score", "stage", "rank")
 
 
 @query(f"""
@@ -227,21 +269,26 @@ def chapter_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with q(query_id, query, entities, periods) as (values (1, 'compare revenue', ['A', 'B'], ['2023', '2024']), (2, 'power', ['C'], []::varchar[]), (3, 'list all', []::varchar[], []::varchar[])),
-x as (select query_id, query, unnest(case when len(entities) > 0 then entities else [''] end) as e, case when len(periods) > 0 then periods else [''] end as periods from q), y as (select query_id, trim(concat_ws(' ', nullif(e, ''), nullif(unnest(periods), ''), query)) as sub_query from x)
-select query_id, sub_query, row_number() over (partition by query_id order by sub_query)::int as part from y
+with x as (select p_partkey, p_type as query, unnest(case when p_size % 5 = 0 then [''] else string_split(p_name, ' ') end) as e, case when p_size % 2 = 0 then ['2023', '2024'] else [''] end as periods from part), y as (select p_partkey, trim(concat_ws(' ', nullif(e, ''), nullif(unnest(periods), ''), query)) as sub_query from x)
+select p_partkey as query_id, sub_query, row_number() over (partition by p_partkey order by sub_query)::int as part from y
 """)
 def decompose_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R-07, R-26, R-28: a question for each entity and period."""
-    rows = [(1, "compare revenue", ["A", "B"], ["2023", "2024"]), (2, "power", ["C"], []), (3, "list all", [], [])]
-    return R.decompose(spark.createDataFrame(rows, "query_id int, query string, entities array<string>, periods array<string>")).select("query_id", "sub_query", "part")
+    none = F.array().cast("array<string>")
+    rows = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("query_id"), F.col("p_type").alias("query"), F.when(F.col("p_size") % 5 == 0, none).otherwise(F.split("p_name", " ")).alias("entities"),
+        F.when(F.col("p_size") % 2 == 0, F.array(F.lit("2023"), F.lit("2024"))).otherwise(none).alias("periods"),
+    )
+    return R.decompose(rows).select("query_id", "sub_query", "part")
 
 
-@query("select * from (values (1, 'what of RK3588'), (2, 'power of AB1234 in mA'), (3, 'plain')) q(query_id, used)")
+@query("select p_partkey as query_id, case when p_size % 3 = 2 then 'power of rk' || (1000 + p_partkey) else 'what of RK' || (1000 + p_partkey) end as used from part")
 def guard_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R-29: a rewrite that loses an identifier is not used."""
-    rows = [(1, "what of RK3588", "what of the chip"), (2, "AB1234 power", "power of AB1234 in mA"), (3, "plain", None)]
-    return R.guard_rewrite(spark.createDataFrame(rows, "query_id int, query string, rewritten string")).select("query_id", "used")
+    number = (1000 + F.col("p_partkey")).cast("string")
+    rewritten = F.when(F.col("p_size") % 3 == 0, "what of the chip").when(F.col("p_size") % 3 == 2, F.concat(F.lit("power of rk"), number))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("query_id"), F.concat(F.lit("what of RK"), number).alias("query"), rewritten.alias("rewritten"))
+    return R.guard_rewrite(rows).select("query_id", "used")
 
 
 @query()

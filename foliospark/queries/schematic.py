@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..operators import retrieval as R
 from ..operators import schematic as S
 from ..registry import query, table
+from .retrieval import _COS, _and_or, _page_bm25
 
 _PAGE = "select p_partkey, p_name as title, 'C' || p_partkey || ' 10uF R' || p_size || ' C' || p_partkey || ' VDD_' || upper(string_split(p_name, ' ')[1]) || ' ' || (p_size % 5) || '.' || (p_partkey % 9) || 'V VDD_' || upper(string_split(p_name, ' ')[1]) || ' 9V GND ' || case when p_size % 3 = 0 then 'power tree ' else '' end || 'I2C_SDA U' || (p_partkey % 7) as text from part"
 
@@ -51,17 +52,32 @@ def schematic_subtype(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("p_partkey", S.subtype(name, F.lit(""), F.col("near")).alias("subtype"))
 
 
-@query("select item_id, trim(regexp_replace(regexp_replace(text || ' -- (x)?', '[^\\w\\s\\x{4e00}-\\x{9fff}\\x{00c0}-\\x{024f}]', ' ', 'g'), '\\s+', ' ', 'g')) <> '' as some from benchmark")
+@query(r"""
+select item_id, md5(trim(regexp_replace(regexp_replace(text || ' -- (x)?', '[^\p{L}\p{N}_\s\x{4e00}-\x{9fff}]', ' ', 'g'), '\s+', ' ', 'g'))) as cleaned from benchmark
+""")
 def retrieval_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F-11: questions without punctuation."""
-    return table(spark, sf_dir, "benchmark").select("item_id", (T.retrieval_query(F.concat("text", F.lit(" -- (x)?"))) != "").alias("some"))
+    return table(spark, sf_dir, "benchmark").select("item_id", F.md5(T.retrieval_query(F.concat("text", F.lit(" -- (x)?"))).cast("binary")).alias("cleaned"))
+
 
+FEATURE = ((1, "GNU General Public License"), (2, "worthless pathetic"), (900000, "GNU License"))
+_FEATURE = ", ".join(f"({i}, '{w}')" for i, text in FEATURE for w in text.lower().split())
 
-@query()
+
+@query(f"""
+with {_page_bm25(_FEATURE)}, {_and_or(40)}, vs as (select q.vec_id as query_id, v.vec_id as page, {_COS} as score from embeddings q, embeddings v where q.vec_id in (1, 2, 900000)),
+vn as (select query_id, page, score from (select *, row_number() over (partition by query_id order by score desc, page) as k from vs where score >= 0.3) where k <= 20), vr as (select query_id from n where query_id not in (select query_id from vn)),
+vm as (select query_id, page, score from (select *, row_number() over (partition by query_id order by score desc, page) as k from vs where score >= 0.35) where k <= 20),
+tx as (select * from x where query_id in (select query_id from vr)), tf as (select query_id from vr where coalesce((select count(*) from tx where tx.query_id = vr.query_id), 0) < 20),
+fl as (select query_id, page, 0.8 * score as score from vm where 0.8 * score >= 0.25 and query_id in (select query_id from tf) and (query_id, page) not in (select (query_id, page) from tx)),
+ma as (select query_id, page, score, stage from (select *, row_number() over (partition by query_id order by score desc, page) as k from (select *, 'text' as stage from tx union all select *, 'vector' from fl)) where k <= 20),
+y as (select *, row_number() over (partition by query_id order by score desc, page) as r from (select query_id, page, score, 'vector' as stage from vn union all select * from ma))
+select query_id::bigint as query_id, page, round(score, 6) as score, stage, r::int as rank from y where r <= 20
+""")
 def retrieve_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R-08, R-09, R-11: vectors first, text where none is near."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page"), "text")
-    asked = spark.createDataFrame([(1, "GNU General Public License"), (2, "worthless pathetic")], "query_id int, query string")
+    asked = spark.createDataFrame(list(FEATURE), "query_id long, query string")
     vectors = table(spark, sf_dir, "embeddings")
-    embedded = vectors.where("vec_id in (1, 2)").select(F.col("vec_id").cast("int").alias("query_id"), "embedding")
+    embedded = vectors.join(F.broadcast(asked.select("query_id")), F.col("vec_id") == F.col("query_id")).select("query_id", "embedding")
     return R.retrieve_feature(docs, vectors, asked, embedded).select("query_id", "page", F.round("score", 6).alias("score"), "stage", "rank")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -15,47 +15,50 @@ QUESTIONS = (
 )
 VALUES = ", ".join("({}, '{}')".format(i, q.replace("'", "''")) for i, q in QUESTIONS)
 CJK = r"\x{4e00}-\x{9fff}"
+_FROM = f"(select * from (values {VALUES}) v(query_id, query) union all select 100 + item_id, text from benchmark) q"
 
 
-def questions(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(QUESTIONS), "query_id int, query string")
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The questions above and all test items."""
+    items = table(spark, sf_dir, "benchmark").select((100 + F.col("item_id")).alias("query_id"), F.col("text").alias("query"))
+    return spark.createDataFrame(list(QUESTIONS), "query_id long, query string").unionByName(items)
 
 
-_CLEAN = rf"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(query, '[^\w{CJK}]+', ' ', 'g'), '([{CJK}])([A-Za-z0-9_])', '\1 \2', 'g'), '([A-Za-z0-9_])([{CJK}])', '\1 \2', 'g'), '\s+', ' ', 'g'))"
+_CLEAN = rf"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(query, '[^\p{{L}}\p{{N}}_{CJK}]+', ' ', 'g'), '([{CJK}])([A-Za-z0-9_])', '\1 \2', 'g'), '([A-Za-z0-9_])([{CJK}])', '\1 \2', 'g'), '\s+', ' ', 'g'))"
 
 
-@query(rf"select query_id, {_CLEAN} as cleaned from (values {VALUES}) q(query_id, query)")
+@query(rf"select query_id, {_CLEAN} as cleaned from {_FROM}")
 def text_clean_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F-01: search strings of questions."""
-    return questions(spark).select("query_id", T.clean_query(F.col("query")).alias("cleaned"))
+    return questions(spark, sf_dir).select("query_id", T.clean_query(F.col("query")).alias("cleaned"))
 
 
 @query(rf"""
-with c as (select query_id, unnest(list_filter(string_split({_CLEAN}, ' '), lambda w: w <> '')) as w from (values {VALUES}) q(query_id, query)),
+with c as (select query_id, unnest(list_filter(string_split({_CLEAN}, ' '), lambda w: w <> '')) as w from {_FROM}),
 t as (select query_id, case when regexp_full_match(w, '[{CJK}]+') and length(w) >= 3 then list_transform(range(1, length(w)), lambda i: substr(w, i::int, 2)) else [w] end as p from c),
 u as (select query_id, unnest(p) as token from t)
 select query_id, token, count(*) as n, length(token) >= 3 and not regexp_full_match(token, '\d+') as is_trigram, length(token) = 2 as is_bigram from u group by all
 """)
 def text_chunk_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F-02, F-04: chunk tokens and their classes."""
-    tokens = questions(spark).select("query_id", F.explode(T.chunk_tokens(F.col("query"))).alias("token"))
+    tokens = questions(spark, sf_dir).select("query_id", F.explode(T.chunk_tokens(F.col("query"))).alias("token"))
     return tokens.groupBy("query_id", "token").agg(F.count("*").alias("n")).select("*", (F.size(T.trigram_tokens(F.array("token"))) > 0).alias("is_trigram"), (F.size(T.bigram_tokens(F.array("token"))) > 0).alias("is_bigram"))
 
 
 @query(rf"""
-with c as (select query_id, unnest(list_filter(string_split({_CLEAN}, ' '), lambda w: w <> '')) as w from (values {VALUES}) q(query_id, query)),
+with c as (select query_id, unnest(list_filter(string_split({_CLEAN}, ' '), lambda w: w <> '')) as w from {_FROM}),
 t as (select query_id, case when regexp_full_match(w, '[{CJK}]+') and length(w) > 4 then list_distinct(list_append(list_transform(range(1, length(w), 2), lambda i: substr(w, i::int, 2)), substr(w, length(w)::int - 1, 2))) else [w] end as p from c),
 u as (select query_id, unnest(p) as token from t)
 select query_id, token, count(*) as n from u group by all
 """)
 def text_page_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F-03: page tokens."""
-    tokens = questions(spark).select("query_id", F.explode(T.page_tokens(F.col("query"))).alias("token"))
+    tokens = questions(spark, sf_dir).select("query_id", F.explode(T.page_tokens(F.col("query"))).alias("token"))
     return tokens.groupBy("query_id", "token").agg(F.count("*").alias("n"))
 
 
 @query(rf"""
-with q as (select * from (values {VALUES}) q(query_id, query))
+with q as (select * from {_FROM})
 select query_id, array_to_string(list_concat(regexp_extract_all(query, '[{CJK}]{{2,}}'), list_filter(regexp_extract_all(query, '[A-Za-z0-9]{{2,}}'), lambda t: not regexp_full_match(t, '\d+'))), '|') as keywords,
   array_to_string(list_concat(regexp_extract_all(query, '[{CJK}]{{2,}}'), list_filter(regexp_extract_all(query, '[A-Za-z0-9]{{3,}}'), lambda t: not regexp_full_match(t, '\d+'))), '|') as page_keywords,
   case when regexp_matches(query, '[{CJK}]') then 'zh' else 'en' end as language
@@ -64,29 +67,29 @@ from q
 def text_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F-05, F-06, F-30: keywords for sections and for pages, and the language."""
     q = F.col("query")
-    return questions(spark).select("query_id", F.array_join(T.query_keywords(q), "|").alias("keywords"), F.array_join(T.query_keywords(q, 3), "|").alias("page_keywords"), T.language(q).alias("language"))
+    return questions(spark, sf_dir).select("query_id", F.array_join(T.query_keywords(q), "|").alias("keywords"), F.array_join(T.query_keywords(q, 3), "|").alias("page_keywords"), T.language(q).alias("language"))
 
 
 @query(rf"""
-with q as (select query_id, ' ' || regexp_replace(query, '([^A-Za-z0-9])', ' \1 ', 'g') || ' ' as query from (values {VALUES}) q(query_id, query)),
+with q as (select query_id, ' ' || regexp_replace(query, '([^A-Za-z0-9])', ' \1 ', 'g') || ' ' as query from {_FROM}),
 m as (select query_id, regexp_extract_all(query, '[^A-Za-z0-9]([A-Z]+\d{{2,}}[A-Z]*)[^A-Za-z0-9]', 1) as tokens from q)
 select query_id, array_to_string(list_filter(tokens, lambda t, i: list_position(tokens, t) = i), '|') as models from m
 """)
 def text_model_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F-07, F-08: identifiers of capitals and digits."""
-    return questions(spark).select("query_id", F.array_join(T.model_tokens(F.col("query")), "|").alias("models"))
+    return questions(spark, sf_dir).select("query_id", F.array_join(T.model_tokens(F.col("query")), "|").alias("models"))
 
 
 @query(rf"""
-with q as (select query_id, regexp_extract_all(query, '[A-Za-z][A-Za-z0-9.\-]{{1,20}}') as w from (values {VALUES}) q(query_id, query)),
+with q as (select query_id, regexp_extract_all(query, '[A-Za-z][A-Za-z0-9.\-]{{1,20}}') as w from {_FROM}),
 d as (select query_id, list_filter(w, lambda t, i: list_position(list_transform(w, lambda x: lower(x)), lower(t)) = i) as w from q)
-select query_id, array_to_string(w, '|') as keywords, array_to_string(case when list_contains(list_transform(w, lambda x: lower(x)), 'difference') and not list_contains(list_transform(w, lambda x: lower(x)), 'compare') then list_append(w, 'compare') else w end, '|') as expanded from d
+select query_id, array_to_string(w, '|') as keywords, array_to_string(case when list_contains(list_transform(w, lambda x: lower(x)), 'difference') and not list_contains(list_transform(w, lambda x: lower(x)), 'compare') then list_append(w, 'compare') else w end[1:24], '|') as expanded from d
 """)
 def text_fact_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F-09, F-10: fact keywords, and their expansion by a vocabulary."""
     words = T.fact_keywords(F.col("query"))
     vocabulary = F.create_map(F.lit("difference"), F.array(F.lit("compare")))
-    return questions(spark).select("query_id", F.array_join(words, "|").alias("keywords"), F.array_join(T.expand_terms(words, vocabulary), "|").alias("expanded"))
+    return questions(spark, sf_dir).select("query_id", F.array_join(words, "|").alias("keywords"), F.array_join(T.expand_terms(words, vocabulary), "|").alias("expanded"))
 
 
 @query(r"""
@@ -241,19 +244,29 @@ def text_term_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.term_hit(t, F.lit("The")).alias("the_word"), T.precise_match(t, F.lit("ing")).alias("ing_precise"), T.precise_match(t, F.lit("of")).alias("of_precise"), T.term_hit(t, F.lit("ción")).alias("cion_part"))
 
 
-SAMPLES = (
-    (1, '{"headers":["a","b"],"rows":[["1","2"],["3",null]]}', r"\frac{a}{b} = 1", "A bar chart of sales", "--- A (Page 1) ---\nx\n--- B (Page 2) ---\ny"),
-    (2, "no json", "{{", "the trend line", "plain"),
-    (3, '{"headers":["only"],"rows":[]}', "x", "a block diagram and photo", "intro\n--- C (Page 9) ---\nz"),
-)
+def _json(c: Column) -> Column:
+    return F.concat(F.lit('{"headers":["name","size"],"rows":[["'), "p_name", F.lit('","'), c.cast("string"), F.lit('"],["x",null]]}'))
 
 
-@query()
+@query(r"""
+with p as (select *, p_size % 3 as k from part)
+select p_partkey, case when k < 2 then E'| name | size |\n| --- | --- |\n| ' || p_name || ' | ' || p_size || E' |\n| x |  |' end as markdown,
+  round(case k when 0 then 1.0 when 1 then 0.1 else 0.5 end::double, 6) as latex, case when k = 0 then 'bar' when k = 1 then 'line' when contains(p_name, 'widget') then 'flow' else 'unknown' end as chart,
+  (k + 1)::int as pieces, case k when 0 then 7 when 1 then 12 else p_size end::int as number, array_to_string(list_sort(list_distinct(['PCIe' || p_size || '.1', 'PCIe2.1', 'PCIe3.1'])), '|') as versions,
+  p_name || ' of ' || p_size as value, k <> 1 as content, case when p_size % 2 = 0 then '2023' else '2023|2024' end as years
+from p
+""")
 def text_structures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F-24, F-25, F-34..F-38: tables, formulas, charts, context pieces, noise lines, number words, versions."""
-    rows = spark.createDataFrame(list(SAMPLES), "id int, js string, latex string, caption string, context string")
-    return rows.select(
-        "id", T.json_table(F.col("js")).alias("markdown"), T.latex_score(F.col("latex")).alias("latex"), T.chart_type(F.col("caption")).alias("chart"), F.size(T.split_at_markers(F.col("context"))).alias("pieces"),
-        T.drop_noise_lines(F.col("context")).alias("lines"), T.number_value(F.lit("Seven")).alias("seven"), F.array_join(T.version_tokens(F.lit("PCIe 3.1 and pcie2.1, PCIe3.1"), "PCIe"), "|").alias("versions"),
-        T.clean_value(F.lit(" : a  b. ")).alias("value"), T.is_content_title(F.lit("Table of Contents")).alias("content"), T.is_uuid_like(F.lit("0123456789abcdef0123456789abcdef")).alias("uuid"), F.array_join(T.years(F.lit("2023 and 2024, 2023")), "|").alias("years"),
+    """F-24, F-25, F-34..F-38: tables, formulas, charts, context pieces, number words, versions, values, titles, years."""
+    k, size = F.col("p_size") % 3, F.col("p_size").cast("string")
+    by = lambda a, b, c: F.when(k == 0, a).when(k == 1, b).otherwise(c)
+    marked = F.concat(F.lit("intro\n"), F.array_join(F.array_repeat(F.lit("--- A (Page 1) ---\nx"), k.cast("int")), "\n"))
+    versions = F.concat(F.lit("PCIe "), size, F.lit(".1, PCIe2.1 and pcie 3.1, PCIe"), size, F.lit(".1"))
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", T.json_table(F.when(k < 2, _json(F.col("p_size"))).otherwise("no json")).alias("markdown"), T.latex_score(by(F.lit(r"\frac{a}{b} = 1"), F.lit("{{"), F.lit("x"))).alias("latex"),
+        T.chart_type(by(F.lit("A bar chart of trends"), F.lit("the Trend line"), F.when(F.contains("p_name", F.lit("widget")), "block diagram and photo").otherwise("nothing"))).alias("chart"),
+        F.size(T.split_at_markers(marked)).alias("pieces"), T.number_value(by(F.lit(" Seven"), F.lit("TWELVE"), size)).cast("int").alias("number"),
+        F.array_join(F.array_sort(F.transform(T.version_tokens(versions, "PCIe"), lambda v: F.regexp_replace(v, "pcie", "PCIe"))), "|").alias("versions"),
+        T.clean_value(F.concat(F.lit(" : "), "p_name", F.lit("  of\n"), size, F.lit(". "))).alias("value"), T.is_content_title(by(F.lit("Overview"), F.lit("Table of Contents"), F.lit("Pins"))).alias("content"),
+        F.array_join(T.years(F.when(F.col("p_size") % 2 == 0, "2023 and 2023").otherwise("2023 and 2024, 2023")), "|").alias("years"),
     )

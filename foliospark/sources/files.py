@@ -154,8 +154,8 @@ def document_id(name: str, size: int, pages: list[tuple[str, str]]) -> str:
     return hashlib.md5((f"{name}:{size}:{len(pages)}" + "".join(t[:500] for _, t in pages[:3])).encode()).hexdigest()
 
 
-def read_files(spark: SparkSession, path: str, known: DataFrame | None = None) -> DataFrame:
-    """PAGES of the files below a path; files whose hash is in known (file_hash) are passed over (ST-03)."""
+def parse_files(files: DataFrame) -> DataFrame:
+    """PAGES of files (path, content); a file that can't be read has a row of its own with the error (S-01)."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -170,10 +170,15 @@ def read_files(spark: SparkSession, path: str, known: DataFrame | None = None) -
                     rows.append((name, own, id, 0, "", "", error))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in PAGES.split(", ")])
 
+    return files.select("path", "content").mapInPandas(run, PAGES)
+
+
+def read_files(spark: SparkSession, path: str, known: DataFrame | None = None) -> DataFrame:
+    """PAGES of the files below a path; files whose hash is in known (file_hash) are passed over (ST-03)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
     if known is not None:
         files = files.withColumn("h", F.md5("content")).join(known.select(F.col("file_hash").alias("h")), "h", "left_anti")
-    return files.select("path", "content").mapInPandas(run, PAGES)
+    return parse_files(files)
 
 
 def outline_titles(outline: DataFrame, doc: str = "doc_id") -> DataFrame:
