@@ -2,8 +2,9 @@
 
 One pass over the training documents gathers words and grams; each task sums its own before anything is shuffled, and
 both tables grow with the corpus.  Grams fill the model's hashed counters, region by region; that table has four slots
-for each distinct gram, up to 2^most_bits slots of two bytes, which is what may be broadcast.  Weights are learnt online over shares of the gram table and averaged by weight, then refined; where
-a text is scored, they are refined further along that text.
+for each distinct gram, up to 2^most_bits slots of two bytes, which is what may be broadcast.  Weights are learnt online
+over shares of the gram table and averaged by weight, then refined; where a text is scored, a second mixer's weights
+move along that text.
 
 Words counted often enough to be among the `frequent` most are broadcast (a bounded table) and looked up where texts
 are scored; each text's rarer words, a few hundredths, are joined with the whole table of counts.
@@ -211,7 +212,7 @@ def scores(docs: DataFrame, folds: int = 7, fold: int = 2, frequent: int = 1 <<
                 bounds = np.searchsorted(rare_row[new], np.arange(m + 1)).astype(np.int32)
                 pairs = pa.StructArray.from_arrays([pa.array(rare[new].view(np.int64)), pa.array(times.astype(np.int64))], names=["key", "times"])
                 gram, cut = grams(part, local)
-                score = -text_costs(*cache.odds(gram), gram, cut)
+                score = -text_costs(cache.costs, gram, cut)
                 columns = [np.arange(made, made + m), np.bincount(row, minlength=m) + 1, n_known, base, score, np.diff(local)]
                 made += m
                 yield pa.RecordBatch.from_arrays(

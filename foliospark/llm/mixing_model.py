@@ -5,11 +5,13 @@ of the ORDERS, the bytes before and the decision's place in the tree choose a sl
 slots' log odds are summed with weights of a set that is chosen by how many orders have seen the context, how often the
 longest of these has, and the bit's number, and the sum is corrected by a table of what such sums turned out to mean.
 
-So far everything about a byte depends on it and the five before it, so log odds are computed once for each distinct
-string of six (a gram) and kept in a cache.  Then a second mixer follows each text from its start: it weighs those log
-odds against the text's own past (the byte that followed when the last five bytes occurred there before), by weights of
-a set that is chosen by how many orders have seen the context and whether the past agrees so far, and after every
-SEGMENT bytes it moves the weights of this text by what it got wrong.  No byte is judged by itself or what follows.
+So far everything about a byte depends on it and the five before it, so costs are computed once for each distinct string
+of six (a gram) and kept in a cache.  Then a second mixer follows each text from its start.  Where the last five bytes
+occurred before in the text, it decides whether the byte that followed then follows again: it mixes the log odds that the
+counters give that byte with a bias, by weights of a set that is chosen by how many orders have seen the context and how
+often in a row such a byte has just been right; if another byte comes, the counters' probabilities of the others hold.
+After every SEGMENT bytes the weights of this text move by what they got wrong.  No byte is judged by itself or by what
+follows, and the probabilities of all bytes that can come sum to 1.
 """
 
 from __future__ import annotations
@@ -27,9 +29,11 @@ REGION_BITS = 6
 SLOTS_A_GRAM, LEAST_BITS, MOST_BITS = 4, 18, 25
 GATES = 8 * 4 * (len(ORDERS) + 1)
 BUCKETS = 33
-#: Bytes after which a text's own weights move; how firm they are at first; what the text's past counts before it was right or wrong.
-SEGMENT, FIRM, PAST = 64, (50.0, 4.0), 1.0
-SETS = 2 * (len(ORDERS) + 1)
+#: Bytes after which a text's own weights move, and how firm they are at first (log odds, bias).
+SEGMENT, FIRM = 64, (40.0, 4.0)
+#: How often in a row a recalled byte was right, in steps, and what the bias is at first for each.
+RUNS, BIAS = (1, 2, 4, 8), (0.0, 0.5, 1.0, 1.5, 2.0)
+SETS = (len(ORDERS) + 1) * len(BIAS)
 _STEP, _SPREAD = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93)
 
 
@@ -120,15 +124,19 @@ class Model:
     def bucket(odds: np.ndarray) -> np.ndarray:
         return np.clip(np.round(odds * 2), -16, 16).astype(np.int64) + 16
 
-    def odds(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each gram's last byte: the refined log odds of its eight bits, and how many orders have seen each one's context."""
-        out, depth = np.zeros((len(key), 8), np.float32), np.zeros((len(key), 8), np.uint8)
-        for at in range(0, len(key), 1 << 16):
-            part = key[at : at + (1 << 16)]
-            for j, (x, gate, _) in enumerate(self.decisions(part, False)):
+    def costs(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each gram's last byte: -ln of its probability after the others, and how many orders have seen that context."""
+        out, depth = np.zeros(len(key), np.float32), np.zeros(len(key), np.uint8)
+        for at in range(0, len(key), 1 << 14):
+            part = key[at : at + (1 << 14)]
+            total = np.zeros(len(part))
+            for j, (x, gate, bit) in enumerate(self.decisions(part, False)):
                 odds = self.mixed(x, gate)
-                out[at : at + len(part), j] = np.clip(odds + self.refined[gate, self.bucket(odds)], -16, 16)
-                depth[at : at + len(part), j] = gate // 32
+                odds = np.clip(odds + self.refined[gate, self.bucket(odds)], -16, 16).astype(np.float64)
+                total += np.log1p(np.exp(np.where(bit == 1, -odds, odds)))
+                if not j:
+                    depth[at : at + len(part)] = gate // 32
+            out[at : at + len(part)] = total
         return out, depth
 
     def learn(self, key: np.ndarray, count: np.ndarray, size: int = 2048, rate: float = 0.05) -> float:
@@ -166,14 +174,14 @@ class Model:
 
 
 class Cache:
-    """Model.odds() of grams met before, one for each slot of a fixed table."""
+    """Model.costs() of grams met before, one for each slot of a fixed table."""
 
-    def __init__(self, model: Model, bits: int = 20):
+    def __init__(self, model: Model, bits: int = 21):
         self.model, self.shift = model, U64(64 - bits)
         self.keys = np.full(1 << bits, np.iinfo(np.uint64).max, U64)
-        self.held = np.zeros((1 << bits, 8), np.float32), np.zeros((1 << bits, 8), np.uint8)
+        self.held = np.zeros(1 << bits, np.float32), np.zeros(1 << bits, np.uint8)
 
-    def odds(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def costs(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = ((key * _STEP) >> self.shift).astype(np.int64)
         out = tuple(x[at] for x in self.held)
         miss = np.flatnonzero(self.keys[at] != key)
@@ -181,60 +189,86 @@ class Cache:
             new, back = np.unique(key[miss], return_inverse=True)
             place = ((new * _STEP) >> self.shift).astype(np.int64)
             self.keys[place] = new
-            for held, own, made in zip(self.held, out, self.model.odds(new), strict=True):
+            for held, own, made in zip(self.held, out, self.model.costs(new), strict=True):
                 own[miss] = made[back]
                 held[place] = made
         return out
 
 
 def recalled(key: np.ndarray, cut: np.ndarray) -> np.ndarray:
-    """For each byte the one that followed the last time that the five before it occurred in its text, or -1."""
-    text = np.repeat(np.arange(len(cut) - 1, dtype=U64), np.diff(cut))
-    context = (text << U64(40)) | (key >> U64(8))
-    order = np.argsort(context, kind="stable")
-    again = context[order][1:] == context[order][:-1]
-    out = np.full(len(key), -1, np.int16)
+    """For each byte the one that followed the last time that the five before it occurred in its text, or -1.
+
+    Places are sorted by a hash of text and context with the place below it; neighbours count if both are equal indeed.
+    """
+    n = len(key)
+    low = U64(max(n, 1).bit_length())
+    context = (np.repeat(np.arange(len(cut) - 1, dtype=U64), np.diff(cut)) << U64(40)) + (key >> U64(8))
+    hashed = np.sort((mix(context) >> low << low) | np.arange(n, dtype=U64))
+    order = (hashed & ((U64(1) << low) - U64(1))).astype(np.int64)
+    ordered = context[order]
+    again = ordered[1:] == ordered[:-1]
+    out = np.full(n, -1, np.int16)
     out[order[1:][again]] = (key[order[:-1][again]] & U64(255)).astype(np.int16)
     return out
 
 
-def text_costs(odds: np.ndarray, depth: np.ndarray, key: np.ndarray, cut: np.ndarray) -> np.ndarray:
-    """-log10 of the probability of each text, whose bytes lie between two cuts, by the mixer that follows it.
+def runs_before(right: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """For each byte of texts how many of those just before it in its text were right, without a gap."""
+    at = np.arange(len(right))
+    last = np.maximum.accumulate(np.where(right, -1, at)) if len(right) else at
+    before = np.concatenate([[-1], last[:-1]])[: len(right)]
+    return at - 1 - np.maximum(before, np.repeat(cut[:-1], np.diff(cut)) - 1)
 
-    The texts go side by side, segment by segment; each has its own weights.
-    """
-    n = len(cut) - 1
-    byte, past = (key & U64(255)).astype(np.int16), recalled(key, cut)
-    bit = np.unpackbits(byte.astype(np.uint8)[:, None], axis=1)
-    told = np.zeros((len(key), 8), np.int8)
-    for j in range(8):
-        agrees = (past >= 0) & (past >> (8 - j) == byte >> (8 - j))
-        told[:, j] = np.where(agrees, 2 * ((past >> (7 - j)) & 1) - 1, 0)
-    gate = depth + np.uint8(SETS // 2) * (told != 0)
+
+def schedule(cut: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """How texts go side by side, longest first: their order, the place and text (in that order) of each byte, and for each step the end of its bytes and how many texts it has."""
     sizes = np.diff(cut)
     order = np.argsort(-sizes, kind="stable")
     first, sizes = cut[:-1][order], sizes[order]
-    weights = [np.full(n * SETS, w) for w in (1.0, PAST)]
-    firmness = [np.full(n * SETS, f) for f in FIRM]
-    costs = np.zeros(n)
+    places, texts, steps, done = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [], 0
     for at in range(0, int(sizes.max(initial=0)), SEGMENT):
         live = int(np.searchsorted(-sizes, -at, side="left"))
         count = np.minimum(sizes[:live] - at, SEGMENT)
         text = np.repeat(np.arange(live), count)
-        place = np.repeat(first[:live] + at - (np.cumsum(count) - count), count) + np.arange(len(text))
-        chosen = (text[:, None] * SETS + gate[place]).ravel()
-        x, ones = odds[place].ravel(), bit[place].ravel()
-        some = np.flatnonzero(told[place].ravel())
-        recall, its = told[place].ravel()[some], chosen[some]
-        mixed = weights[0][chosen] * x
-        mixed[some] += weights[1][its] * recall
-        mixed = np.clip(mixed, -20, 20)
-        p = 1 / (1 + np.exp(-mixed))
-        error, spread = ones - p, p * (1 - p)
-        costs[:live] -= np.bincount(text, np.log1p(-np.abs(error)).reshape(-1, 8).sum(axis=1), live)
-        for k, (who, e, v, h) in enumerate(((chosen, error, x, spread * x * x), (its, error[some], recall, spread[some]))):
-            firmness[k][: live * SETS] += np.bincount(who, h, live * SETS)
-            weights[k][: live * SETS] += np.bincount(who, e * v, live * SETS) / firmness[k][: live * SETS]
-    out = np.zeros(n)
-    out[order] = costs / np.log(10)
-    return out
+        places.append(np.repeat(first[:live] + at - (np.cumsum(count) - count), count) + np.arange(len(text)))
+        texts.append(text)
+        done += len(text)
+        steps.append((done, live))
+    return order, np.concatenate(places), np.concatenate(texts), steps
+
+
+def text_costs(costs_of, key: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """-log10 of the probability of each text, whose bytes lie between two cuts, by the mixer that follows it; costs_of as Cache.costs.
+
+    The texts go side by side, segment by segment; each has its own weights.
+    """
+    n = len(cut) - 1
+    order, place, texts, steps = schedule(cut)
+    byte, past = (key & U64(255)).astype(np.int16), recalled(key, cut)
+    right = past == byte
+    cost, depth = costs_of(key)
+    gate = depth * np.uint8(len(BIAS)) + np.searchsorted(RUNS, runs_before(right, cut), side="right").astype(np.uint8)
+    out = np.add.reduceat(cost.astype(np.float64), cut[:-1]) if n else np.zeros(0)
+    some = past[place] >= 0
+    ends = np.concatenate([[0], np.cumsum(some)])[[end for end, _ in steps]] if steps else []
+    place, texts = place[some], texts[some]
+    told, _ = costs_of((key[place] & ~U64(255)) | past[place].astype(U64))
+    chance = np.clip(np.exp(-told.astype(np.float64)), 1e-7, 1 - 1e-7)  # of the recalled byte, by the counters
+    odds, one, chosen = np.log(chance / (1 - chance)), right[place], texts * SETS + gate[place]
+    # what the counters alone take for each decision; what they take for another byte among the others stays
+    usual = np.where(one, -np.log(chance), -np.log1p(-chance))
+    out -= np.bincount(order[texts], np.where(one, cost[place] + np.log(chance), 0), n)
+    weights = [np.ones(n * SETS), np.tile(np.array(BIAS, np.float64), n * SETS // len(BIAS))]
+    firmness = [np.full(n * SETS, f) for f in FIRM]
+    gained, begin = np.zeros(n), 0
+    for end, (_, live) in zip(ends, steps, strict=True):
+        who, x, hit, size = chosen[begin:end], odds[begin:end], one[begin:end], live * SETS
+        p = 1 / (1 + np.exp(-np.clip(weights[0][who] * x + weights[1][who], -20, 20)))
+        gained[:live] += np.bincount(texts[begin:end], usual[begin:end] + np.log(np.where(hit, p, 1 - p)), live)
+        error, spread = hit - p, p * (1 - p)
+        for own, firm, value in zip(weights, firmness, (x, 1.0), strict=True):
+            firm[:size] += np.bincount(who, spread * value * value, size)
+            own[:size] += np.bincount(who, error * value, size) / firm[:size]
+        begin = end
+    out[order] -= gained
+    return out / np.log(10)

@@ -385,12 +385,11 @@ def test_model_is_a_distribution():
     model, key, n = small_model(TEXTS)
     model.learn(key, n)
     model.refine(model.outcomes(key, n))
-    odds, _ = model.odds(np.uint64(0x746865 << 8) | np.arange(256, dtype=np.uint64))
-    bit = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1)
-    assert (1 / (1 + np.exp(np.where(bit == 1, -odds, odds).astype(float)))).prod(axis=1).sum() == pytest.approx(1.0, abs=1e-5)
+    costs, _ = model.costs(np.uint64(0x746865 << 8) | np.arange(256, dtype=np.uint64))
+    assert np.exp(-costs.astype(float)).sum() == pytest.approx(1.0, abs=1e-5)
     held = M.Cache(model, bits=3)  # places are fought over
     for some in (key[:40], key[20:], key):
-        assert all(np.array_equal(a, b) for a, b in zip(held.odds(some), model.odds(some), strict=True))
+        assert all(np.array_equal(a, b) for a, b in zip(held.costs(some), model.costs(some), strict=True))
 
 
 def test_counters_of_the_model(spark):
@@ -404,35 +403,36 @@ def test_scores_along_texts_by_a_plain_loop():
     model.learn(key, n)
     texts = [*TEXTS, "the theme of bananas " * 25, "x", "banana " * 40 + "the end"]
     gram, cut = M.grams(*flat(pa.array(texts)))
-    odds, depth = model.odds(gram)
+    costs, depth = model.costs(gram)
     expected = []
     for a, b in zip(cut[:-1], cut[1:], strict=True):
-        weights, firmness = {}, {}
-        cost, moves, seen = 0.0, {}, {}
+        weights, firmness, moves = {}, {}, {}
+        cost, seen, run = 0.0, {}, 0
         for at in range(a, b):
             if (at - a) % M.SEGMENT == 0:
                 for k, (push, firm) in moves.items():
                     firmness[k] = firmness.get(k, M.FIRM[k[1]]) + firm
-                    weights[k] = weights.get(k, (1.0, M.PAST)[k[1]]) + push / firmness[k]
+                    weights[k] = weights.get(k, (1.0, M.BIAS[k[0] % len(M.BIAS)])[k[1]]) + push / firmness[k]
                 moves = {}
             byte, context = int(gram[at]) & 255, int(gram[at]) >> 8
             past = seen.get(context)
-            for j in range(8):
-                one = (byte >> (7 - j)) & 1
-                agrees = past is not None and past >> (8 - j) == byte >> (8 - j)
-                x = (float(odds[at, j]), (1 if (past >> (7 - j)) & 1 else -1) if agrees else 0)
-                gate = int(depth[at, j]) + (M.SETS // 2 if agrees else 0)
-                p = 1 / (1 + math.exp(-sum(weights.get((gate, k), (1.0, M.PAST)[k]) * x[k] for k in (0, 1))))
-                cost -= math.log10(p if one else 1 - p)
+            if past is None:
+                cost += float(costs[at])
+            else:
+                chance = min(max(math.exp(-float(model.costs(np.array([context << 8 | past], np.uint64))[0][0])), 1e-7), 1 - 1e-7)
+                gate = int(depth[at]) * len(M.BIAS) + sum(run >= r for r in M.RUNS)
+                x = (math.log(chance / (1 - chance)), 1.0)
+                p = 1 / (1 + math.exp(-sum(weights.get((gate, k), (1.0, M.BIAS[gate % len(M.BIAS)])[k]) * x[k] for k in (0, 1))))
+                cost -= math.log(p) if past == byte else math.log(1 - p) - float(costs[at]) - math.log(1 - chance)
                 for k in (0, 1):
                     push, firm = moves.get((gate, k), (0.0, 0.0))
-                    if x[k]:
-                        moves[gate, k] = (push + (one - p) * x[k], firm + p * (1 - p) * x[k] ** 2)
+                    moves[gate, k] = (push + ((past == byte) - p) * x[k], firm + p * (1 - p) * x[k] ** 2)
+            run = run + 1 if past == byte else 0
             seen[context] = byte
-        expected.append(cost)
-    assert M.text_costs(odds, depth, gram, cut) == pytest.approx(expected, rel=1e-6)
-    parts = [M.text_costs(odds[a:b], depth[a:b], gram[a:b], np.array([0, b - a])) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-    assert np.concatenate(parts) == pytest.approx(expected, rel=1e-6)  # whatever texts go beside
+        expected.append(cost / math.log(10))
+    assert M.text_costs(model.costs, gram, cut) == pytest.approx(expected, rel=1e-5)
+    parts = [M.text_costs(model.costs, gram[a:b], np.array([0, b - a])) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    assert np.concatenate(parts) == pytest.approx(expected, rel=1e-5)  # whatever texts go beside
 
 
 def test_scores_are_the_models(spark, docs, corpus):
