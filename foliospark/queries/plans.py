@@ -55,7 +55,7 @@ class Told(model.Stub):
         if "as a JSON list" in prompt:
             return 'Surely: ["' + prompt.rsplit(" ", 1)[-1] + '", "More Words", "ring"]'
         if prompt.startswith("Subject"):
-            return '```json\n{"subject": "Widget", "year": "1999", "doc_type": "datasheet"}\n```'
+            return '```json\n{"subject": "Widget", "year": "77777", "doc_type": "datasheet"}\n```'
         if prompt.startswith("Classify"):
             return '{"level1": "Parts", "level2": "Rings", "level3": "Small"}' if "ring" in prompt else "no idea"
         return hashlib.md5(prompt.encode()).hexdigest()
