@@ -7,7 +7,8 @@ windows choose alike, so windows are compared by their anchors' buckets alone.
 Refinement: an anchor's windows are known by how far they start before it.  A row holds a run of them and two bucket
 numbers: that of the bytes which all windows of its part share, and that of all bytes of the run.  Rows are sorted by
 these.  Alone in the first bucket: no window repeats.  Together in the second: all do.  Else the row's part is cut and
-its pieces are sorted by the buckets of their own, longer offsets: 192 windows, then 24, then one.  A bucket that is
+its pieces are sorted by the buckets of their own, longer offsets: 192 windows, then 24, then one.  A bucket's number is
+reused wherever the same bytes occur, for it is made of the bytes alone.  A bucket that is
 settled passes one row on for all, if unsettled ones may still meet it.  Each task settles its own equal rows first, so
 a group of copies sends a row for each task.  Bucket numbers are pairs of 64-bit fingerprints of content: equal bytes
 have equal numbers everywhere, and no number needs to be looked up.
@@ -215,15 +216,18 @@ def covered_runs(texts: DataFrame, window: int = 400) -> DataFrame:
     """(uid, runs): for each text with repeated windows, the runs of bytes [start, end) that they cover, unmerged; texts: (uid, text)."""
     if not 192 + Q <= window < 1024:
         raise ValueError("windows are of 209 to 1023 bytes")
-    states = materialize(settle(materialize(first_rows(texts, window), "rows")), "states")
+    rows = materialize(first_rows(texts, window), "rows")
+    states = materialize(settle(rows), "states", (rows,))
     wanted = states.where(F.col("state") >= OPEN)
     spans = materialize(contexts(texts, wanted, window), "contexts")
-    first = materialize(settle(materialize(finer_rows(spans.withColumns({"low": F.col("lo"), "high": F.col("hi")}), window, 24), "rows-24")), "states-24")
+    finer = materialize(finer_rows(spans.withColumns({"low": F.col("lo"), "high": F.col("hi")}), window, 24), "rows-24")
+    first = materialize(settle(finer), "states-24", (finer,))
     again = first.where(F.col("state") >= OPEN).select("uid", "pos", (F.floor(F.col("part") / 192) * 192).cast("int").alias("part"), F.col("lo").alias("low"), F.col("hi").alias("high")).distinct()
-    last = settle(materialize(finer_rows(spans.join(again, ["uid", "pos", "part"]), window, 1), "rows-1"))
-    covered = states.unionByName(first).unionByName(last).where(F.col("state") == COVERED)
+    single = materialize(finer_rows(spans.join(again, ["uid", "pos", "part"]), window, 1), "rows-1", (spans,))
+    covered = states.unionByName(first).unionByName(settle(single)).where(F.col("state") == COVERED)
     run = F.struct((F.col("pos") - F.col("hi")).alias("start"), (F.col("pos") - F.col("lo") + window).alias("end"))
-    return covered.select("uid", run.alias("run")).groupBy("uid").agg(F.collect_set("run").alias("runs"))
+    runs = covered.select("uid", run.alias("run")).groupBy("uid").agg(F.collect_set("run").alias("runs"))
+    return materialize(runs, "runs", (states, first, single))
 
 
 def merged(runs: list[dict]) -> list[tuple[int, int]]:
@@ -249,7 +253,7 @@ def cut_repeats(docs: DataFrame, window: int = 400) -> DataFrame:
     """
     others = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("text", "n_bytes", "spans", "kept_sha256")]
     marked = docs.select(F.struct(*others).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("bytes")).withColumn("uid", F.xxhash64("bytes"))
-    runs = materialize(covered_runs(marked.select("uid", F.col("bytes").alias("text")), window), "runs")
+    runs = covered_runs(marked.select("uid", F.col("bytes").alias("text")), window)
     schema = f"row {marked.schema['row'].dataType.simpleString()}, text string, n_bytes long, spans array<struct<start:long,end:long>>, kept_sha256 string"
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
