@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..config import DEFAULT
 from ..functions import text as T
-from .relational import keep_first, range_join
+from .relational import keep_first, range_join, with_next
 from .retrieval import top
 
 #: Text hits are enough from this score and number on; what a cosine counts beside text scores.
@@ -123,6 +124,20 @@ def neighbours(sections: DataFrame, chosen: DataFrame) -> DataFrame:
     return placed.join(around, ["parent", "_place"]).groupBy("section", "parent").agg(F.min("distance").alias("distance"))
 
 
+def chapter_evidence(sections: DataFrame, scored: DataFrame, chosen: DataFrame, whole: int = DEFAULT.chapter_merge_all, cap: int = DEFAULT.chapter_merge_cap) -> DataFrame:
+    """(query_id, doc_id, idx, start_page, end_page, score): the chapters that a question reads, at 10 (R-14).
+
+    Those chosen (query_id, doc_id, idx), those that words alone brought up (scored: with score) and weren't, all of them
+    in documents of up to `whole` chapters and the best `cap` in longer ones, and the chapter after each of these.
+    """
+    keys = ["query_id", "doc_id", "idx"]
+    sizes = sections.groupBy("doc_id").agg(F.count("*").alias("_n"))
+    place = F.row_number().over(Window.partitionBy("query_id", "doc_id").orderBy(F.col("score").desc(), F.col("idx")))
+    missed = scored.join(chosen.select(*keys), keys, "left_anti").withColumn("_place", place).join(sizes, "doc_id").where((F.col("_n") <= whole) | (F.col("_place") <= cap))
+    read = with_next(chosen.select(*keys).unionByName(missed.select(*keys)).distinct(), "idx")
+    return read.join(sections.select("doc_id", "idx", "start_page", "end_page"), ["doc_id", "idx"]).select(*keys, "start_page", "end_page", F.lit(10.0).alias("score"))
+
+
 def acronyms(text: Column) -> Column:
     """array(struct(short, long)): what a text explains as 'NPU (Neural Process Unit)' or the other way round, once each (M-13).
 

@@ -321,6 +321,20 @@ def excerpt(text: str, tokens: list[str], size: int = DEFAULT.excerpt_chars, mos
     return f"[Exact keyword match: {', '.join(tokens[:5])}]\n" + "\n...\n".join(text[a:b] for a, b in spans[:most]) + "\n", bool(in_table)
 
 
+def excerpts(pages: DataFrame, key: str, text: str, tokens: list[str], size: int = DEFAULT.excerpt_chars, most: int = DEFAULT.excerpt_windows) -> DataFrame:
+    """(key, text, excerpt, in_table) of the pages that have any of the tokens; the others stay in the JVM (F-29)."""
+    hit = F.lit(False)
+    for token in tokens:
+        hit = hit | F.contains(F.lower(text), F.lit(token.lower()))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            found = [excerpt(t, tokens, size, most) for t in part[text]]
+            yield pd.DataFrame({key: part[key], text: part[text], "excerpt": [x for x, _ in found], "in_table": [b for _, b in found]})
+
+    return pages.where(hit).select(key, text).mapInPandas(run, f"{key} {pages.schema[key].dataType.simpleString()}, {text} string, excerpt string, in_table boolean")
+
+
 def merge_contexts(hits: DataFrame, most: int = DEFAULT.merge_max) -> DataFrame:
     """(query_id, context, pages, chars): the hits (query_id, query, doc_id, title, page_num, section, score, text) of each question as one text (R-13).
 

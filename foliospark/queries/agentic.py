@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import agentic as A
 from ..operators import relational as J
+from ..operators import retrieval as R
 from ..plans.planner import completed, merged_filters
 from ..registry import query, table
 
@@ -179,6 +180,32 @@ def acronym_harvest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(shown, "; ").alias("pairs"))
 
 
+@query("""
+with s as (select p_brand, p_partkey, p_name, p_size, p_type, row_number() over (partition by p_brand order by p_partkey) - 1 as idx, count(*) over (partition by p_brand) as n from part),
+c as (select p_brand, idx from s where p_type = 'PROMO'), m as (select p_brand, idx, n, row_number() over (partition by p_brand order by p_size desc, idx) as k from s where contains(p_name, 'ring') and (p_brand, idx) not in (select (p_brand, idx) from c)),
+r as (select p_brand, idx from c union select p_brand, idx from m where n <= 8 or k <= 2), x as (select p_brand, idx from r union select p_brand, idx + 1 from r)
+select 1 as query_id, p_brand as doc_id, idx::int as idx, p_partkey as start_page, p_partkey + 1 as end_page, 10.0::double as score from x join s using (p_brand, idx)
+""")
+def chapter_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R-14, U-06, W-06: chapters chosen, those that words brought up, and the ones after."""
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")) - 1
+    chapters = table(spark, sf_dir, "part").select(F.lit(1).alias("query_id"), F.col("p_brand").alias("doc_id"), place.alias("idx"), F.col("p_partkey").alias("start_page"), (F.col("p_partkey") + 1).alias("end_page"), "p_name", "p_type", F.col("p_size").alias("score"))
+    return A.chapter_evidence(chapters, chapters.where(F.contains("p_name", F.lit("ring"))), chapters.where("p_type = 'PROMO'"), 8, 2)
+
+
+@query("""
+with d as (select doc_id, lower(text) as t from documents), h as (select doc_id, t, 'license' as w, instr(t, 'license') as a from d where contains(t, 'license'))
+select doc_id, md5('[Exact keyword match: license]' || chr(10) || substr(text, greatest(a - 50, 1), a + 49 - greatest(a - 50, 1) + 1) || chr(10)) as shown from h join documents using (doc_id) where (length(t) - length(replace(t, 'license', ''))) = 7 and not contains(text, '|')
+""")
+def exact_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F-29: windows around exact hits; here of documents with one hit and no table, whose window SQL can cut too."""
+    shown = R.excerpts(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", ["license"], 100)
+    single = (F.size(F.split(F.lower("text"), "license", -1)) == 2) & ~F.contains("text", F.lit("|"))
+    return shown.where(single).select("doc_id", F.md5(F.col("excerpt").cast("binary")).alias("shown"))
+
+
 @query("""
 with e as (select event_id, user_id, floor(epoch(ts::timestamp))::bigint as t, (event_id % 900 + 1)::bigint as service from events), s as (select *, coalesce(sum(service) over (partition by user_id order by t, event_id rows between unbounded preceding and 1 preceding), 0) as served from e),
 m as (select *, max(t - served) over (partition by user_id order by t, event_id rows unbounded preceding) + served as start from s)

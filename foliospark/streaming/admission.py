@@ -45,10 +45,16 @@ def batch(requests: DataFrame, limit: int, window: float = 60.0, partitions: int
     return rows.repartition(n, "key").sortWithinPartitions("key", "ts", "id").mapInPandas(run, OUTPUT)
 
 
-def stream(requests: DataFrame, limit: int, window: float = 60.0) -> DataFrame:
-    """The same for a streaming DataFrame; within a micro-batch requests of a key are taken by ts and id."""
+def stream(requests: DataFrame, limit: int, window: float = 60.0, delay: str = "10 minutes") -> DataFrame:
+    """The same for a streaming DataFrame; within a micro-batch requests of a key are taken by ts and id.
+
+    A key's times are dropped once the watermark, `delay` behind the latest request, is a window past the last of them.
+    """
 
     def run(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         times = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(parts)).sort_values(["ts", "id"])
         out = []
@@ -56,7 +62,9 @@ def stream(requests: DataFrame, limit: int, window: float = 60.0) -> DataFrame:
             times, ok = admit(times, now, limit, window)
             out.append(ok)
         state.update((times,))
+        last = rows["ts"].max().timestamp()
+        state.setTimeoutTimestamp(max(int(1000 * (last + window)), state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame({"key": key[0], "ts": rows["ts"], "id": rows["id"], "admitted": out})
 
     rows = requests.select(F.col("key").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.col("id").cast("long").alias("id"))
-    return rows.groupBy("key").applyInPandasWithState(run, OUTPUT, "times array<double>", "append", GroupStateTimeout.NoTimeout)
+    return rows.withWatermark("ts", delay).groupBy("key").applyInPandasWithState(run, OUTPUT, "times array<double>", "append", GroupStateTimeout.EventTimeTimeout)
