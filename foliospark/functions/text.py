@@ -255,6 +255,19 @@ def json_table(text: Column) -> Column:
     return F.when(read["headers"].isNotNull(), F.array_join(F.concat(F.array(line(read["headers"]), rule), F.transform(F.coalesce(read["rows"], F.array()), line)), "\n"))
 
 
+#: The mark before a table, lines of plain text before it and of numbers among them beyond which that text is the table once more.
+TABLE_MARK, PLAIN_LINES, NUMBER_LINES = r"\n\s*\[Table\s*\d+\]\s*\n", 15, 5
+
+
+def optimize_tables(text: Column) -> Column:
+    """A page from its first marked table on, where the plain text before repeats that table (F-13)."""
+    before = F.regexp_extract(text, f"(?s)^(.*?){TABLE_MARK}", 1)
+    lines = F.split(F.regexp_replace(before, r"^\s+|\s+$", ""), "\n", -1)
+    repeats = text.rlike(TABLE_MARK) & (F.size(lines) > PLAIN_LINES) & (F.size(F.filter(lines, lambda x: x.rlike(r"\d{3,}"))) > NUMBER_LINES)
+    rest = F.regexp_replace(F.substring(text, F.length(before) + 1, F.length(text)), r"^\s*\[Table\s*\d+\]\s*\n", "")
+    return F.when(repeats, F.regexp_replace(rest, r"^\s+|\s+$", "")).otherwise(text)
+
+
 def latex_score(text: Column) -> Column:
     """From 0 to 1: balanced braces .4, a command .3, an operator .2, no replacement character .1."""
     count = lambda c: F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))

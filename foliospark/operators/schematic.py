@@ -78,3 +78,26 @@ def searchable(text: Column) -> Column:
     """Parts, nets and rails of a page as one line to be searched (X-07, K-17)."""
     rails = F.transform(power(text), lambda p: F.concat_ws(" ", p["name"], p["voltage"]))
     return F.concat_ws(" | ", F.array_join(F.transform(components(text), lambda c: c["ref"]), " "), F.array_join(nets(text), " "), F.array_join(rails, ", "))
+
+
+SUPPLY = "array<struct<name:string,voltage:string,source:string,max_current:string>>"
+PINS = "array<struct<pin:string,ball:string,functions:array<string>,default_function:string>>"
+
+
+def _listed(answer: Column, kind: str) -> Column:
+    """The JSON list of an answer, fenced or among words, if a list is what it begins with; else null."""
+    first = F.regexp_extract(answer, r"([\[{])", 1)
+    return F.when(first == "[", F.from_json(F.regexp_extract(answer, r"(?s)(\[.*\])", 1), kind))
+
+
+def model_power(answer: Column, text: Column) -> Column:
+    """array(struct(name, voltage, source, max_current)) from a model's list or object of supplies, else by the rule for rails (X-06)."""
+    inside = F.from_json(F.regexp_extract(answer, r"(?s)(\{.*\})", 1), f"power_supplies {SUPPLY}")["power_supplies"]
+    none = F.lit(None).cast("string")
+    by_rule = F.transform(power(text), lambda p: F.struct(p["name"].alias("name"), p["voltage"].alias("voltage"), none.alias("source"), none.alias("max_current")))
+    return F.coalesce(_listed(answer, SUPPLY), inside, by_rule)
+
+
+def model_pins(answer: Column) -> Column:
+    """array(struct(pin, ball, functions, default_function)) from a model's list; empty without one (X-06)."""
+    return F.coalesce(_listed(answer, PINS), F.array().cast(PINS))

@@ -52,6 +52,23 @@ def schematic_subtype(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("p_partkey", S.subtype(name, F.lit(""), F.col("near")).alias("subtype"))
 
 
+@query("""
+with p as (select p_partkey, p_size % 4 as k, p_size, upper(string_split(p_name, ' ')[1]) as w from part)
+select p_partkey, case k when 0 then 'A=1V;B=2V' when 1 then 'C=' || p_size || 'V' else 'VDD_' || w || '=3.3V' end as supplies, case k when 0 then 0 when 1 then 0 when 2 then 2 else 0 end::int as pins from p
+""")
+def schematic_model_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X-06: supplies and pins from a model's answers, or by rules where an answer has none."""
+    k = F.col("p_size") % 4
+    answer = (
+        F.when(k == 0, 'So: ```json\n[{"name":"A","voltage":"1V","source":"x"},{"name":"B","voltage":"2V"}]\n```').when(k == 1, F.concat(F.lit('{"power_supplies":[{"name":"C","voltage":"'), F.col("p_size").cast("string"), F.lit('V"}],"special_notes":[]}')))
+        .otherwise("I can't tell")
+    )
+    pins = F.when(k == 2, '[{"pin":"P1","functions":["UART","PWM"]},{"pin":"P2"}]').otherwise("none")
+    text = F.concat(F.lit("VDD_"), F.upper(F.split("p_name", " ")[0]), F.lit(" 3.3V"))
+    supplies = F.transform(S.model_power(answer, text), lambda x: F.concat_ws("=", x["name"], x["voltage"]))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(supplies, ";").alias("supplies"), F.size(S.model_pins(pins)).alias("pins"))
+
+
 @query(r"""
 select item_id, md5(trim(regexp_replace(regexp_replace(text || ' -- (x)?', '[^\p{L}\p{N}_\s\x{4e00}-\x{9fff}]', ' ', 'g'), '\s+', ' ', 'g'))) as cleaned from benchmark
 """)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..registry import query, table
-from ..sources import files
+from ..sources import files, schema
 
 KINDS = ("md", "txt", "html", "docx", "xlsx", "pptx", "bin", "docx")
 
@@ -68,3 +68,26 @@ def outline_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     title = F.when(k % 4 == 0, "Contents").when(k % 4 == 1, " 12 ").when(k % 4 == 2, "_hidden").otherwise(F.concat(F.lit("Part x"), k.cast("string")))
     outline = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), k.alias("ord"), F.lit(1).alias("level"), (k % 20).alias("page"), title.alias("title"))
     return files.outline_titles(outline)
+
+
+@query("""
+select n_nationkey::varchar as tenant_id, n_name as name, null::varchar as status, n_regionkey::int as quota from nation union all select 'default', 'Default', 'active', 0
+""")
+def schema_conform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G-10: an older table brought up to date, and the rows that a new system begins with."""
+    older = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("tenant_id"), F.col("n_name").alias("NAME"), F.col("n_regionkey").alias("quota"), F.lit("x").alias("unknown"))
+    return schema.conform(older, "tenants").unionByName(schema.begin(spark)["tenants"])
+
+
+@query("""
+with u as (select o_orderkey, o_custkey % 20 as t, (o_orderkey * 7919) % 1000 - 20 as size, o_orderkey || '.pdf' as file from orders), s as (select *, case when size <= 0 then 'empty' when size > 900 then 'too large' end as bad from u),
+r as (select *, 1000 * (t % 3) + sum(case when bad is null then size else 0 end) over (partition by t order by o_orderkey rows unbounded preceding) as taken from s)
+select o_orderkey as upload_id, t as tenant_id, file, size, coalesce(bad, case when taken > 9000 then 'over quota' else 'stored' end) as verdict from r
+""")
+def upload_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S-23: uploads by size and quota, and the names they are stored under."""
+    k, tenant = F.col("o_orderkey"), F.col("o_custkey") % 20
+    name = F.concat(F.lit("/tmp/0123abcd-0123-0123-0123-0123456789ab_"), k.cast("string"), F.lit(".pdf"))
+    uploads = table(spark, sf_dir, "orders").select(k.alias("upload_id"), tenant.alias("tenant_id"), name.alias("name"), (k * 7919 % 1000 - 20).alias("size"))
+    used = uploads.select("tenant_id").distinct().withColumn("bytes", 1000 * (F.col("tenant_id") % 3))
+    return schema.judge_uploads(uploads, used, 900, 9000)

@@ -244,6 +244,15 @@ def text_term_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.term_hit(t, F.lit("The")).alias("the_word"), T.precise_match(t, F.lit("ing")).alias("ing_precise"), T.precise_match(t, F.lit("of")).alias("of_precise"), T.term_hit(t, F.lit("ción")).alias("cion_part"))
 
 
+@query(r"""
+with d as (select doc_id, doc_id % 30 as k, repeat(E'row 123 value\n', (doc_id % 30)::int) || E'\n[Table 1]\n| a |\n' as t from documents) select doc_id, md5(case when k > 15 then '| a |' else t end) as page_md5 from d
+""")
+def text_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F-13: pages without the plain text that a table repeats."""
+    page = F.concat(F.repeat(F.lit("row 123 value\n"), (F.col("doc_id") % 30).cast("int")), F.lit("\n[Table 1]\n| a |\n"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.optimize_tables(page).cast("binary")).alias("page_md5"))
+
+
 def _json(c: Column) -> Column:
     return F.concat(F.lit('{"headers":["name","size"],"rows":[["'), "p_name", F.lit('","'), c.cast("string"), F.lit('"],["x",null]]}'))
 
