@@ -7,11 +7,10 @@ windows choose alike, so windows are compared by their anchors' buckets alone.
 Refinement: an anchor's windows are known by how far they start before it.  A row holds a run of them and two bucket
 numbers: that of the bytes which all windows of its part share, and that of all bytes of the run.  Rows are sorted by
 these.  Alone in the first bucket: no window repeats.  Together in the second: all do.  Else the row's part is cut and
-its pieces are sorted by the buckets of their own, longer offsets: 192 windows, then 24, then one.  A bucket's number is
-reused wherever the same bytes occur, for it is made of the bytes alone.  A bucket that is
+its pieces are sorted by the buckets of their own, longer offsets: 192 windows, then 24, then one.  A bucket that is
 settled passes one row on for all, if unsettled ones may still meet it.  Each task settles its own equal rows first, so
-a group of copies sends a row for each task.  Bucket numbers are pairs of 64-bit fingerprints of content: equal bytes
-have equal numbers everywhere, and no number needs to be looked up.
+a group of copies sends a row for each task.  Bucket numbers are fingerprints of content, of 62 bits and with a seed of
+their own for each of the two: equal bytes have equal numbers everywhere, and no number needs to be looked up.
 
 Null text is empty.  Texts shorter than the window stay.  Repeated rows remove each other.  Extra columns pass.
 """
