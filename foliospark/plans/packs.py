@@ -117,7 +117,7 @@ class Registry:
         kinds = documents.select(F.lower(F.coalesce(category, F.lit(""))).alias("kind")).distinct()
         score = F.when(F.col("kind") == F.col("mapped"), 1.0).when((F.col("kind") != "") & (F.contains("kind", F.col("mapped")) | F.contains("mapped", F.col("kind"))), 0.8)
         best = kinds.join(F.broadcast(known)).withColumn("s", score).where("s is not null").groupBy("kind").agg(F.max_by("pack", F.struct("s", "pack")).alias("pack"))
-        joined = documents.withColumn("kind", F.lower(F.coalesce(category, F.lit("")))).join(F.broadcast(best) if len(rows) < 10_000 else best, "kind", "left")
+        joined = documents.withColumn("kind", F.lower(F.coalesce(category, F.lit("")))).join(best, "kind", "left")  # a row for each distinct category: Spark broadcasts it if it turns out small
         return joined.withColumn("pack", F.coalesce("pack", F.lit(self.generic))).drop("kind")
 
     def boost_rules(self, spark: SparkSession, pack: Pack) -> DataFrame:
