@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import itertools
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -97,11 +97,11 @@ def segments(distance: int) -> list[tuple[int, int]]:
 
 
 def cells(distinct: DataFrame, distance: int) -> DataFrame:
-    """(cell, fp): each fingerprint in the cell of every pair of segments."""
+    """(cell, fp): each fingerprint in the cell of every pair of segments; other columns go with it."""
     part = lambda a, w: F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << w) - 1).cast("long"))
     pairs = list(itertools.combinations(segments(distance), 2))
     keys = [F.xxhash64(F.lit(k), part(*x), part(*y)) for k, (x, y) in enumerate(pairs)]
-    return distinct.select(F.explode(F.array(*keys)).alias("cell"), "fp")
+    return distinct.select(F.explode(F.array(*keys)).alias("cell"), *distinct.columns)
 
 
 def _linked(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -121,8 +121,8 @@ def _linked(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
-def _search(cell: np.ndarray, fp: np.ndarray, distance: int) -> np.ndarray:
-    """The root (an index) of each of the fingerprints, which come sorted by cell."""
+def _close(cell: np.ndarray, fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs (indices) of fingerprints of a cell within the distance, by the pivot table; they come sorted by cell."""
     n = len(fp)
     table = np.bitwise_count(fp[:, None] ^ PIVOTS[None, :]).astype(np.int8)
     found = [(np.zeros(0, np.int64),) * 2]
@@ -138,7 +138,12 @@ def _search(cell: np.ndarray, fp: np.ndarray, distance: int) -> np.ndarray:
         found.append((near, near + step))
         step += 1
     a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-    return _linked(n, a, b)
+    return a, b
+
+
+def _search(cell: np.ndarray, fp: np.ndarray, distance: int) -> np.ndarray:
+    """The root (an index) of each of the fingerprints, which come sorted by cell."""
+    return _linked(len(fp), *_close(cell, fp, distance))
 
 
 def links(distinct: DataFrame, distance: int = 2) -> DataFrame:
@@ -244,6 +249,8 @@ BANDS, ROWS_A_BAND = 16, 4
 WHOLE = 16
 #: With how many texts of its middle each member of a larger bucket is compared.
 CORE = 2
+#: Fingerprints that differ in this many bits at most meet by cells and pivot tables; the bands are for the rest.
+DISTANCE = 2
 
 
 def sketches(texts: DataFrame, width: int) -> DataFrame:
@@ -291,18 +298,12 @@ def _proposed(fp: np.ndarray, large: bool) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([every, np.tile(every, len(core))]), np.concatenate([every, np.repeat(core, n)])
 
 
-def candidates(sketched: DataFrame) -> DataFrame:
-    """(a, b): pairs of uids, a < b, from buckets of equal bands; and a = b for every member of a bucket that isn't compared whole."""
-    n = int(sketched.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _in_parts(rows: DataFrame, pairs: Callable) -> DataFrame:
+    """(a, b) of (key, uid, fp): what pairs(key, uid, fp, split) makes of each key's bucket, or of its parts if it is `split`."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def pairs(band, uid, fp, split):
-        bounds = np.flatnonzero(np.concatenate([[True], band[1:] != band[:-1], [True]]))
-        out = []
-        for k in np.flatnonzero(np.diff(bounds) > 1):
-            i, j = bounds[k], bounds[k + 1]
-            a, b = _proposed(fp[i:j], j - i > WHOLE or band[i] == split)
-            out.append((uid[i:j][a], uid[i:j][b]))
-        a, b = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2
+    def made(held, split):
+        a, b = pairs(*[np.concatenate(x) for x in zip(*held, strict=True)], split)
         a, b = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
@@ -310,27 +311,74 @@ def candidates(sketched: DataFrame) -> DataFrame:
         held: list[tuple[np.ndarray, ...]] = []
         split = None  # the bucket that was taken in parts
         for batch in batches:
-            band, uid, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy().view(U64)
-            if not len(band):
+            key, uid, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy().view(U64)
+            if not len(key):
                 continue
-            cut = int(np.searchsorted(band, band[-1]))
-            if cut or (held and held[-1][0][-1] != band[0]):
-                yield pairs(*[np.concatenate(x) for x in zip(*held, (band[:cut], uid[:cut], fp[:cut]), strict=True)], split)
+            cut = int(np.searchsorted(key, key[-1]))
+            if cut or (held and held[-1][0][-1] != key[0]):
+                yield made([*held, (key[:cut], uid[:cut], fp[:cut])], split)
                 held = []
-            held.append((band[cut:], uid[cut:], fp[cut:]))
+            held.append((key[cut:], uid[cut:], fp[cut:]))
             if sum(len(x[0]) for x in held) > HELD_TEXTS:  # one bucket
                 whole = [np.concatenate(x) for x in zip(*held, strict=True)]
                 split = whole[0][0]
-                yield pairs(*whole, split)
+                yield made([whole], split)
                 core = _core(whole[2])
                 held = [tuple(x[core] for x in whole)]
         if held:
-            yield pairs(*[np.concatenate(x) for x in zip(*held, strict=True)], split)
+            yield made(held, split)
 
-    spread = sketched.select(F.explode("bands").alias("band"), "uid", "fp").repartition(n, "band").sortWithinPartitions("band", "uid")
+    spread = rows.select("key", "uid", "fp").repartition(n, "key").sortWithinPartitions("key", "uid")
     return spread.mapInArrow(run, "a long, b long").distinct()
 
 
+def _bounds(key: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+
+
+def close(sketched: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """(a, b): pairs of uids, a < b, of fingerprints within the distance, by cells and pivot tables as in links().
+
+    Where more than WHOLE texts of a cell hang together, or a cell is crowded, each goes with their middle, and as a = b.
+    """
+
+    def pairs(cell, uid, fp, split):
+        bounds = _bounds(cell)
+        many = np.repeat((np.diff(bounds) > DENSE) | (cell[bounds[:-1]] == split), np.diff(bounds))
+        some = np.flatnonzero(~many)
+        a, b = _close(cell[some], fp[some], distance)
+        root = _linked(len(some), a, b)
+        large = np.bincount(root, minlength=len(some))[root] > WHOLE
+        out = [(uid[some[a[~large[a]]]], uid[some[b[~large[a]]]])]
+        group = np.concatenate([some[large], np.flatnonzero(many)])
+        name = np.concatenate([some[root[large]], np.repeat(bounds[:-1], np.diff(bounds))[many]])
+        group, name = group[np.argsort(name, kind="stable")], np.sort(name)
+        for i, j in itertools.pairwise(_bounds(name)) if len(name) else ():
+            a, b = _proposed(fp[group[i:j]], True)
+            out.append((uid[group[i:j]][a], uid[group[i:j]][b]))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+    worded = sketched.where(F.size("bands") > 0).select("uid", "fp")
+    return _in_parts(cells(worded, distance).withColumnRenamed("cell", "key"), pairs)
+
+
+def candidates(sketched: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """(a, b): pairs of uids, a < b, from buckets of equal bands, whose fingerprints differ in more than the distance, which leaves them out
+    of close(); and a = b for every member of a bucket that isn't compared whole."""
+
+    def pairs(band, uid, fp, split):
+        bounds = _bounds(band)
+        out = [(np.zeros(0, np.int64),) * 2]
+        for k in np.flatnonzero(np.diff(bounds) > 1):
+            i, j = bounds[k], bounds[k + 1]
+            a, b = _proposed(fp[i:j], j - i > WHOLE or band[i] == split)
+            far = (a == b) | (np.bitwise_count(fp[i:j][a] ^ fp[i:j][b]) > distance)
+            out.append((uid[i:j][a[far]], uid[i:j][b[far]]))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+    return _in_parts(sketched.select(F.explode("bands").alias("key"), "uid", "fp"), pairs)
+
+
 #: Shingles are ordered by how often one in SAMPLE texts has them; the FREQUENT most frequent ones travel to the texts.
 #: Any order gives the same pairs: it decides only how many are compared.
 SAMPLE, FREQUENT = 16, 1 << 18
@@ -446,10 +494,11 @@ def crowded(texts: DataFrame, similarity: float, order: tuple[np.ndarray, np.nda
 def similar(texts: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """(a, b): pairs of (uid, text) whose sets of shingles have at least this Jaccard similarity, computed from whole texts.
 
-    All pairs of a band's bucket are looked at, but for those that other edges join anyway.
+    Pairs whose SimHashes are close come from cells and pivot tables, those further apart from bands of least hashes. All
+    pairs of a band's bucket or a cell's group are looked at, but for those that other edges join anyway.
     """
     sketched = materialize(sketches(texts, width).dropDuplicates(["uid"]), "sketches")
-    pairs = materialize(candidates(sketched), "candidates")
+    pairs = materialize(close(sketched).unionByName(candidates(sketched)).distinct(), "candidates")
     asked = materialize(pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct(), "asked")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

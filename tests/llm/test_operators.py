@@ -321,6 +321,39 @@ def test_representatives_in_a_template_family(spark, monkeypatch):
     docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
     assert sorted(r["doc_id"] for r in simhash.representatives(docs).collect()) == sorted(set(range(n)) - {max(x) for x in pairs})
 
+def test_similar_texts_that_share_no_band(spark):
+    """Their SimHashes are equal and their similarity is 0.8, but no band of least hashes proposes the pair."""
+    words = "ecidpop mgdpamn aoihdka aaamgna hophlhh ojandfj dkngjjp mbphmnf llcodfm lpapbjm ffhaghm lloiame"
+    texts = [f"{words} gfmogao", f"{words} dhahaic", f"{words[:40]} other words that are not in the two texts above"]
+    a, b = (shingle_set(t) for t in texts[:2])
+    assert len(a & b) == 0.8 * len(a | b)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["uid"]: r for r in simhash.sketches(docs.select(F.col("doc_id").alias("uid"), "text"), 5).collect()}
+    assert found[0]["fp"] == found[1]["fp"] and not set(found[0]["bands"]) & set(found[1]["bands"])
+    assert sorted(r["doc_id"] for r in simhash.representatives(docs).collect()) == [0, 2]
+
+
+@pytest.mark.parametrize("dense,whole,held", [(1000, 1000, 1 << 19), (192, 16, 1 << 19), (20, 5, 1 << 19), (20, 5, 30)])
+def test_close_fingerprints(spark, monkeypatch, dense, whole, held):
+    """All pairs within two bits are proposed, or both texts are left to the prefix filter; bands are for the others."""
+    for name, value in (("DENSE", dense), ("WHOLE", whole), ("HELD_TEXTS", held)):
+        monkeypatch.setattr(simhash, name, value)
+    rng = np.random.default_rng(4)
+    base = int(rng.integers(0, 1 << 62))
+    values = [base ^ (1 << int(a)) ^ (1 << int(b)) for a, b in rng.integers(0, 30, (60, 2))] + [int(x) for x in rng.integers(0, 1 << 62, 40)]
+    values += [values[70] ^ 5, values[70], values[71] ^ 7 << 20]
+    sketched = spark.createDataFrame([(k, v, [1]) for k, v in enumerate(values)] + [(500, values[72], [])], "uid long, fp long, bands array<long>")
+    near = {(i, j) for j in range(len(values)) for i in range(j) if (values[i] ^ values[j]).bit_count() <= 2}
+    with batches_of(spark, 7):
+        found = {(r["a"], r["b"]) for r in simhash.close(sketched).collect()}
+        far = {(r["a"], r["b"]) for r in simhash.candidates(sketched).collect()}
+    left = {a for a, b in found if a == b}
+    assert {(i, j) for i, j in near if not {i, j} <= left} <= found
+    assert all(a <= b for a, b in found) and 500 not in {x for p in found for x in p}
+    assert not {p for p in far if p[0] < p[1]} & near
+    if whole == 1000:
+        assert found == near and far == {(i, j) for j in range(len(values)) for i in range(j)} - near
+
 
 # 5
 
