@@ -741,3 +741,50 @@ def test_registry_names():
     names = list(registry.queries())
     assert [int(re.match(r"op(\d+)_", n)[1]) for n in names] == list(range(1, 11))
     assert set(registry.oracle_sql()) <= set(names)
+
+
+def test_batches_are_bounded_in_bytes(spark, docs):
+    """Whatever the length of rows, an Arrow batch holds about 4 MB; a session's own value stays."""
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes]), pa.array([batch.num_rows])], names=["size", "n"])
+
+    materialize(docs, "docs")
+    long_rows = spark.range(0, 1500, 1, 1).select(F.repeat(F.lit("x"), 16000).alias("text"))
+    got = long_rows.mapInArrow(sizes, "size long, n long").collect()
+    assert sum(r["n"] for r in got) == 1500
+    assert max(r["size"] for r in got) < 5 << 20
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(1 << 20))
+    try:
+        materialize(docs, "docs")
+        assert spark.conf.get(key) == str(1 << 20)
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_hashing_windows_needs_little_memory(spark):
+    """The arrays that a worker makes of 2 MB of text, one batch, to find its rows."""
+    rng = random.Random(9)
+    texts = [(k, " ".join(str(rng.random()) for _ in range(100))) for k in range(1000)]
+
+    def peak(batches):
+        import tracemalloc
+
+        for batch in batches:
+            tracemalloc.start()
+            n = sum(x.num_rows for x in made(iter([batch])))
+            yield pa.RecordBatch.from_arrays([pa.array([tracemalloc.get_traced_memory()[1]]), pa.array([n])], names=["size", "n"])
+            tracemalloc.stop()
+
+    class Texts:
+        def mapInArrow(self, run, schema):
+            return run
+
+    made = repeats.first_rows(Texts(), 256)
+    rows = spark.createDataFrame(texts, "uid long, text string").coalesce(1)
+    got = rows.mapInArrow(peak, "size long, n long").collect()
+    assert sum(r["n"] for r in got) > 1000
+    assert max(r["size"] for r in got) < 90 << 20
