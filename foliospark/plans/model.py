@@ -112,7 +112,8 @@ def derive_title(filename: str, summary: str, explicit: str | None, client: Mode
     bare = lambda s: re.sub(r"\s+", "", s).lower()
     source = bare(filename + summary)
     read = read_json(guarded(client, f"Subject, year and type as JSON: {filename}\n{summary[:1500]}"))
-    parts = [str(read[k]) for k in ("subject", "year", "doc_type") if read.get(k) and bare(str(read[k])) in source] if isinstance(read, dict) else []
+    stands = lambda k, v: bare(v) in source and (k != "year" or re.fullmatch(r"\d{4}", v.strip()))  # noqa: E731  digits of an identifier aren't a year
+    parts = [str(read[k]) for k in ("subject", "year", "doc_type") if read.get(k) and stands(k, str(read[k]))] if isinstance(read, dict) else []
     if parts:
         return " ".join(parts)
     name = re.sub(r"^[a-f0-9]{8}(?:-[a-f0-9]{4}){3}-[a-f0-9]{12}_", "", filename)
