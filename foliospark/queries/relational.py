@@ -347,7 +347,7 @@ def repeated_lines_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A-15, F-12: lines of more than 15 characters that a page has three times go; all in arrays, without a shuffle."""
     lines = F.split("text", "\n", -1)
     mark = lambda x: (F.length(F.trim(x)) > 15) & F.array_contains(F.col("often"), F.trim(x))
-    docs = table(spark, sf_dir, "documents").withColumn("sorted", F.array_sort(F.transform(lines, F.trim)))
+    docs = table(spark, sf_dir, "documents").withColumn("sorted", F.array_sort(F.transform(lines, lambda x: F.trim(x))))
     often = F.array_distinct(F.filter("sorted", lambda x, i: (i >= 2) & (F.col("sorted")[F.greatest(i - 2, F.lit(0))] == x)))
     docs = docs.withColumn("often", often)
     kept = F.array_join(F.filter(lines, lambda x: ~mark(x)), "\n")
