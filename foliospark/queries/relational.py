@@ -27,10 +27,11 @@ with v as (select event_id, user_id, event_type, value from events union all sel
 select user_id, event_type, event_id, value from (select *, row_number() over (partition by user_id, event_type order by event_id desc) as r from v) where r = 1
 """)
 def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S-20, G-08: an upsert as union and keep-latest."""
-    old = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
-    new = old.where("event_id % 3 = 0").withColumns({"event_id": F.col("event_id") + 100000, "value": F.col("value") * 2})
-    return R.keep_latest(old.unionByName(new), ["user_id", "event_type"], [F.col("event_id")]).select("user_id", "event_type", "event_id", "value")
+    """S-20, G-08: an upsert as union and keep-latest; of rows with one id, which the SQL leaves open, the upserted one stays."""
+    old = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", F.lit(0).alias("_new"))
+    new = old.where("event_id % 3 = 0").withColumns({"event_id": F.col("event_id") + 100000, "value": F.col("value") * 2, "_new": F.lit(1)})
+    order = [F.col("event_id"), F.col("_new"), F.col("value")]
+    return R.keep_latest(old.unionByName(new), ["user_id", "event_type"], order).select("user_id", "event_type", "event_id", "value")
 
 
 @query("""
