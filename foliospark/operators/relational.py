@@ -5,7 +5,9 @@ All take and return DataFrames; every ordering ends in a unique column, so resul
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -141,21 +143,36 @@ def number_ranges(df: DataFrame, keys: list[str], number: str) -> DataFrame:
 def section_ends(sections: DataFrame, keys: list[str], order: str, level: str, page: str, last: Column) -> DataFrame:
     """sections with end_page: the page of the next section of this level or a higher one, else the last page (W-03).
 
-    A document's outline is read once, from its end, with the sections that are still open above on a stack.
+    Sorted outlines are read once, each from its end, as they lie in a partition: a task holds one section of each level
+    that is still open above, whatever the number of documents and however long one is.  Sections at one place don't
+    end each other, and those without a place, level or page end nothing.
     """
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(order, ascending=False, kind="stable")
-        stack, ends = [], []  # (level, page), levels falling towards the top
-        for own, at in zip(group[level], group[page], strict=True):
-            while stack and stack[-1][0] > own:
-                stack.pop()
-            ends.append(stack[-1][1] if stack else None)
-            stack.append((own, at))
-        return group.assign(_next=pd.array(ends, "Int64"))
+    over = Window.partitionBy(*keys).orderBy(F.col(order).desc())
+    numbered = sections.withColumns({"_place": F.row_number().over(over), "_rank": F.rank().over(over), "_own": F.when(F.col(order).isNotNull(), F.col(level)), "_at": F.col(page).cast("long")})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stack, held = [], []  # (level, page), levels rising towards the top; held: of the place at hand
+        for batch in batches:
+            ends = []
+            for place, rank, own, at in zip(*(c.to_pylist() for c in batch.columns[-4:]), strict=True):
+                if place == 1:
+                    stack, held = [], []
+                elif place == rank:
+                    for one in held:
+                        while stack and stack[-1][0] >= one[0]:
+                            stack.pop()
+                        stack.append(one)
+                    held = []
+                if own is None:
+                    ends.append(None)
+                    continue
+                ends.append(next((x[1] for x in reversed(stack) if x[0] <= own), None))
+                if at is not None:
+                    held.append((own, at))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-4], pa.array(ends, pa.int64())], names=[*batch.schema.names[:-4], "_next"])
 
     kind = sections.schema[page].dataType
-    found = sections.groupBy(*keys).applyInPandas(run, StructType([*sections.schema.fields, StructField("_next", LongType())]))
+    found = numbered.select(*sections.columns, "_place", "_rank", "_own", "_at").mapInArrow(run, StructType([*sections.schema.fields, StructField("_next", LongType())]))
     return found.withColumn("end_page", F.coalesce(F.col("_next").cast(kind), last)).drop("_next")
 
 
