@@ -97,17 +97,25 @@ def page_scores(hits: DataFrame, keys: list[str], pages: DataFrame, keywords: Co
 
 #: Question vectors that are compared at once; each block of them is broadcast by itself.
 QUERY_BLOCK = 8192
+#: Cosines that a task holds at once: a batch of vectors meets so many of the questions as give no more.
+TILE = 1 << 19
 
 
-def _unit(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The rows that have a length, as unit vectors of the first row's dimension, and their places."""
+def _tiles(questions: int, vectors: int) -> Iterator[slice]:
+    step = max(1, TILE // vectors)
+    return (slice(k, k + step) for k in range(0, questions, step))
+
+
+def _unit(column: pa.Array, size: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The rows that have a length, as unit vectors of a dimension or the first row's, and their places."""
     sizes = np.diff(column.offsets.to_numpy())
     if not sizes.any():
-        return np.zeros((0, 1)), np.zeros(0, np.int64)
-    at = np.flatnonzero((sizes == sizes[sizes > 0][0]) & column.is_valid().to_numpy(zero_copy_only=False))
+        return np.zeros((0, size or 1)), np.zeros(0, np.int64)
+    size = size or sizes[sizes > 0][0]
+    at = np.flatnonzero((sizes == size) & column.is_valid().to_numpy(zero_copy_only=False))
     values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     starts = np.cumsum(sizes) - sizes
-    x = values[starts[at][:, None] + np.arange(sizes[sizes > 0][0])]
+    x = values[starts[at][:, None] + np.arange(size)]
     norm = np.sqrt((x * x).sum(axis=1))
     whole = np.isfinite(norm) & (norm > 0)
     return x[whole] / norm[whole, None], at[whole]
@@ -134,7 +142,8 @@ def vector_search(vectors: DataFrame, queries: DataFrame, k: int, least: float =
     """(query_id, vec_id, score, rank): the k highest cosines, of six decimals, ties to the smaller id (R-04, F-51).
 
     The questions are a stated set; blocks of them travel to the vectors, and each batch of vectors passes on the rows
-    that are among its own best.  Vectors without a length or of another dimension have no cosine.
+    that are among its own best and no worse than k that its task has passed on.  Vectors without a length or of another
+    dimension have no cosine.  All pairs are compared; a task's memory depends on neither number.
     """
     found = None
     for block in _query_blocks(queries):
@@ -142,14 +151,17 @@ def vector_search(vectors: DataFrame, queries: DataFrame, k: int, least: float =
 
         def run(batches, shared=shared):
             ids, q = shared.value
+            bound = np.full(len(q), least)  # at least k cosines are known to be as high
             for batch in batches:
-                x, at = _unit(batch.column(1))
-                if not len(at) or x.shape[1] != q.shape[1]:
+                x, at = _unit(batch.column(1), q.shape[1])
+                if not len(at):
                     continue
-                score = np.round(q @ x.T, 6)
-                bound = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] > k else np.full(len(score), -2.0)
-                row, column = np.nonzero((score >= bound[:, None]) & (score >= least))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row]), batch.column(0).take(pa.array(at[column])), pa.array(score[row, column])], names=["query_id", "vec_id", "score"])
+                for tile in _tiles(len(q), len(x)):
+                    score = np.round(q[tile] @ x.T, 6)
+                    if score.shape[1] > k:
+                        np.maximum(bound[tile], np.partition(score, -k, axis=1)[:, -k], out=bound[tile])
+                    row, column = np.nonzero(score >= bound[tile][:, None])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[tile][row]), batch.column(0).take(pa.array(at[column])), pa.array(score[row, column])], names=["query_id", "vec_id", "score"])
 
         one = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(run, "query_id long, vec_id long, score double")
         found = one if found is None else found.unionByName(one)
