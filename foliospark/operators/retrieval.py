@@ -179,16 +179,18 @@ def vector_groups(vectors: DataFrame, queries: DataFrame, group: str, least: flo
         def run(batches, shared=shared):
             ids, q = shared.value
             for batch in batches:
-                x, at = _unit(batch.column(1))
-                if not len(at) or x.shape[1] != q.shape[1]:
+                x, at = _unit(batch.column(1), q.shape[1])
+                if not len(at):
                     continue
                 label = batch.column(0).take(pa.array(at)).dictionary_encode()
                 number = label.indices.to_numpy(zero_copy_only=False)
                 order = np.argsort(number, kind="stable")
                 starts = np.flatnonzero(np.diff(number[order], prepend=-1))
-                score = np.maximum.reduceat(np.round(q @ x.T, 6)[:, order], starts, axis=1)
-                row, column = np.nonzero(score >= least)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row]), label.dictionary.take(pa.array(number[order][starts][column])), pa.array(score[row, column])], names=["query_id", group, "score"])
+                x, own = x[order], number[order][starts]
+                for tile in _tiles(len(q), len(x)):
+                    score = np.maximum.reduceat(np.round(q[tile] @ x.T, 6), starts, axis=1)
+                    row, column = np.nonzero(score >= least)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[tile][row]), label.dictionary.take(pa.array(own[column])), pa.array(score[row, column])], names=["query_id", group, "score"])
 
         kind = vectors.schema[group].dataType.simpleString()
         one = vectors.where(F.col(group).isNotNull()).select(group, F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(run, f"query_id long, {group} {kind}, score double")
