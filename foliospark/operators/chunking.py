@@ -7,9 +7,11 @@ import itertools
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..batches import bounded_batches, slices
 from ..config import DEFAULT
 
 HEADING = re.compile(r"^#{1,6}\s+.+|^(\d+(?:\.\d+)*)\s+.+")
@@ -102,19 +104,24 @@ def windows_of(text: str, most: int, overlap: int) -> list[str]:
 
 
 def structural_chunks(docs: DataFrame, key: str, text: str, most: int = 2000) -> DataFrame:
-    """(key, idx, chunk) by structure, or by windows that overlap by a tenth where a long text has no structure (K-01, K-02, S-09)."""
+    """(key, idx, chunk) by structure, or by windows that overlap by a tenth where a long text has no structure (K-01, K-02, S-09).
+
+    A task holds the texts and chunks of a slice, whatever a batch or the table has.
+    """
+    bounded_batches(docs.sparkSession)
 
     def cut(t: str) -> list[str]:
         made = structural(t, most)
         return made if len(made) > 1 or len(t) <= most else windows_of(t, most, most // 10)
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            out = [(k, i, c) for k, t in zip(part[key], part[text].fillna(""), strict=True) for i, c in enumerate(cut(t))]
-            yield pd.DataFrame(out, columns=["key", "idx", "chunk"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, 1):
+            out = [(n, i, c) for n, t in enumerate(part.column(1).to_pylist()) for i, c in enumerate(cut(t or ""))]
+            rows, idx, made = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows)), pa.array(idx, pa.int32()), pa.array(made, pa.string())], names=["key", "idx", "chunk"])
 
     kind = docs.schema[key].dataType.simpleString()
-    made = docs.select(key, F.col(text).alias(text)).mapInPandas(run, f"key {kind}, idx int, chunk string")
+    made = docs.select(key, F.col(text).alias(text)).mapInArrow(run, f"key {kind}, idx int, chunk string")
     return made.withColumnRenamed("key", key)
 
 
