@@ -12,6 +12,9 @@ from .functions import text as T
 from .operators import chunking, facts, retrieval
 from .plans import model, planner
 
+#: Fixed value: characters of a chunk.
+CHUNK = 1600
+
 
 class Engine:
     """Tables of one knowledge base and the questions put to them; every method takes and returns DataFrames.
@@ -25,10 +28,11 @@ class Engine:
 
     def ingest(self, documents: DataFrame) -> Engine:
         """Sanitizes texts, drops empty and repeated ones, cuts chunks, reads facts (K-13, K-16, ST-03)."""
-        clean = documents.select("doc_id", "title", T.sanitize_chars(T.strip_generated(F.col("text"))).alias("text")).where(F.trim("text") != "")
+        self.raw = documents.select("doc_id", "title", "text")
+        clean = self.raw.withColumn("text", T.sanitize_chars(T.strip_generated(F.col("text")))).where(F.trim("text") != "")
         first = clean.groupBy(F.md5(F.col("text").cast("binary")).alias("h")).agg(F.min("doc_id").alias("doc_id"))
         self.documents = clean.join(first.select("doc_id"), "doc_id", "left_semi")
-        self.chunks = chunking.structural_chunks(self.documents, "doc_id", "text", 1600).withColumn("chunk_id", F.concat_ws("-", "doc_id", "idx"))
+        self.chunks = chunking.structural_chunks(self.documents, "doc_id", "text", CHUNK).withColumn("chunk_id", F.concat_ws("-", "doc_id", "idx"))
         pages = self.documents.select("doc_id", F.lit(1).alias("page_num"), F.col("title").alias("entity"), F.col("text").alias("raw_text"))
         self.facts = facts.extract(pages, self.vocabulary).withColumn("fact_id", F.xxhash64("doc_id", "attribute", "value"))
         return self
@@ -38,12 +42,22 @@ class Engine:
         words = questions.select("query_id", F.explode(T.trigram_tokens(T.chunk_tokens(F.col("query")))).alias("term"))
         return retrieval.and_or_search(self.chunks, "chunk_id", "chunk", words, limit)
 
+    def shown(self, hits: DataFrame) -> DataFrame:
+        """(query_id, score, doc_id, page_num, title, chunk) of hits (query_id, chunk_id, score): the documents that were hit are cut again, and no others."""
+        # a hit's document passed the sieve of ingest; its id stands before the chunk's number
+        hit = hits.select("query_id", "chunk_id", "score", F.regexp_extract("chunk_id", r"(?s)^(.*)-\d+$", 1).alias("_doc"))
+        met = self.raw.join(F.broadcast(hit), F.col("doc_id").cast("string") == F.col("_doc"))
+        texts = met.select(F.struct("query_id", "chunk_id", "score", "doc_id", "title").alias("hit"), T.sanitize_chars(T.strip_generated(F.col("text"))).alias("text"))
+        cut = chunking.structural_chunks(texts, "hit", "text", CHUNK)
+        own = cut.where(F.col("hit.chunk_id") == F.concat_ws("-", "hit.doc_id", "idx"))
+        return own.select("hit.query_id", "hit.score", "hit.doc_id", F.col("idx").alias("page_num"), "hit.title", "chunk")
+
     def lookup(self, questions: DataFrame) -> DataFrame:
         return facts.lookup(self.facts, questions)
 
     def ask(self, questions: DataFrame, limit: int = 10) -> DataFrame:
         """(query_id, answer, confidence, pages): search, merge, synthesize (R-28, R-30, M-11)."""
-        hits = self.search(questions, limit).join(self.chunks.select("chunk_id", "doc_id", F.col("idx").alias("page_num"), "chunk"), "chunk_id").join(self.documents.select("doc_id", "title"), "doc_id")
+        hits = self.shown(self.search(questions, limit))
         rows = hits.join(F.broadcast(questions), "query_id").select("query_id", "query", F.col("doc_id").cast("string").alias("doc_id"), "title", "page_num", F.col("title").alias("section"), "score", F.col("chunk").alias("text"))
         merged = retrieval.merge_contexts(rows)
         asked = planner.validated(questions).where("error is null").join(merged, "query_id", "left").select("query_id", "query", F.coalesce("context", F.lit("")).alias("context"), F.coalesce("pages", F.lit(0)).alias("pages"))
