@@ -90,7 +90,8 @@ def page_sections(pages: DataFrame, sections: DataFrame) -> DataFrame:
     Of several equally deep ones the first whose title stands on the page, else the first; n: how many cover the page.
     sections: doc_id, place, title, level, start_page, end_page.
     """
-    met = range_join(pages, "page_num", sections, "start_page", "end_page", ["doc_id"])
+    # the cells of all documents' sections are many more than Spark reckons: none of them is broadcast
+    met = range_join(pages.hint("merge"), "page_num", sections, "start_page", "end_page", ["doc_id"], cell=64)
     told = (F.length("title") > 2) & F.contains("text", F.col("title"))
     rank = F.row_number().over(Window.partitionBy("doc_id", "page_num").orderBy(F.col("level").desc(), told.desc(), F.col("start_page"), F.col("place")))
     n = F.count("*").over(Window.partitionBy("doc_id", "page_num"))
